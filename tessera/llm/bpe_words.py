@@ -111,7 +111,7 @@ class PrefixCounts:
         for k, m in enumerate(j["model"]["merges"]):
             a, b = m.split(" ") if isinstance(m, str) else m
             self.rank[_bytes_of(a, back), _bytes_of(b, back)] = k
-        self.lib, self.cache, self.apart, self.path = library(path), {}, {}, path
+        self.lib, self.cache, self.apart, self.last_long = library(path), {}, {}, (None, ())
 
     def merged(self, word: bytes) -> list[bytes]:
         """The encoding of a short word: the best-ranked pair merges first, the leftmost of equals."""
@@ -137,6 +137,8 @@ class PrefixCounts:
         known = self.cache.get(word)
         if known is not None:
             return known
+        if self.last_long[0] == word:
+            return self.last_long[1]
         if len(self.cache) > KEPT:
             self.cache.clear()
         b = word.encode("utf-8")
@@ -162,6 +164,8 @@ class PrefixCounts:
         out = tuple(counts[1:])
         if len(word) <= LONG:
             self.cache[word] = out
+        else:
+            self.last_long = (word, out)
         return out
 
     def _whole(self, t: bytes) -> bool:

@@ -61,25 +61,14 @@ class IdShards:
             self.shard_of[r["bucket"]] = len(self.firsts) - 1
             acc += r["w"] or 0
         self.n = max(1, len(self.firsts))
-        self.bounds = sorted(self._starts().items())
 
     def bucket(self) -> Column:
         return F.coalesce(F.floor((F.col(self.key) - F.lit(self.low)) / F.lit(self.step)), F.lit(-1)).cast("long")
 
-    def _starts(self) -> dict[int, int]:
-        starts: dict[int, int] = {}
-        for b, s in self.shard_of.items():
-            starts[s] = min(b, starts.get(s, b))
-        return starts
-
-    def shard(self) -> Column:
-        """The shard of a row; a binary search written as nested conditions, so that it stays in generated code."""
-        b = self.bucket()
-
-        def pick(lo: int, hi: int) -> Column:
-            if lo == hi:
-                return F.lit(self.bounds[lo][0]) if self.bounds else F.lit(0)
-            mid = (lo + hi + 1) // 2
-            return F.when(b < F.lit(self.bounds[mid][1]), pick(lo, mid - 1)).otherwise(pick(mid, hi))
-
-        return pick(0, max(0, len(self.bounds) - 1)).cast("int")
+    def assign(self, df: DataFrame) -> DataFrame:
+        """df with shard_ and opens_, whether the row has its shard's smallest id.  The table joined has BUCKETS rows at most."""
+        spark = df.sparkSession
+        starts = [(b, s, self.firsts[s]) for b, s in self.shard_of.items()]
+        small = spark.createDataFrame(starts, "bucket_ long, shard_ int, first_ long")
+        out = df.join(F.broadcast(small), self.bucket() == F.col("bucket_"))
+        return out.withColumn("opens_", F.col(self.key).eqNullSafe(F.col("first_"))).drop("bucket_", "first_")
