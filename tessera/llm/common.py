@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of the histogram that ``IdShards`` brings to the driver, at most.
 BUCKETS = 16384
+#: Bytes of rows that go to Python at once.
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -29,6 +31,11 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches to Python of BATCH_BYTES at most, so that long rows don't add up there."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written once to the shared folder and read back: a cut of the lineage that survives executors."""
     path = shared_dir(df.sparkSession, name)

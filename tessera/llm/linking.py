@@ -55,9 +55,11 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def filter_bit(node: int) -> int:
-    """Where a node stands in the filter: its key is well mixed already."""
-    return (node ^ (node >> 32)) & (FILTER_BITS - 1)
+def in_filter(nodes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Whether each key may be in the filter.  Keys are well mixed already."""
+    k = nodes.view(np.uint64)
+    bit = (k ^ (k >> np.uint64(32))) & np.uint64(FILTER_BITS - 1)
+    return (words.view(np.uint64)[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
 
 
 def node_filter(nodes: DataFrame) -> np.ndarray:

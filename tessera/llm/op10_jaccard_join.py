@@ -1,8 +1,9 @@
 """Exact n-gram Jaccard self-join with signature trees.
 
 1. Each text becomes its set of distinct shingle hashes; equal sets become one node.
-2. Nodes that can link share one of the smallest hashes of either (the first n - ceil(t*n) + 1 of n in hash order), so
-   these deal the nodes to groups; groups of one node go.
+2. In any one order of all hashes, nodes that can link share one of the first n - ceil(t*n) + 1 of either's n hashes, so these
+   deal the nodes to groups.  The order puts hashes that are frequent within some run of texts last (a filter of fixed size names
+   them); that only keeps groups small.  Groups of one node go, and of groups with the same members one stays.
 3. Within a group and band of sizes every node is first held against one pivot.  What links there is joined to
    components, so copies with small edits never meet in pairs.
 4. Groups that still hold two components get a signature tree: its nodes hold the OR of their members' token bitmaps and
@@ -23,11 +24,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
-from tessera.llm.linking import bitmap, components, filter_bit, node_filter, node_of, sets_of, verified
+from tessera.llm.common import bounded_batches, stored
+from tessera.llm.linking import bitmap, components, in_filter, node_filter, node_of, sets_of, verified
 
 #: Nodes of one block, and members of a leaf of the tree.
-BLOCK_NODES, LEAF = 1024, 16
+BLOCK_NODES, LEAF = 1024, 32
+#: Hashes that are counted together, and texts among theirs that make a hash frequent.
+RUN_HASHES, FREQUENT = 1 << 20, 6
 
 
 class SignatureTree:
@@ -99,9 +102,38 @@ def _folded(bits: list[bytes]) -> np.ndarray:
     return np.stack([np.bitwise_or.reduce(np.frombuffer(b, dtype=np.uint64).reshape(-1, width), axis=0) for b in bits])
 
 
+def frequent_hashes(df: DataFrame, text_col: str, shingle: int, lower: bool) -> np.ndarray:
+    """A filter of the hashes that at least FREQUENT of some RUN_HASHES hashes' texts hold."""
+    texts = df.select(F.col(text_col).alias("text")).where(F.col(text_col).isNotNull())
+
+    def run(batches):
+        import pyarrow as pa
+
+        held, size = [], 0
+
+        def counted():
+            u, c = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(u[c >= FREQUENT].view(np.int64))], ["node"])
+
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                raw = b.column(0).slice(at, 512).cast(pa.binary()).to_pylist()
+                for v in sets_of([t.lower() for t in raw] if lower else raw, shingle):
+                    held.append(v)
+                    size += len(v)
+                if size >= RUN_HASHES:
+                    yield counted()
+                    held, size = [], 0
+        if held:
+            yield counted()
+
+    return node_filter(texts.mapInArrow(run, "node long").distinct())
+
+
 def profiles(df: DataFrame, id_col: str, text_col: str, shingle: int, num: int, den: int, lower: bool = True) -> DataFrame:
     """id, n, node, prefix, bits for each row; node and bits are null for an empty set."""
     id_type = df.schema[id_col].dataType.simpleString()
+    last = df.sparkSession.sparkContext.broadcast(frequent_hashes(df, text_col, shingle, lower))
 
     def run(batches):
         import pyarrow as pa
@@ -116,7 +148,8 @@ def profiles(df: DataFrame, id_col: str, text_col: str, shingle: int, num: int,
                     k = len(v)
                     n.append(k)
                     node.append(node_of(v) if k else None)
-                    prefix.append(v[: k - -(-num * k // den) + 1].view(np.int64) if k else v.view(np.int64))
+                    late = in_filter(v, last.value)
+                    prefix.append(np.concatenate([v[~late], v[late]])[: k - -(-num * k // den) + 1].view(np.int64) if k else v.view(np.int64))
                     bits.append(bitmap(v) if k else None)
                 ends = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
                 flat = np.concatenate(prefix) if prefix else np.empty(0, dtype=np.int64)
@@ -126,11 +159,6 @@ def profiles(df: DataFrame, id_col: str, text_col: str, shingle: int, num: int,
     return rows.mapInArrow(run, f"id {id_type}, n long, node long, prefix array<long>, bits binary")
 
 
-def _in_filter(node: int, words: np.ndarray) -> bool:
-    bit = filter_bit(node)
-    return bool(int(words[bit >> 6]) >> (bit & 63) & 1)
-
-
 def whole_sets(df: DataFrame, text_col: str, shingle: int, lower: bool = True):
     """A function that gives node, values of wanted nodes from another scan of the texts; nothing but those is moved."""
 
@@ -147,7 +175,7 @@ def whole_sets(df: DataFrame, text_col: str, shingle: int, lower: bool = True):
                     raw = [t.lower() for t in raw] if lower else raw
                     nodes, values = [], []
                     for v in sets_of(raw, shingle):
-                        if len(v) and _in_filter(node := node_of(v), keep.value):
+                        if len(v) and in_filter(np.array([node := node_of(v)]), keep.value)[0]:
                             nodes.append(node)
                             values.append(v.view(np.int64))
                     ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
@@ -162,12 +190,16 @@ def whole_sets(df: DataFrame, text_col: str, shingle: int, lower: bool = True):
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """id, n_shingles, component_id (the smallest id reachable by links of Jaccard >= num / den), one row a row of df."""
+    bounded_batches(df.sparkSession)
     rows = stored(profiles(df, id_col, text_col, shingle, num, den), "profiles")
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(den / num)) + F.lit(1e-9)).cast("long")
 
     # groups of two nodes or more by a shared prefix hash
     prefix = rows.where("node is not null").select(F.explode("prefix").alias("a"), "node", "n")
-    shared = prefix.groupBy("a").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("a")
+    h = F.xxhash64("node")
+    halves = F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("s"), F.sum(F.shiftright(h, 32)).alias("t")
+    shared = prefix.groupBy("a").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("k"), *halves).where("lo < hi")
+    shared = shared.groupBy("lo", "hi", "k", "s", "t").agg(F.min("a").alias("a")).select("a")
     groups = stored(prefix.join(shared, "a").distinct().withColumn("band", band), "groups")
 
     # one pivot for each group and band
@@ -204,44 +236,66 @@ def _possible(pairs: DataFrame, bits: DataFrame, num: int, den: int) -> DataFram
     both = both.join(bits.select(F.col("node").alias("u"), F.col("n").alias("un"), F.col("bits").alias("ub")), "u").select("u", "v", "un", "vn", "ub", "vb")
 
     def run(batches):
+        import pyarrow as pa
+
         for b in batches:
             keep = []
-            for un, vn, ub, vb in zip(*(b.column(k).to_pylist() for k in range(2, 6))):
-                m = _folded([ub, vb])
+            for un, vn, ub, vb in zip(*(b.column(k) for k in range(2, 6))):
+                m, un, vn = _folded([ub.as_py(), vb.as_py()]), un.as_py(), vn.as_py()
                 most = min(un - int(np.bitwise_count(m[0] & ~m[1]).sum()), vn - int(np.bitwise_count(m[1] & ~m[0]).sum()))
                 keep.append((num + den) * most >= num * (un + vn))
-            import pyarrow as pa
-
             yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, "u long, v long")
 
 
 def _traversed(left: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs u, v of every group a, b and pair of blocks p, q."""
+    """Candidate pairs u, v of every group a, b and pair of blocks p, q; rows come sorted, a group at a time is held."""
     keys = ["a", "b", "p", "q"]
 
-    def run(key, pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values(["n", "node"], kind="stable").reset_index(drop=True)
-        bits, sizes, comps = _folded(list(pdf["bits"])), pdf["n"].to_numpy(dtype=np.int64), pdf["comp"].to_numpy(dtype=np.int64)
-        nodes, home, block = pdf["node"].to_numpy(dtype=np.int64), pdf["home"].to_numpy(dtype=bool), pdf["block"].to_numpy(dtype=np.int64)
-        p, q = int(key[2]), int(key[3])
+    def compared(rows):
+        if len(rows) < 2:
+            return
+        bits, sizes = _folded([r[8] for r in rows]), np.array([r[4] for r in rows])
+        nodes, comps, home, block = (np.array([r[k] for r in rows]) for k in (5, 6, 7, 9))
+        p, q = rows[0][2:4]
         if p == q:
             t = SignatureTree(bits, sizes, comps)
             i, j = dual_traversal(t, t, num, den)
         else:
             one, two = np.flatnonzero(block == p), np.flatnonzero(block == q)
             if not len(one) or not len(two):
-                return pd.DataFrame({"u": [], "v": []}, dtype="int64")
+                return
             i, j = dual_traversal(SignatureTree(bits[one], sizes[one], comps[one]), SignatureTree(bits[two], sizes[two], comps[two]), num, den)
             i, j = one[i], two[j]
         keep = home[i] | home[j]
         u, v = nodes[i[keep]], nodes[j[keep]]
-        return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+        yield np.minimum(u, v), np.maximum(u, v)
 
-    return left.groupBy(*keys).applyInPandas(run, "u long, v long")
+    def run(batches):
+        import pyarrow as pa
+
+        held, at, found, many = [], None, [], 0
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], ["u", "v"])
+
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if row[:4] != at:
+                    found += compared(held)
+                    held, at = [], row[:4]
+                held.append(row)
+            many = sum(len(f[0]) for f in found)
+            if many > 100_000:
+                yield out()
+                found = []
+        found += compared(held)
+        if found:
+            yield out()
+
+    sorted_ = left.select(*keys, "n", "node", "comp", "home", "bits", "block").repartition(*keys).sortWithinPartitions(*keys, "n", "node")
+    return sorted_.mapInArrow(run, "u long, v long")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

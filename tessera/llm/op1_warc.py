@@ -21,7 +21,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import IdShards, shared_dir, shuffle_width, stored
+from tessera.llm.common import IdShards, bounded_batches, shared_dir, shuffle_width, stored
 
 #: The time that all records state; a parameter, so that reruns agree.
 DATE = "2024-01-01T00:00:00Z"
@@ -78,6 +78,7 @@ def _file_system(path: str):
 def write(df: DataFrame, out: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", revisit_bytes: int = 1000, shard_bytes: int = 256 << 20, roll_bytes: int = 1 << 30, date: str = DATE) -> DataFrame:
     """Writes the archives below ``out`` and returns the committed manifest."""
     spark = df.sparkSession
+    bounded_batches(spark)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
     size = F.octet_length("payload").cast("long")
 

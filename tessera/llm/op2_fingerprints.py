@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import IdShards, shuffle_width
+from tessera.llm.common import IdShards, bounded_batches, shuffle_width
 from tessera.llm.word_arrays import blocks, mix, shingle_rows
 
 PERMUTATIONS = 128
@@ -76,6 +76,7 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) + 64
     spark = df.sparkSession
+    bounded_batches(spark)
     total = df.agg(F.sum(size)).first()[0] or 0
     shards = IdShards(df.select(F.col(id_col).cast("long").alias("id"), text_col), "id", size, max(shuffle_width(spark), -(-total // shard_bytes)))
     n = shards.n

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import IdShards, shuffle_width, stored
+from tessera.llm.common import IdShards, bounded_batches, shuffle_width, stored
 from tessera.llm.word_arrays import mix, rolled, spans, words_of
 
 SEED = 8
@@ -175,6 +175,7 @@ def _removed(marked: DataFrame, window: int) -> DataFrame:
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, shard_bytes: int = 64 << 20) -> DataFrame:
     """id, n_words, n_removed, kept_sha256, spans: the runs of words [start, end) that go, for each row."""
     spark = df.sparkSession
+    bounded_batches(spark)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     profiles = stored(_profiles(rows, window), "profiles")
 

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import bounded_batches, stored
 
 BLOCK, HEAVIEST, HEAD, RUN = 4096, 1024, 16, 1024
 _EXACT = float(1 << 52)
@@ -25,6 +25,7 @@ _EXACT = float(1 << 52)
 
 def whole_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
     """id, v (whole numbers as doubles), norm: one row an id, longest first within each partition."""
+    bounded_batches(df.sparkSession)
     v = F.transform(F.col(vector_col), lambda x: F.floor(x.cast("double") * scale).cast("double"))
     fine = F.col(vector_col).isNotNull() & ~F.exists(F.col(vector_col), lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
     rows = df.where(fine).select(F.col(id_col).alias("id"), v.alias("v")).groupBy("id").agg(F.min("v").alias("v"))

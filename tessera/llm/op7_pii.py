@@ -20,6 +20,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.common import bounded_batches
+
 KINDS = ("email", "ip", "card", "phone")
 MOST = 6
 _HOT = re.compile(r"[0-9@]")
@@ -341,6 +343,7 @@ def _joined(spans) -> str:
 def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, the number of base spans of each kind, the digest of the base spans, all spans."""
     id_type = df.schema[id_col].dataType.simpleString()
+    bounded_batches(df.sparkSession)
     field = trained()
 
     def run(batches):
@@ -372,6 +375,7 @@ def redacted(text: str, field: Field) -> str:
 
 def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with its texts redacted; null texts stay null."""
+    bounded_batches(df.sparkSession)
     field = trained()
 
     def run(batches):

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe_words import WordIds
-from tessera.llm.common import stored
+from tessera.llm.common import bounded_batches, stored
 
 #: Pieces that one task packs together.
 SHARD_PIECES = 4096
@@ -31,6 +31,7 @@ def ids_for(path: str) -> WordIds:
 
 def cut_pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """id, piece, start, length, ids_crc32 of each piece.  A null text is empty and has its end id alone."""
+    bounded_batches(df.sparkSession)
     id_type = df.schema[id_col].dataType.simpleString()
 
     def cut(batches):

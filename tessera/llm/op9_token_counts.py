@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.common import bounded_batches
 from tessera.llm.bpe_words import PrefixCounts
 
 _LOADED: dict[str, PrefixCounts] = {}
@@ -27,6 +28,7 @@ def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     An empty table gives an empty result, a null or empty text 0, 0 and 0.
     """
+    bounded_batches(df.sparkSession)
     id_type = df.schema[id_col].dataType.simpleString()
 
     def count(batches):
