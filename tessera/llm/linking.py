@@ -31,9 +31,9 @@ def sets_of(texts: list[bytes], shingle: int):
             yield np.unique(x[x_at[r] : x_at[r + 1]])
 
 
-def bitmap(values: np.ndarray) -> bytes:
-    """A bit for each hash, in a width of eight to sixteen bits an element; wider ones fold to narrower ones by OR."""
-    width = 1 << max(6, (8 * len(values) - 1).bit_length())
+def bitmap(values: np.ndarray, per: int = 8) -> bytes:
+    """A bit for each hash, in a width of per to 2 * per bits an element; wider ones fold to narrower ones by OR."""
+    width = 1 << max(6, (per * len(values) - 1).bit_length())
     bits = np.zeros(width, dtype=np.uint8)
     bits[(values & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()

@@ -4,11 +4,13 @@
 2. In any one order of all hashes, nodes that can link share one of the first n - ceil(t*n) + 1 of either's n hashes, so these
    deal the nodes to groups.  The order puts hashes that are frequent within some run of texts last (a filter of fixed size names
    them); that only keeps groups small.  Groups of one node go, and of groups with the same members one stays.
-3. Within a group and band of sizes every node is first held against one pivot.  What links there is joined to
-   components, so copies with small edits never meet in pairs.
+3. Within a group and band of sizes every node is first held against one pivot, the node most of whose hashes others share
+   (in a family of edited copies that nearest to the common text).  What links there is joined to components, so copies with
+   small edits hardly ever meet in pairs.
 4. Groups that still hold two components get a signature tree: its nodes hold the OR of their members' token bitmaps and
    the range of their sizes.  A dual traversal leaves out node pairs whose sizes are too far apart, whose bitmaps allow
-   too small an overlap, or whose members are all connected; what remains is verified on the whole sets.
+   too small an overlap, or whose members are all connected; what remains is held against wider bitmaps, a pair once, and
+   then verified on the whole sets.
 5. Components over all verified links.
 
 Groups are cut by bands of sizes (a link's sizes differ by 1/t at most) and into blocks of BLOCK_NODES; a task holds two
@@ -131,7 +133,7 @@ def frequent_hashes(df: DataFrame, text_col: str, shingle: int, lower: bool) ->
 
 
 def profiles(df: DataFrame, id_col: str, text_col: str, shingle: int, num: int, den: int, lower: bool = True) -> DataFrame:
-    """id, n, node, prefix, bits for each row; node and bits are null for an empty set."""
+    """id, n, node, prefix, bits, wide for each row; node and bitmaps are null for an empty set."""
     id_type = df.schema[id_col].dataType.simpleString()
     last = df.sparkSession.sparkContext.broadcast(frequent_hashes(df, text_col, shingle, lower))
 
@@ -143,20 +145,21 @@ def profiles(df: DataFrame, id_col: str, text_col: str, shingle: int, num: int,
                 part = b.slice(at, 512)
                 texts = [(t or b"") for t in part.column(1).cast(pa.binary()).to_pylist()]
                 texts = [t.lower() for t in texts] if lower else texts
-                n, node, prefix, bits = [], [], [], []
+                n, node, prefix, bits, wide = [], [], [], [], []
                 for v in sets_of(texts, shingle):
                     k = len(v)
                     n.append(k)
                     node.append(node_of(v) if k else None)
                     late = in_filter(v, last.value)
                     prefix.append(np.concatenate([v[~late], v[late]])[: k - -(-num * k // den) + 1].view(np.int64) if k else v.view(np.int64))
-                    bits.append(bitmap(v) if k else None)
+                    bits.append(bitmap(v, 1) if k else None)
+                    wide.append(bitmap(v, 8) if k else None)
                 ends = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
                 flat = np.concatenate(prefix) if prefix else np.empty(0, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(bits, pa.binary())], ["id", "n", "node", "prefix", "bits"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(bits, pa.binary()), pa.array(wide, pa.binary())], ["id", "n", "node", "prefix", "bits", "wide"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {id_type}, n long, node long, prefix array<long>, bits binary")
+    return rows.mapInArrow(run, f"id {id_type}, n long, node long, prefix array<long>, bits binary, wide binary")
 
 
 def whole_sets(df: DataFrame, text_col: str, shingle: int, lower: bool = True):
@@ -194,34 +197,40 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle:
     rows = stored(profiles(df, id_col, text_col, shingle, num, den), "profiles")
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(den / num)) + F.lit(1e-9)).cast("long")
 
-    # groups of two nodes or more by a shared prefix hash
+    # groups of two nodes or more by a shared prefix hash; of those with the same members (and copies of members) one is compared
     prefix = rows.where("node is not null").select(F.explode("prefix").alias("a"), "node", "n")
     h = F.xxhash64("node")
     halves = F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("s"), F.sum(F.shiftright(h, 32)).alias("t")
     shared = prefix.groupBy("a").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("k"), *halves).where("lo < hi")
-    shared = shared.groupBy("lo", "hi", "k", "s", "t").agg(F.min("a").alias("a")).select("a")
-    groups = stored(prefix.join(shared, "a").distinct().withColumn("band", band), "groups")
-
-    # one pivot for each group and band
-    pivots = groups.groupBy("a", "band").agg(F.min(F.struct("node", "n")).alias("p"), F.count("*").alias("k")).where("k > 1").select("a", "band", "p.node", "p.n").toDF("a", "band", "u", "un")
-    star = groups.join(pivots, ["a", "band"]).where(F.col("u") != F.col("node")).where(f"{den} * least(n, un) >= {num} * greatest(n, un)").select("u", F.col("node").alias("v")).distinct()
-    bits = rows.where("node is not null").select("node", "n", "bits").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-    bits = stored(bits.join(groups.select("node").distinct(), "node", "left_semi"), "bits")
+    shared = stored(shared, "shared")
+    one = shared.groupBy("lo", "hi", "k", "s", "t").agg(F.min("a").alias("a")).select("a", F.lit(True).alias("one"))
+    flagged = shared.select("a").join(one, "a", "left").withColumn("one", F.coalesce("one", F.lit(False)))
+    every = stored(prefix.join(flagged, "a").distinct().withColumn("band", band), "groups")
+    length = F.col("n") - F.ceil(F.col("n") * num / den) + 1
+    known = every.groupBy("node", "n").agg(F.count("*").alias("k")).select("node", (F.col("k") / length).alias("known"))
+    groups = stored(every.where("one").select("a", "node", "n", "band").join(known, "node"), "groups")
+
+    # one pivot for each group and band; a band also holds the one below
+    homes = F.array(F.struct(F.col("band").alias("b"), F.lit(True).alias("home")), F.struct((F.col("band") + 1).alias("b"), F.lit(False).alias("home")))
+    met = groups.select("a", "node", "n", "known", F.explode(homes).alias("to")).select("a", "to.b", "to.home", "node", "n", "known")
+    pivots = met.groupBy("a", "b").agg(F.max(F.struct("known", "node", "n")).alias("p"), F.max("home").alias("any"), F.count("*").alias("k")).where("k > 1 and any").select("a", "b", F.col("p.node").alias("u"), F.col("p.n").alias("un"))
+    star = met.join(pivots, ["a", "b"]).where(F.col("u") != F.col("node")).where(f"{den} * least(n, un) >= {num} * greatest(n, un)").select("u", F.col("node").alias("v")).distinct()
+    bitmaps = rows.where("node is not null").select("node", "n", "bits", "wide").join(groups.select("node").distinct(), "node", "left_semi")
+    bitmaps = stored(bitmaps.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("wide").alias("wide")), "bits")
+    bits, wide = bitmaps.select("node", "n", "bits"), bitmaps.select("node", "n", F.col("wide").alias("bits"))
     sets = whole_sets(df, text_col, shingle)
-    edges = stored(verified(stored(_possible(star, bits, num, den), "star"), sets, num, den), "links")
+    edges = stored(verified(stored(_possible(star, wide, num, den), "star"), sets, num, den), "links")
     labels = components(edges)
 
     # what is left in groups of two components or more
-    named = groups.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    homes = F.array(F.struct(F.col("band").alias("b"), F.lit(True).alias("home")), F.struct((F.col("band") + 1).alias("b"), F.lit(False).alias("home")))
-    met = named.select("a", "node", "comp", F.explode(homes).alias("to")).select("a", "to.b", "to.home", "node", "comp")
-    open_ = met.groupBy("a", "b").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("home").alias("any"), F.count("*").alias("k")).where("lo < hi and any")
+    named = met.join(labels, "node", "left").select("a", "b", "home", "node", F.coalesce("comp", "node").alias("comp"))
+    open_ = named.groupBy("a", "b").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("home").alias("any"), F.count("*").alias("k")).where("lo < hi and any")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("k") / BLOCK_NODES)).cast("long")
-    left = met.join(open_.select("a", "b", blocks.alias("blocks")), ["a", "b"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    left = named.join(open_.select("a", "b", blocks.alias("blocks")), ["a", "b"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
     others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("p"), F.greatest("block", o).alias("q")))
     left = left.select("a", "b", "home", "node", "comp", "block", F.explode(others).alias("m")).select("a", "b", "m.p", "m.q", "home", "node", "comp", "block")
-    pairs = _traversed(left.join(bits, "node"), num, den)
-    more = stored(verified(stored(pairs.distinct(), "pairs"), sets, num, den), "links")
+    pairs = _traversed(left.join(bits, "node"), num, den).distinct()
+    more = stored(verified(stored(_possible(pairs, wide, num, den), "pairs"), sets, num, den), "links")
     labels = components(edges.unionByName(more))
 
     classed = rows.select("id", "n", "node").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
