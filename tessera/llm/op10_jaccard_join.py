@@ -33,6 +33,8 @@ from tessera.llm.linking import bitmap, components, in_filter, node_filter, node
 BLOCK_NODES, LEAF = 1024, 32
 #: Hashes that are counted together, and texts among theirs that make a hash frequent.
 RUN_HASHES, FREQUENT = 1 << 20, 6
+#: Partners of a node in another component that are verified first.
+LIKELIEST = 2
 
 
 class SignatureTree:
@@ -151,9 +153,10 @@ def profiles(df: DataFrame, id_col: str, text_col: str, shingle: int, num: int,
                     n.append(k)
                     node.append(node_of(v) if k else None)
                     late = in_filter(v, last.value)
-                    prefix.append(np.concatenate([v[~late], v[late]])[: k - -(-num * k // den) + 1].view(np.int64) if k else v.view(np.int64))
-                    bits.append(bitmap(v, 1) if k else None)
-                    wide.append(bitmap(v, 8) if k else None)
+                    tokens = np.concatenate([v[~late] >> np.uint64(1) ^ np.uint64(1 << 63), v[late] >> np.uint64(1)])  # in signed order
+                    prefix.append(tokens[: k - -(-num * k // den) + 1].view(np.int64) if k else v.view(np.int64))
+                    bits.append(bitmap(v, 4) if k else None)
+                    wide.append(bitmap(v, 16) if k else None)
                 ends = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
                 flat = np.concatenate(prefix) if prefix else np.empty(0, dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(bits, pa.binary()), pa.array(wide, pa.binary())], ["id", "n", "node", "prefix", "bits", "wide"])
@@ -198,21 +201,21 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle:
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(den / num)) + F.lit(1e-9)).cast("long")
 
     # groups of two nodes or more by a shared prefix hash; of those with the same members (and copies of members) one is compared
-    prefix = rows.where("node is not null").select(F.explode("prefix").alias("a"), "node", "n")
+    prefix = rows.where("node is not null").select(F.posexplode("prefix").alias("pos", "a"), "node", "n")
     h = F.xxhash64("node")
     halves = F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("s"), F.sum(F.shiftright(h, 32)).alias("t")
     shared = prefix.groupBy("a").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("k"), *halves).where("lo < hi")
     shared = stored(shared, "shared")
     one = shared.groupBy("lo", "hi", "k", "s", "t").agg(F.min("a").alias("a")).select("a", F.lit(True).alias("one"))
-    flagged = shared.select("a").join(one, "a", "left").withColumn("one", F.coalesce("one", F.lit(False)))
+    flagged = shared.select("a", "lo").join(one, "a", "left").withColumn("one", F.coalesce("one", F.lit(False)))
     every = stored(prefix.join(flagged, "a").distinct().withColumn("band", band), "groups")
     length = F.col("n") - F.ceil(F.col("n") * num / den) + 1
     known = every.groupBy("node", "n").agg(F.count("*").alias("k")).select("node", (F.col("k") / length).alias("known"))
-    groups = stored(every.where("one").select("a", "node", "n", "band").join(known, "node"), "groups")
+    groups = stored(every.where("one").select("a", "lo", "pos", "node", "n", "band").join(known, "node"), "groups")
 
     # one pivot for each group and band; a band also holds the one below
     homes = F.array(F.struct(F.col("band").alias("b"), F.lit(True).alias("home")), F.struct((F.col("band") + 1).alias("b"), F.lit(False).alias("home")))
-    met = groups.select("a", "node", "n", "known", F.explode(homes).alias("to")).select("a", "to.b", "to.home", "node", "n", "known")
+    met = groups.select("a", "lo", "pos", "node", "n", "known", F.explode(homes).alias("to")).select("a", "lo", "pos", "to.b", "to.home", "node", "n", "known")
     pivots = met.groupBy("a", "b").agg(F.max(F.struct("known", "node", "n")).alias("p"), F.max("home").alias("any"), F.count("*").alias("k")).where("k > 1 and any").select("a", "b", F.col("p.node").alias("u"), F.col("p.n").alias("un"))
     star = met.join(pivots, ["a", "b"]).where(F.col("u") != F.col("node")).where(f"{den} * least(n, un) >= {num} * greatest(n, un)").select("u", F.col("node").alias("v")).distinct()
     bitmaps = rows.where("node is not null").select("node", "n", "bits", "wide").join(groups.select("node").distinct(), "node", "left_semi")
@@ -222,16 +225,12 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle:
     edges = stored(verified(stored(_possible(star, wide, num, den), "star"), sets, num, den), "links")
     labels = components(edges)
 
-    # what is left in groups of two components or more
-    named = met.join(labels, "node", "left").select("a", "b", "home", "node", F.coalesce("comp", "node").alias("comp"))
-    open_ = named.groupBy("a", "b").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("home").alias("any"), F.count("*").alias("k")).where("lo < hi and any")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("k") / BLOCK_NODES)).cast("long")
-    left = named.join(open_.select("a", "b", blocks.alias("blocks")), ["a", "b"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-    others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("p"), F.greatest("block", o).alias("q")))
-    left = left.select("a", "b", "home", "node", "comp", "block", F.explode(others).alias("m")).select("a", "b", "m.p", "m.q", "home", "node", "comp", "block")
-    pairs = _traversed(left.join(bits, "node"), num, den).distinct()
-    more = stored(verified(stored(_possible(pairs, wide, num, den), "pairs"), sets, num, den), "links")
-    labels = components(edges.unionByName(more))
+    # what is left in groups of two components or more: first the likeliest partners in each other component, then all
+    for most in (LIKELIEST, None):
+        pairs = stored(_possible(_traversed(_open_groups(met, labels).join(bits, "node"), num, den, most).distinct(), wide, num, den), "pairs")
+        if pairs.limit(1).count():
+            edges = edges.unionByName(stored(verified(pairs, sets, num, den), "links"))
+            labels = components(edges)
 
     classed = rows.select("id", "n", "node").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = classed.where("node is not null").groupBy("comp").agg(F.min("id").alias("least"))
@@ -239,6 +238,17 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle:
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
 
+def _open_groups(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of groups a, b that hold two components, once for each pair of blocks p, q that they take part in."""
+    named = met.join(labels, "node", "left").select("a", "lo", "pos", "b", "home", "node", F.coalesce("comp", "node").alias("comp"))
+    open_ = named.groupBy("a", "b").agg(F.min("comp").alias("lo_"), F.max("comp").alias("hi_"), F.max("home").alias("any"), F.count("*").alias("k")).where("lo_ < hi_ and any")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("k") / BLOCK_NODES)).cast("long")
+    left = named.join(open_.select("a", "b", blocks.alias("blocks")), ["a", "b"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("p"), F.greatest("block", o).alias("q")))
+    left = left.withColumn("m", F.explode(others))
+    return left.select("lo", "b", "blocks", "m.p", "m.q", "a", "pos", "home", "node", "comp", "block")
+
+
 def _possible(pairs: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs u, v whose bitmaps leave room for a link."""
     both = pairs.join(bits.select(F.col("node").alias("v"), F.col("n").alias("vn"), F.col("bits").alias("vb")), "v")
@@ -258,52 +268,83 @@ def _possible(pairs: DataFrame, bits: DataFrame, num: int, den: int) -> DataFram
     return both.mapInArrow(run, "u long, v long")
 
 
-def _traversed(left: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs u, v of every group a, b and pair of blocks p, q; rows come sorted, a group at a time is held."""
-    keys = ["a", "b", "p", "q"]
+def _traversed(left: DataFrame, num: int, den: int, most: int | None) -> DataFrame:
+    """Candidate pairs u, v of every group and pair of blocks; with ``most`` only a node's likeliest partners in each other component.
+
+    Groups with one smallest member are mostly one family's; they go to one task a pair of blocks, which gives their pairs once.
+    Rows come sorted; a group at a time is held, and the pairs of two blocks.
+    """
+    keys = ["lo", "b", "blocks", "p", "q"]
 
     def compared(rows):
-        if len(rows) < 2:
-            return
-        bits, sizes = _folded([r[8] for r in rows]), np.array([r[4] for r in rows])
-        nodes, comps, home, block = (np.array([r[k] for r in rows]) for k in (5, 6, 7, 9))
-        p, q = rows[0][2:4]
+        bits, sizes = _folded([r[11] for r in rows]), np.array([r[6] for r in rows])
+        nodes, comps, pos, home, block = (np.array([r[k] for r in rows]) for k in (7, 8, 9, 10, 12))
+        p, q = rows[0][3:5]
         if p == q:
             t = SignatureTree(bits, sizes, comps)
             i, j = dual_traversal(t, t, num, den)
         else:
             one, two = np.flatnonzero(block == p), np.flatnonzero(block == q)
             if not len(one) or not len(two):
-                return
+                return None
             i, j = dual_traversal(SignatureTree(bits[one], sizes[one], comps[one]), SignatureTree(bits[two], sizes[two], comps[two]), num, den)
             i, j = one[i], two[j]
-        keep = home[i] | home[j]
-        u, v = nodes[i[keep]], nodes[j[keep]]
-        yield np.minimum(u, v), np.maximum(u, v)
+        need = -(-num * (sizes[i] + sizes[j]) // (num + den))
+        keep = (home[i] | home[j]) & (np.minimum(sizes[i] - pos[i], sizes[j] - pos[j]) >= need)  # else their first common hash comes earlier
+        i, j = i[keep], j[keep]
+        if not len(i):
+            return None
+        far = np.array([int(np.bitwise_count(bits[s] ^ bits[t]).sum()) for s, t in zip(i, j)]) if most else np.zeros(len(i), dtype=np.int64)
+        flip = nodes[i] > nodes[j]
+        u, v = np.where(flip, j, i), np.where(flip, i, j)
+        return np.stack([nodes[u], nodes[v], comps[u], comps[v], far])
+
+    def once(found):
+        every = np.concatenate(found, axis=1)
+        order = np.lexsort((every[1], every[0]))
+        every = every[:, order]
+        return every[:, np.concatenate(([True], (np.diff(every[0]) != 0) | (np.diff(every[1]) != 0)))]
+
+    def likeliest(every):
+        chosen = np.zeros(every.shape[1], dtype=bool)
+        for own, other in ((0, 3), (1, 2)):
+            order = np.lexsort((every[4], every[other], every[own]))
+            new = np.concatenate(([True], (np.diff(every[own][order]) != 0) | (np.diff(every[other][order]) != 0)))
+            at = np.arange(len(order))
+            rank = at - np.maximum.accumulate(np.where(new, at, 0))
+            chosen[order[rank < most]] = True
+        return every[:, chosen]
 
     def run(batches):
         import pyarrow as pa
 
-        held, at, found, many = [], None, [], 0
+        held, at, found = [], None, []
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], ["u", "v"])
+            every = once(found)
+            every = likeliest(every) if most else every
+            return pa.RecordBatch.from_arrays([pa.array(every[0]), pa.array(every[1])], ["u", "v"])
+
+        def group():
+            if len(held) > 1 and (pairs := compared(held)) is not None:
+                found.append(pairs)
+                if sum(f.shape[1] for f in found) > 1_000_000:
+                    found[:] = [once(found)]
 
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns)):
-                if row[:4] != at:
-                    found += compared(held)
-                    held, at = [], row[:4]
+                if row[:6] != at:
+                    group()
+                    if at is not None and row[:5] != at[:5] and found:
+                        yield out()
+                        found.clear()
+                    held, at = [], row[:6]
                 held.append(row)
-            many = sum(len(f[0]) for f in found)
-            if many > 100_000:
-                yield out()
-                found = []
-        found += compared(held)
+        group()
         if found:
             yield out()
 
-    sorted_ = left.select(*keys, "n", "node", "comp", "home", "bits", "block").repartition(*keys).sortWithinPartitions(*keys, "n", "node")
+    sorted_ = left.select(*keys, "a", "n", "node", "comp", "pos", "home", "bits", "block").repartition(*keys).sortWithinPartitions(*keys, "a", "n", "node")
     return sorted_.mapInArrow(run, "u long, v long")
 
 
