@@ -32,9 +32,9 @@ from tessera.llm.linking import bitmap, components, in_filter, node_filter, node
 #: Nodes of one block, and members of a leaf of the tree.
 BLOCK_NODES, LEAF = 1024, 32
 #: Hashes that are counted together, and texts among theirs that make a hash frequent.
-RUN_HASHES, FREQUENT = 1 << 20, 6
-#: Partners of a node in another component that are verified first.
-LIKELIEST = 2
+RUN_HASHES, FREQUENT = 1 << 22, 3
+#: Partners of a node in another component that are verified first, in groups of at least so many nodes.
+LIKELIEST, FAMILY = 2, 64
 
 
 class SignatureTree:
@@ -155,8 +155,8 @@ def profiles(df: DataFrame, id_col: str, text_col: str, shingle: int, num: int,
                     late = in_filter(v, last.value)
                     tokens = np.concatenate([v[~late] >> np.uint64(1) ^ np.uint64(1 << 63), v[late] >> np.uint64(1)])  # in signed order
                     prefix.append(tokens[: k - -(-num * k // den) + 1].view(np.int64) if k else v.view(np.int64))
-                    bits.append(bitmap(v, 4) if k else None)
-                    wide.append(bitmap(v, 16) if k else None)
+                    bits.append(bitmap(v, 2) if k else None)
+                    wide.append(bitmap(v, 8) if k else None)
                 ends = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
                 flat = np.concatenate(prefix) if prefix else np.empty(0, dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(bits, pa.binary()), pa.array(wide, pa.binary())], ["id", "n", "node", "prefix", "bits", "wide"])
@@ -226,8 +226,8 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle:
     labels = components(edges)
 
     # what is left in groups of two components or more: first the likeliest partners in each other component, then all
-    for most in (LIKELIEST, None):
-        pairs = stored(_possible(_traversed(_open_groups(met, labels).join(bits, "node"), num, den, most).distinct(), wide, num, den), "pairs")
+    for most, least in ((LIKELIEST, FAMILY), (None, 2)):
+        pairs = stored(_possible(_traversed(_open_groups(met, labels, least, num, den).join(bits, "node"), num, den, most).distinct(), wide, num, den), "pairs")
         if pairs.limit(1).count():
             edges = edges.unionByName(stored(verified(pairs, sets, num, den), "links"))
             labels = components(edges)
@@ -238,12 +238,17 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle:
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
 
-def _open_groups(met: DataFrame, labels: DataFrame) -> DataFrame:
-    """The members of groups a, b that hold two components, once for each pair of blocks p, q that they take part in."""
-    named = met.join(labels, "node", "left").select("a", "lo", "pos", "b", "home", "node", F.coalesce("comp", "node").alias("comp"))
-    open_ = named.groupBy("a", "b").agg(F.min("comp").alias("lo_"), F.max("comp").alias("hi_"), F.max("home").alias("any"), F.count("*").alias("k")).where("lo_ < hi_ and any")
+def _open_groups(met: DataFrame, labels: DataFrame, least: int, num: int, den: int) -> DataFrame:
+    """The members of groups a, b of at least so many nodes in two components, once for each pair of blocks p, q they take part in.
+
+    A member goes where its place in hash order leaves too few hashes for a link with even the smallest of the group:
+    what it links with shares an earlier hash.
+    """
+    named = met.join(labels, "node", "left").select("a", "lo", "pos", "b", "home", "node", "n", F.coalesce("comp", "node").alias("comp"))
+    open_ = named.groupBy("a", "b").agg(F.min("comp").alias("lo_"), F.max("comp").alias("hi_"), F.max("home").alias("any"), F.min("n").alias("small"), F.count("*").alias("k")).where(f"lo_ < hi_ and any and k >= {least}")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("k") / BLOCK_NODES)).cast("long")
-    left = named.join(open_.select("a", "b", blocks.alias("blocks")), ["a", "b"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    need = F.ceil(F.lit(num) * (F.col("n") + F.greatest("small", F.ceil(F.col("n") * num / den))) / (num + den))
+    left = named.join(open_.select("a", "b", "small", blocks.alias("blocks")), ["a", "b"]).where(F.col("n") - F.col("pos") >= need).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
     others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("p"), F.greatest("block", o).alias("q")))
     left = left.withColumn("m", F.explode(others))
     return left.select("lo", "b", "blocks", "m.p", "m.q", "a", "pos", "home", "node", "comp", "block")
