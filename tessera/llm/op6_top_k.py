@@ -95,10 +95,17 @@ class TopK:
         most = self.first[live] @ r[:, :HEAD].T
         most += self.rest[live, None] * np.linalg.norm(r[:, HEAD:], axis=1)[None, :]
         i, j = np.nonzero(most + slack[live, None] >= self.floor[live, None])
-        i = live[i]
+        if len(i) * 50 > most.size and np.abs(self.q).max() * np.abs(c).max() * c.shape[1] < _EXACT:
+            whole = (self.q[live] @ c.T)[i, j]  # so many are left that one product of all is cheaper; exact, being whole numbers
+            near = whole >= self.floor[live[i]]
+            i, j = live[i[near]], j[near]
+        else:
+            whole, i = None, live[i]
         other = self.ids[i] != ids[j]
+        if whole is not None:
+            score = whole[near][other].astype(np.int64)
         i, j = i[other], j[other]
-        score = np.concatenate([_scores(self.q[i[s : s + 65536]], c[j[s : s + 65536]]) for s in range(0, len(i), 65536)] or [np.empty(0, dtype=np.int64)])
+        score = score if whole is not None else np.concatenate([_scores(self.q[i[s : s + 65536]], c[j[s : s + 65536]]) for s in range(0, len(i), 65536)] or [np.empty(0, dtype=np.int64)])
         good = score >= self.floor[i]
         i, j, score = i[good], j[good], score[good]
         order = np.lexsort((ids[j], -score, i))
