@@ -9,22 +9,23 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import op3_quality, op5_mixing, op7_pii, op8_packing, op10_jaccard_join
-from tessera.llm.common import stored
+from tessera.llm.common import stored, unused
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ranking model accepts (score of 0.7 or more)."""
     model = op3_quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return op3_quality.score(docs, model).where(F.col("score") >= op3_quality.CUT).drop("score")
+    name = unused(docs, "score")
+    return op3_quality.score(docs, model, name=name).where(F.col(name) >= op3_quality.CUT).drop(name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of links: that with the smallest id.  Rows of one id are one document; the smallest text stays."""
     classes = op10_jaccard_join.join(docs)
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
-    own = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return own.withColumn("first__", first).where("first__ = 1").drop("first__").select(docs.columns)
+    name, first = unused(docs, "kept"), F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
+    own = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
+    return own.withColumn(name, first).where(F.col(name) == 1).select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +35,11 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes its words, to the nearest whole number; documents of which it takes less than half go."""
-    taken = op5_mixing.mix(docs).groupBy(F.col("doc_id").alias("mixed")).agg(F.floor(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1)) + 0.5).cast("int").alias("copies"))
-    each = docs.join(taken.where("copies > 0"), F.col("doc_id").eqNullSafe(F.col("mixed")))
-    return each.withColumn("copy__", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+    own, copies, copy = (unused(docs, name) for name in ("mixed_id", "mixed_copies", "mixed_copy"))
+    times = F.floor(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1)) + 0.5).cast("int")
+    taken = op5_mixing.mix(docs).groupBy(F.col("doc_id").alias(own)).agg(times.alias(copies)).where(F.col(copies) > 0)
+    each = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(own)))
+    return each.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -134,10 +134,10 @@ def frequent_hashes(df: DataFrame, text_col: str, shingle: int, lower: bool) ->
     return node_filter(texts.mapInArrow(run, "node long").distinct())
 
 
-def profiles(df: DataFrame, id_col: str, text_col: str, shingle: int, num: int, den: int, lower: bool = True) -> DataFrame:
-    """id, n, node, prefix, bits, wide for each row; node and bitmaps are null for an empty set."""
+def profiles(df: DataFrame, id_col: str, text_col: str, shingle: int, num: int, den: int, lower: bool = True, keys=None) -> DataFrame:
+    """id, n, node, prefix (or what keys makes of a set), bits, wide for each row; node and bitmaps are null for an empty set."""
     id_type = df.schema[id_col].dataType.simpleString()
-    last = df.sparkSession.sparkContext.broadcast(frequent_hashes(df, text_col, shingle, lower))
+    last = None if keys else df.sparkSession.sparkContext.broadcast(frequent_hashes(df, text_col, shingle, lower))
 
     def run(batches):
         import pyarrow as pa
@@ -152,9 +152,14 @@ def profiles(df: DataFrame, id_col: str, text_col: str, shingle: int, num: int,
                     k = len(v)
                     n.append(k)
                     node.append(node_of(v) if k else None)
-                    late = in_filter(v, last.value)
-                    tokens = np.concatenate([v[~late] >> np.uint64(1) ^ np.uint64(1 << 63), v[late] >> np.uint64(1)])  # in signed order
-                    prefix.append(tokens[: k - -(-num * k // den) + 1].view(np.int64) if k else v.view(np.int64))
+                    if not k:
+                        prefix.append(v.view(np.int64))
+                    elif keys:
+                        prefix.append(keys(v).view(np.int64))
+                    else:
+                        late = in_filter(v, last.value)
+                        tokens = np.concatenate([v[~late] >> np.uint64(1) ^ np.uint64(1 << 63), v[late] >> np.uint64(1)])  # in signed order
+                        prefix.append(tokens[: k - -(-num * k // den) + 1].view(np.int64))
                     bits.append(bitmap(v, 2) if k else None)
                     wide.append(bitmap(v, 8) if k else None)
                 ends = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
@@ -194,14 +199,19 @@ def whole_sets(df: DataFrame, text_col: str, shingle: int, lower: bool = True):
     return sets
 
 
-def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """id, n_shingles, component_id (the smallest id reachable by links of Jaccard >= num / den), one row a row of df."""
+def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, num: int = 85, den: int = 100, lower: bool = True, keys=None) -> DataFrame:
+    """id, n_shingles, component_id (the smallest id reachable by links of Jaccard >= num / den), one row a row of df.
+
+    With keys (a set's hashes to its group keys) candidates come from those groups instead of prefixes.
+    """
     bounded_batches(df.sparkSession)
-    rows = stored(profiles(df, id_col, text_col, shingle, num, den), "profiles")
+    rows = stored(profiles(df, id_col, text_col, shingle, num, den, lower, keys), "profiles")
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(den / num)) + F.lit(1e-9)).cast("long")
 
     # groups of two nodes or more by a shared prefix hash; of those with the same members (and copies of members) one is compared
     prefix = rows.where("node is not null").select(F.posexplode("prefix").alias("pos", "a"), "node", "n")
+    if keys:
+        prefix = prefix.withColumn("pos", F.lit(0))  # places of band keys say nothing about overlaps
     h = F.xxhash64("node")
     halves = F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("s"), F.sum(F.shiftright(h, 32)).alias("t")
     shared = prefix.groupBy("a").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("k"), *halves).where("lo < hi")
@@ -221,7 +231,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle:
     bitmaps = rows.where("node is not null").select("node", "n", "bits", "wide").join(groups.select("node").distinct(), "node", "left_semi")
     bitmaps = stored(bitmaps.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("wide").alias("wide")), "bits")
     bits, wide = bitmaps.select("node", "n", "bits"), bitmaps.select("node", "n", F.col("wide").alias("bits"))
-    sets = whole_sets(df, text_col, shingle)
+    sets = whole_sets(df, text_col, shingle, lower)
     edges = stored(verified(stored(_possible(star, wide, num, den), "star"), sets, num, den), "links")
     labels = components(edges)
 

@@ -19,6 +19,8 @@ from tessera.llm.word_arrays import blocks, mix, shingle_rows
 
 PERMUTATIONS = 128
 SHINGLE = 5
+#: Bands of the signature and values in each.
+BANDS, ROWS = 25, 5
 _A = (mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (mix(np.arange(1001, PERMUTATIONS + 1001, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 #: Shingles that are permuted at a time, so that they stay in the processor's cache.
@@ -132,5 +134,27 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     return out.withColumnRenamed("id", id_col)
 
 
+def band_keys(values: np.ndarray) -> np.ndarray:
+    """The keys of a set's signature bands: BANDS hashes of ROWS smallest values each."""
+    out = np.full((1, PERMUTATIONS), 0xFFFFFFFF, dtype=np.uint32)
+    _smallest((values >> np.uint64(32)).astype(np.uint32), np.array([0, len(values)]), out)
+    rows = out[0, : BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for k in range(ROWS):
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, k])
+    return key
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_shingles, component_id: classes of texts joined by verified Jaccard similarities of 0.8 or more.
+
+    Candidates share a signature band; at 0.8 a pair shares one with probability 0.99995.  They are verified on whole sets,
+    by way of pivots and signature trees, so a large band is never spelled out in pairs.
+    """
+    from tessera.llm.op10_jaccard_join import join
+
+    return join(df, id_col, text_col, SHINGLE, 80, 100, lower=False, keys=band_keys)
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -8,7 +8,8 @@ What is left is scored in whole numbers, so results are exact.
 
 Queries go out in blocks of BLOCK at most, one job each, so what is broadcast is bounded.  Vectors null or with null or non-finite components
 take no part; shorter vectors count as padded with zeros; of rows with one id that with the smallest vector counts, and
-rows with a query's id are its own; an empty table gives an empty result; other columns do not matter.
+rows with a query's id are its own; a product beyond 64 bits is an error; an empty table gives an empty result; other columns do
+not matter.
 """
 
 from __future__ import annotations
