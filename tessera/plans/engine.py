@@ -119,7 +119,7 @@ def oracle() -> dict[str, str]:
     d = Dialect(False)
     last = "(SELECT max(id) FROM neurons)"
     swapped = PLACED.replace("SELECT id AS neuron, id DIV n AS core, id % n AS local FROM neurons CROSS JOIN hw", f"SELECT id AS neuron, slot DIV n AS core, slot % n AS local FROM (SELECT id, CASE WHEN id = 0 THEN {last} WHEN id = {last} THEN 0 ELSE id END AS slot FROM neurons) z CROSS JOIN hw")
-    n8 = " + ".join(f"{3 * 4 ** (k - 1)} * (n DIV {2**k})" for k in (1, 2, 3))
+    n8 = " + ".join(f"{3 * 4 ** (k - 1)} * (n DIV CAST(least({2**k}, n) AS BIGINT))" for k in (1, 2, 3))
     sql = {
         "w1_optimal_slices": f"WITH {PLACED} SELECT neuron, distance, slice, hits FROM slices",
         "w2_delta_slices": f"WITH {swapped} SELECT neuron, distance, slice, hits FROM slices",
