@@ -81,7 +81,7 @@ def catalog(d: Dialect) -> dict[str, str]:
     drawn = f"{d.uniform(7, 't', 'dist')} % {m.slices_sql('dist')}"
     slot_pairs = f"(SELECT s, t, s DIV {m.n} AS cs, s % {m.n} AS xs, t DIV {m.n} AS ct FROM {d.range(m.slots, 's')} a CROSS JOIN {d.range(m.slots, 't')} b)"
     chosen = f"(SELECT *, {drawn} AS k FROM (SELECT *, {m.distance_sql('cs', 'ct')} AS dist FROM {slot_pairs} p) o)"
-    q["g2_feasible_mosaic"] = f"SELECT CAST(s AS BIGINT) AS src, CAST(t AS BIGINT) AS tgt FROM {chosen} c WHERE s <> t AND (dist = 0 OR (xs >= {m.low_sql('dist', 'k')} AND xs < {m.high_sql('dist', 'k')})) AND {d.chance('0.5', 42, 's', 't')}"
+    q["g2_feasible_slices"] = f"SELECT CAST(s AS BIGINT) AS src, CAST(t AS BIGINT) AS tgt FROM {chosen} c WHERE s <> t AND (dist = 0 OR (xs >= {m.low_sql('dist', 'k')} AND xs < {m.high_sql('dist', 'k')})) AND {d.chance('0.5', 42, 's', 't')}"
     q["g3_soft_wta"] = f"SELECT CAST(i AS BIGINT) AS src, CAST(j AS BIGINT) AS tgt FROM (SELECT i, j, i DIV 12 AS cs, j DIV 12 AS ct FROM {ij}) e WHERE i <> j AND {d.chance(p, 42, 'i', 'j')}"
     q["g4_wta"] = f"SELECT CAST(src AS BIGINT) AS src, CAST(tgt AS BIGINT) AS tgt FROM (SELECT i AS src, {n - 1} AS tgt FROM {d.range(n - 1, 'i')} a UNION ALL SELECT {n - 1} AS src, i AS tgt FROM {d.range(n - 1, 'i')} b) e WHERE {d.chance('0.5', 42, 'src', 'tgt')}"
     lca = " + ".join(f"CAST(i DIV {15 * 2**k} <> j DIV {15 * 2**k} AS INT)" for k in range(2))
@@ -136,7 +136,7 @@ def catalog(d: Dialect) -> dict[str, str]:
     q["q5_tie_break"] = f"SELECT CAST(h AS BIGINT) AS h, round(100 * abs(pow(81.0, 1.0 / h) - round(pow(81.0, 1.0 / h))), 6) AS score FROM (SELECT h + 1 AS h FROM {d.range(6, 'h')} a) t"
     q["q6_levels_for_base"] = f"SELECT CAST(k AS BIGINT) AS blocks, CAST(greatest(1, round(ln(k) / ln(3))) AS BIGINT) AS h FROM (SELECT k + 1 AS k FROM {d.range(100, 'k')} a) t"
     # pipeline shapes
-    q["x1_experiment_grid"] = "SELECT input_id, mapper, bundle FROM (VALUES ('ER_60n_p0.1'), ('Mosaic_R=2_l=2_N=15_p=0.5_seed=42')) i(input_id) CROSS JOIN (VALUES ('Greedy'), ('QAP'), ('SA')) m(mapper) CROSS JOIN (VALUES ('relative'), ('raw')) b(bundle)"
+    q["x1_experiment_grid"] = "SELECT input_id, mapper, bundle FROM (VALUES ('ER_60n_p0.1'), ('Feasible_R=2_l=2_N=15_p=0.5_seed=42')) i(input_id) CROSS JOIN (VALUES ('Greedy'), ('QAP'), ('SA')) m(mapper) CROSS JOIN (VALUES ('relative'), ('raw')) b(bundle)"
     q["x4_against_baseline"] = f"WITH {RESULTS}, a AS (SELECT input_id, metric, mapper, avg(value) AS v FROM results GROUP BY input_id, metric, mapper), b AS (SELECT input_id, metric, v FROM a WHERE mapper = 'mapper0') SELECT a.input_id, a.metric, a.mapper, round(CASE WHEN a.metric = 'Hardware Size' THEN a.v / b.v ELSE a.v - b.v END, 9) AS relative FROM a JOIN b ON b.input_id = a.input_id AND b.metric = a.metric"
     q["x7_unpivot"] = f"WITH {RESULTS}, w AS (SELECT mapper, input_id, max(CASE WHEN metric = 'Inconsistencies' THEN value END) AS a, max(CASE WHEN metric = 'Hardware Size' THEN value END) AS b FROM results GROUP BY mapper, input_id) SELECT mapper, input_id, 'Inconsistencies' AS metric, a AS value FROM w UNION ALL SELECT mapper, input_id, 'Hardware Size', b FROM w"
     q["x8_pivot"] = f"WITH {RESULTS} SELECT mapper, input_id, coalesce(max(CASE WHEN metric = 'Hardware Size' THEN CAST(CAST(value AS BIGINT) AS STRING) END), '') AS hardware_size, coalesce(max(CASE WHEN metric = 'Inconsistencies' THEN CAST(CAST(value AS BIGINT) AS STRING) END), '') AS inconsistencies FROM results GROUP BY mapper, input_id"
