@@ -67,8 +67,9 @@ class SliceCounts:
         self.hw, self.core, self.local = hw, core.copy(), local.copy()
         self.out, self.into = [tgt[src == i] for i in range(n)], [src[tgt == i] for i in range(n)]
         self.counts = np.zeros((n, hw.l + 1, max(hw.slices_at(d) for d in range(hw.l + 1))), dtype=np.int64)
-        for s, t in zip(src.tolist(), tgt.tolist()):
-            self._add(s, t, 1)
+        d = sum((self.core[src] // hw.r**k != self.core[tgt] // hw.r**k).astype(np.int64) for k in range(hw.l)) + np.zeros(len(src), dtype=np.int64)
+        widths = np.array([hw.slices_at(k) for k in range(hw.l + 1)])
+        np.add.at(self.counts, (tgt, d, ((self.local[src] + 1) * widths[d] - 1) // hw.n), 1)
         self.energy = len(src) - int(self._kept(np.arange(n)))
 
     def _distance(self, a: int, b: int) -> int:
@@ -89,7 +90,7 @@ class SliceCounts:
         """Neurons to cores and addresses at once; returns the change of energy."""
         moved = {i for i, _, _ in changes}
         links = {(i, int(t)) for i in moved for t in self.out[i]} | {(int(s), i) for i in moved for s in self.into[i]}
-        rows = np.array(sorted({t for _, t in links} | moved))
+        rows = np.array(sorted({t for _, t in links} | moved), dtype=np.int64)
         before = self._kept(rows)
         for s, t in links:
             self._add(s, t, -1)
@@ -102,10 +103,14 @@ class SliceCounts:
         return change
 
 
-def annealed(n: int, src, tgt, hw: HardwareConfig, seed: int, start: float = 50.0, stop: float = 0.01, alpha: float = 0.98, steps: int = 10):
-    """(core, local, energy) of the best state of one chain: swaps and moves to free slots, Metropolis acceptance, cooling by alpha."""
+def annealed(n: int, src, tgt, hw: HardwareConfig, seed: int, start: float = 50.0, stop: float = 0.01, alpha: float = 0.98, steps: int = 10, start_cores: np.ndarray | None = None):
+    """(core, local, energy) of the best state of one chain: swaps and moves to free slots, Metropolis acceptance, cooling by alpha.
+    It starts at random, or at given cores with addresses by id."""
     rng = np.random.default_rng(seed)
     slots = rng.permutation(hw.slots)
+    if start_cores is not None:
+        held = start_cores * hw.n + addresses(start_cores)
+        slots = np.concatenate([held, rng.permutation(np.setdiff1d(np.arange(hw.slots), held))])
     free = slots[n:].tolist()
     state = SliceCounts(n, src, tgt, slots[:n] // hw.n, slots[:n] % hw.n, hw)
     best, t = (state.core.copy(), state.local.copy(), state.energy), start

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera import graph
 from tessera.hw import HardwareConfig
-from tessera.operators import kernels, slices
+from tessera.operators import estimators, kernels, searches, slices, spectral
 from tessera.plans.catalog import GRAPH, LABELS, PLACED, Dialect
 from tessera.sources import results
 
@@ -73,21 +73,80 @@ def _small_graphs(spark: SparkSession):
     return er.unionByName(two), spark.createDataFrame([("er", 60), ("two", 16)], "graph_id string, n long")
 
 
+def _missed(edges: DataFrame, placement: DataFrame, hw: HardwareConfig) -> DataFrame:
+    """Links of each network, and those that its best slices miss."""
+    s = placement.select("graph_id", F.col("neuron").alias("src"), F.col("core").alias("src_core"), F.col("local").alias("src_local"))
+    t = placement.select("graph_id", F.col("neuron").alias("tgt"), F.col("core").alias("tgt_core"))
+    at = edges.join(s, ["graph_id", "src"]).join(t, ["graph_id", "tgt"]).withColumn("distance", hw.distance("src_core", "tgt_core"))
+    hits = at.groupBy("graph_id", "tgt", "distance", hw.slice_of("distance", "src_local").alias("slice")).agg(F.count("*").alias("hits"))
+    kept = hits.groupBy("graph_id", "tgt", "distance").agg(F.when(F.col("distance") == 0, F.sum("hits")).otherwise(F.max("hits")).alias("kept"), F.sum("hits").alias("k"))
+    return kept.groupBy("graph_id").agg(F.sum("k").alias("m"), F.sum(F.col("k") - F.col("kept")).alias("inconsistencies"))
+
+
 def _mapper(method: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         edges, sizes = _small_graphs(spark)
         hw = HardwareConfig(2, 16, 2, 2)
-        placement = kernels.mapped(edges, sizes, hw, method)
-        s = placement.select("graph_id", F.col("neuron").alias("src"), F.col("core").alias("src_core"), F.col("local").alias("src_local"))
-        t = placement.select("graph_id", F.col("neuron").alias("tgt"), F.col("core").alias("tgt_core"))
-        at = edges.join(s, ["graph_id", "src"]).join(t, ["graph_id", "tgt"]).withColumn("distance", hw.distance("src_core", "tgt_core"))
-        hits = at.groupBy("graph_id", "tgt", "distance", hw.slice_of("distance", "src_local").alias("slice")).agg(F.count("*").alias("hits"))
-        kept = hits.groupBy("graph_id", "tgt", "distance").agg(F.when(F.col("distance") == 0, F.sum("hits")).otherwise(F.max("hits")).alias("kept"), F.sum("hits").alias("k"))
-        return kept.groupBy("graph_id").agg(F.sum("k").alias("m"), F.sum(F.col("k") - F.col("kept")).alias("inconsistencies"))
+        found = kernels.mapped(edges, sizes, hw, method) if method in kernels.METHODS else searches.searched(edges, sizes, method, hw)
+        return _missed(edges, found, hw)
+
+    return query
+
+
+def m3_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ring of six, and two complete fours, on two cores of four: the least that any placement misses."""
+    ids = spark.range(8).select(F.col("id").alias("src")).crossJoin(spark.range(8).select(F.col("id").alias("tgt")))
+    ring = ids.where("src < 6 and tgt = (src + 1) % 6").select(F.lit("ring").alias("graph_id"), "src", "tgt")
+    fours = ids.where("src <> tgt and src DIV 4 = tgt DIV 4").select(F.lit("fours").alias("graph_id"), "src", "tgt")
+    edges, hw = ring.unionByName(fours), HardwareConfig(2, 4, 1, 2)
+    return _missed(edges, searches.searched(edges, spark.createDataFrame([("ring", 6), ("fours", 8)], "graph_id string, n long"), "exact", hw), hw)
+
+
+def _hardware_search(method: str):
+    """Hardware that the search found, with what the placement breaks; hardware fits its network where both counts are 0."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        edges, sizes = _small_graphs(spark)
+        found = searches.searched(edges, sizes, method)
+        cores = F.pow("r", "l").cast("long")
+        own = found.groupBy("graph_id", "r", "n", "l", "f").agg(
+            F.count("*").alias("neurons"),
+            F.count_if((F.col("core") < 0) | (F.col("core") >= cores) | (F.col("local") < 0) | (F.col("local") >= F.col("n"))).alias("out_of_range"),
+            (F.count("*") - F.countDistinct("core", "local")).alias("slots_shared"),
+        )
+        return own.select("graph_id", "neurons", "out_of_range", "slots_shared")
+
+    return query
+
+
+def _clusters(method: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Four complete tens in a row, joined by single links: the finest level of the hierarchy."""
+        ids = spark.range(40).select(F.col("id").alias("src")).crossJoin(spark.range(40).select(F.col("id").alias("tgt")))
+        edges = ids.where("src <> tgt and src DIV 10 = tgt DIV 10 or tgt = src + 1").select(F.lit("tens").alias("graph_id"), "src", "tgt")
+        found = spectral.clustered(edges, spark.createDataFrame([("tens", 40)], "graph_id string, n long"), method)
+        return found.where("level = 0").select("neuron", "cluster", "parent")
 
     return query
 
 
+def c8_expected_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What chance gives for 1 to 24 groups when 1, 4, 12 and 24 are levels."""
+    levels = F.array(*map(F.lit, (1, 4, 12, 24)))
+    k, below, above = F.col("k"), F.array_max(F.filter(levels, lambda x: x <= F.col("k"))), F.array_min(F.filter(levels, lambda x: x > F.col("k")))
+    grid = spark.range(1, 25).select(F.col("id").alias("k")).select("k", below.alias("a"), above.alias("b"))
+    return grid.select("k", F.coalesce(F.round((k - F.col("a")) * (F.col("b") - k) / (F.col("b") - F.col("a")), 9), F.lit(0.0)).alias("expected"))
+
+
+def q2_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf size, branching, depth and probability of a planted network of eight leaves of 20, by each estimator."""
+    ids = spark.range(160).select(F.col("id").alias("src")).crossJoin(spark.range(160).select(F.col("id").alias("tgt"))).where("src <> tgt")
+    level = F.expr("CAST(src DIV 20 <> tgt DIV 20 AS INT) + CAST(src DIV 40 <> tgt DIV 40 AS INT) + CAST(src DIV 80 <> tgt DIV 80 AS INT)")
+    linked = graph.uniform(F.concat_ws(":", "src", "tgt")) < F.lit(0.6 * 2**32) * F.pow(F.lit(0.5), level)
+    edges = ids.where(linked).select(F.lit("tree").alias("graph_id"), "src", "tgt")
+    return estimators.estimated(edges, spark.createDataFrame([("tree", 160)], "graph_id string, n long"), depth=3)
+
+
 def k5_summary_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 100 = 0")
     summary = orders.select(
@@ -111,6 +170,18 @@ QUERIES = {
     "m2_greedy": _mapper("greedy"),
     "m5_three_step": _mapper("three_step"),
     "m8_annealing": _mapper("anneal"),
+    "m3_exact": m3_exact,
+    "m4_quadratic_assignment": _mapper("assigned"),
+    "c13_assigned_cores": _mapper("assigned_parts"),
+    "m12_slice_chain": _mapper("slice_chain"),
+    "m15_parts_then_annealing": _mapper("parts_then_anneal"),
+    "m10_hardware_chain": _hardware_search("hardware_chain"),
+    "m13_joint_chain": _hardware_search("joint_chain"),
+    "m15_parts_then_hardware": _hardware_search("parts_then_hardware"),
+    "c1_nested_blocks": _clusters("nested_blocks"),
+    "c2_spectral_hierarchy": _clusters("spectral"),
+    "c8_expected_errors": c8_expected_errors,
+    "q2_estimates": q2_estimates,
     "k5_summary_round_trip": k5_summary_round_trip,
 }
 
@@ -132,4 +203,9 @@ def oracle() -> dict[str, str]:
         "w7_random_placement": f"WITH {GRAPH}, slots AS (SELECT range AS slot, row_number() OVER (ORDER BY {d.uniform(42, 'range')}, range) AS k FROM range(64 * (SELECT n FROM hw))) SELECT id AS neuron, slot DIV n AS core, slot % n AS local FROM (SELECT id, row_number() OVER (ORDER BY id) AS k FROM neurons) a JOIN slots USING (k) CROSS JOIN hw",
         "k5_summary_round_trip": "SELECT concat('mapper', CAST(o_orderkey % 3 AS STRING)) AS mapper, CAST(o_orderkey AS STRING) AS input_id, CAST(o_orderkey % 1000 AS DOUBLE) AS value, CASE WHEN o_orderkey % 300 = 0 THEN 'failed' END AS error FROM orders WHERE o_orderkey % 100 = 0",
     }
+    # searches that SQL cannot run: planted networks have one right answer, found hardware must fit
+    tens, fits = "SELECT range AS neuron, range DIV 10 AS cluster, CAST(4 AS BIGINT) AS parent FROM range(40)", "SELECT graph_id, CAST(k AS BIGINT) AS neurons, CAST(0 AS BIGINT) AS out_of_range, CAST(0 AS BIGINT) AS slots_shared FROM (VALUES ('er', 60), ('two', 16)) g(graph_id, k)"
+    sql |= {"c1_nested_blocks": tens, "c2_spectral_hierarchy": tens, "m10_hardware_chain": fits, "m13_joint_chain": fits, "m15_parts_then_hardware": fits}
+    sql["m3_exact"] = "SELECT graph_id, CAST(m AS BIGINT) AS m, CAST(0 AS BIGINT) AS inconsistencies FROM (VALUES ('ring', 6), ('fours', 24)) v(graph_id, m)"
+    sql["c8_expected_errors"] = "WITH v(a, b) AS (VALUES (1, 4), (4, 12), (12, 24)) SELECT k, round(CAST((k - a) * (b - k) AS DOUBLE) / (b - a), 9) AS expected FROM (SELECT range AS k FROM range(1, 24)) t JOIN v ON k >= a AND k < b UNION ALL SELECT 24, 0.0"
     return {k: d.text(v) for k, v in sql.items()}
