@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from tessera.llm import op3_quality, op5_mixing, op7_pii, op8_packing, op10_jaccard_join
 from tessera.llm.common import stored, unused
 
+#: Words of a shingle, and the percentage of shared shingles, at which two documents are near duplicates.
+SHINGLE, SIMILAR = 5, 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ranking model accepts (score of 0.7 or more)."""
@@ -20,8 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of links: that with the smallest id.  Rows of one id are one document; the smallest text stays."""
-    classes = op10_jaccard_join.join(docs)
+    """One document of each component of links (SHINGLE words, SIMILAR % or more): that with the smallest id.  Rows of one id are one document; the smallest text stays."""
+    classes = op10_jaccard_join.join(docs, shingle=SHINGLE, num=SIMILAR, den=100)
     name, first = unused(docs, "kept"), F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
     kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
     own = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")

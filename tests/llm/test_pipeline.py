@@ -53,3 +53,14 @@ def test_run_on_empty_tables(spark, folder, tmp_path):
     for t in ("documents", "labels"):
         spark.read.parquet(f"{folder}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_duplicates_are_alike_in_four_fifths_of_five_word_shingles(spark):
+    words = [f"w{k}" for k in range(104)]
+    # one word changed inside takes five shingles, so 100 become 95 of 105 (0.90), 90 of 110 (0.82), 85 of 115 (0.74)
+    texts = {0: words}
+    for k, spots in ((1, (20,)), (2, (20, 60)), (3, (20, 50, 80))):
+        texts[k] = [f"x{k}" if i in spots else w for i, w in enumerate(words)]
+    rows = lambda ids: spark.createDataFrame([(i, " ".join(texts[i]), None, "s", 1) for i in ids], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = lambda *ids: sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, rows(ids), "").collect())
+    assert kept(0, 1) == [0] and kept(0, 2) == [0] and kept(0, 3) == [0, 3]
