@@ -2,8 +2,9 @@
 
 Vectors are rotated to the axes of their second-moment matrix, so the first HEAD coordinates carry most of every product.
 For a query and a vector, Cauchy-Schwarz bounds the product by their lengths, and the product of what follows the first
-coordinates by the lengths of the remainders; pairs whose bound is below the query's k-th best score so far are left out, and once the
-lengths alone are too small, so is the rest of the partition.  First scores come from the longest HEAVIEST vectors of all.
+coordinates by the lengths of the remainders; pairs whose bound is below the query's k-th best score so far are left out, and a run of
+vectors is skipped where its longest is too short for every query.  First scores come from the longest HEAVIEST vectors of all.
+A partition may hold several sorted files one after the other, so lengths can rise again within it: each run has its own bound.
 What is left is scored in whole numbers, so results are exact.
 
 Queries go out in blocks of BLOCK at most, one job each, so what is broadcast is bounded.  Vectors null or with null or non-finite components
@@ -76,7 +77,7 @@ def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 class TopK:
-    """The best k of each of a block of queries, fed with vectors in descending length."""
+    """The best k of each of a block of queries, fed with runs of vectors; the longer ones first is faster, any order is right."""
 
     def __init__(self, ids: np.ndarray, q: np.ndarray, axes: np.ndarray, k: int):
         self.ids, self.q, self.axes, self.k = ids, q, axes, k
@@ -86,12 +87,12 @@ class TopK:
         self.best: list[list[tuple[int, int]]] = [[] for _ in ids]
         self.floor = np.full(len(ids), -np.inf)
 
-    def feed(self, ids: np.ndarray, c: np.ndarray, norms: np.ndarray) -> bool:
-        """Whether shorter vectors can still enter."""
-        slack = 0.5 + 1e-9 * self.norm * norms[0]
-        live = np.flatnonzero(self.norm * norms[0] + slack >= self.floor)
+    def feed(self, ids: np.ndarray, c: np.ndarray, norms: np.ndarray) -> None:
+        longest = norms.max()
+        slack = 0.5 + 1e-9 * self.norm * longest
+        live = np.flatnonzero(self.norm * longest + slack >= self.floor)
         if not len(live):
-            return False
+            return
         r = c @ self.axes
         most = self.first[live] @ r[:, :HEAD].T
         most += self.rest[live, None] * np.linalg.norm(r[:, HEAD:], axis=1)[None, :]
@@ -119,7 +120,6 @@ class TopK:
             self.best[at] = own
             if len(own) == self.k:
                 self.floor[at] = max(self.floor[at], -own[-1][0])
-        return True
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -149,15 +149,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
             ids, rows, turn, floor = sent.value
             own = TopK(ids, rows, turn, k)
             own.floor = floor.copy()
-            going = True
             for b in batches:
                 for s in range(0, b.num_rows, RUN):
-                    if not going:
-                        break
                     p = b.slice(s, RUN)
-                    going = own.feed(p.column(0).to_numpy(), _matrix(p.column(1), d), p.column(2).to_numpy())
-                if not going:
-                    break
+                    own.feed(p.column(0).to_numpy(), _matrix(p.column(1), d), p.column(2).to_numpy())
             out = [(int(i), y, -x) for i, best in zip(ids, own.best) for x, y in best]
             yield pa.RecordBatch.from_arrays([pa.array([o[n] for o in out], pa.int64()) for n in range(3)], ["query_id", "vec_id", "score"])
 
