@@ -5,7 +5,7 @@ Each stage takes what its predecessor kept, as a table that was written, and wha
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import op3_quality, op5_mixing, op7_pii, op8_packing, op10_jaccard_join
@@ -22,13 +22,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op3_quality.score(docs, model, name=name).where(F.col(name) >= op3_quality.CUT).drop(name)
 
 
+def _mark(*columns: str) -> Column:
+    """A key of a row that its columns alone decide, so nothing has to be written for it: ids may be null or shared."""
+    return F.xxhash64(*columns)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of links (SHINGLE words, SIMILAR % or more): that with the smallest id.  Rows of one id are one document; the smallest text stays."""
-    classes = op10_jaccard_join.join(docs, shingle=SHINGLE, num=SIMILAR, den=100)
-    name, first = unused(docs, "kept"), F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
-    own = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
-    return own.withColumn(name, first).where(F.col(name) == 1).select(docs.columns)
+    """One document of each component of links (SHINGLE words, SIMILAR % or more): that with the smallest id, null last.
+
+    Texts that merely share an id, or have none, are documents of their own; of repeated rows of one id and text one stays.
+    Rows without words are linked with nothing and all stay.
+    """
+    mark, row, first = (unused(docs, name) for name in ("mark", "row_key", "first_row"))
+    marked = docs.withColumn(mark, _mark("doc_id", "text"))
+    key = F.struct(F.col("doc_id").isNull().alias("absent"), F.col("doc_id").alias("doc_id"), F.col(mark).alias("mark"))
+    classes = op10_jaccard_join.join(marked.select(key.alias(row), "text"), row, shingle=SHINGLE, num=SIMILAR, den=100)
+    kept = classes.where(F.col(row) == F.col("component_id")).groupBy(F.col(f"{row}.mark").alias(mark)).agg((F.max("n_shingles") == 0).alias(row))
+    order = F.row_number().over(Window.partitionBy(mark, "doc_id").orderBy("text"))
+    return marked.join(kept, mark).withColumn(first, order).where(F.col(row) | (F.col(first) == 1)).select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,11 +49,11 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes its words, to the nearest whole number; documents of which it takes less than half go."""
-    own, copies, copy = (unused(docs, name) for name in ("mixed_id", "mixed_copies", "mixed_copy"))
+    mark, copies, copy = (unused(docs, name) for name in ("mark", "mixed_copies", "mixed_copy"))
+    marked = docs.withColumn(mark, _mark("doc_id", "source", "text"))
     times = F.floor(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1)) + 0.5).cast("int")
-    taken = op5_mixing.mix(docs).groupBy(F.col("doc_id").alias(own)).agg(times.alias(copies)).where(F.col(copies) > 0)
-    each = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(own)))
-    return each.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(docs.columns)
+    taken = op5_mixing.mix(marked, id_col=mark).groupBy(mark).agg(times.alias(copies)).where(F.col(copies) > 0)
+    return marked.join(taken, mark).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

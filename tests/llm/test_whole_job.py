@@ -1,8 +1,11 @@
 """Cases in which an operator once did less than the whole job."""
 
+import random
+
 import numpy as np
 
-from tessera.llm import op6_top_k
+import corpus_pipeline
+from tessera.llm import op5_mixing, op6_top_k
 
 
 def test_top_k_where_a_partition_holds_several_sorted_files(spark, monkeypatch):
@@ -23,3 +26,41 @@ def test_top_k_where_a_partition_holds_several_sorted_files(spark, monkeypatch):
         best = sorted((-int(whole[q] @ w), i) for i, w in whole.items() if i != q)[:5]
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert got == sorted(want)
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, mark long, row_key string, first_row int"
+
+
+def texts(n, words=80, seed=5):
+    rng = random.Random(seed)
+    return [" ".join(f"w{rng.randrange(5000)}" for _ in range(words)) for _ in range(n)]
+
+
+def documents(spark, rows):
+    return spark.createDataFrame([(i, t, "en", s, len(t or ""), 1, "r", 2) for i, t, s in rows], COLUMNS)
+
+
+def test_near_duplicates_drop_linked_texts_and_not_shared_ids(spark):
+    t = texts(9)
+    rows = [(None, t[0], "a"), (None, t[1], "a"), (None, t[2], "a"), (None, t[2] + " end", "a")]  # three without an id, one of them twice
+    rows += [(7, t[3], "a"), (7, t[4], "a"), (7, t[4], "a")]  # two share an id, one of them repeated
+    rows += [(1, t[5], "a"), (9, "a " + t[5], "a"), (9, t[6], "a")]  # of one id a near duplicate of a smaller id, and a clean one
+    rows += [(None, t[7], "a"), (20, t[7] + " end", "a")]  # the one with an id stays
+    rows += [(None, None, "a"), (None, "", "a"), (30, None, "a"), (30, " ", "a")]  # without words: linked with nothing
+    docs = documents(spark, rows)
+    out = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    either = [x for x in got if x in ((None, t[2]), (None, t[2] + " end"))]
+    want = [(None, t[0]), (None, t[1]), *either, (7, t[3]), (7, t[4]), (1, t[5]), (9, t[6]), (20, t[7] + " end"), (None, None), (None, ""), (30, None), (30, " ")]
+    assert len(either) == 1 and got == sorted(want, key=str)
+
+
+def test_mixture_counts_copies_by_row_where_ids_are_null_or_shared(spark):
+    t = texts(60, 200, 6)
+    rows = [(None if k % 2 else 7, t[k], "abc"[k % 3]) for k in range(60)]
+    unique = documents(spark, [(k, x, s) for k, (_, x, s) in enumerate(rows)])
+    goal = {r.source: r.target / r.source_size for r in op5_mixing.mix(unique).join(unique.select("doc_id", "source"), "doc_id").select("source", "target", "source_size").distinct().collect()}
+    out = corpus_pipeline.mixture(spark, documents(spark, rows), "").groupBy("source").count().collect()
+    got = {r["source"]: r["count"] / 20 for r in out}
+    assert all(abs(got.get(s, 0) - g) < 0.2 for s, g in goal.items())
