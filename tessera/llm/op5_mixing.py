@@ -1,9 +1,11 @@
 """Mixing sources to target weights by a low-discrepancy schedule; DataFrame functions alone.
 
-Point t of the golden-ratio sequence falls into one source's part of the cumulative targets, and so slot t belongs to that
+Point t of the golden-ratio sequence falls into one source's part of the cumulative slots, and so slot t belongs to that
 source.  A source's slots are ranked, its shuffled documents stand one after the other as a stream of words cut into
 blocks of equal tokens, and the slot of rank r takes block r modulo the number of blocks, so blocks repeat in turn and no more
-than MOST times.  The schedule has at most SLOTS slots whatever the input: blocks grow with it.
+than MOST times.  A source has a block size of its own: its target makes LEAST slots and its part of SLOTS more, or one a word
+if it has fewer.  Slots that the schedule leaves a source short follow it, those over are not used, and a source's last slot takes
+what is left, so every source has its target to the nearest word whatever the input.
 
 Positions in the stream come from two steps, sums over buckets of the hash order and sums within a bucket, so a source that
 holds most rows is never ordered in one task.  Null texts have size 0 and are never taken; a null source is a source, the last;
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import WORD, stored
 
-SLOTS, BINS, MOST = 1 << 20, 4096, 3
+SLOTS, LEAST, BINS, MOST = 1 << 20, 1024, 4096, 3
 _GOLDEN = (math.sqrt(5) - 1) / 2
 
 
@@ -51,11 +53,21 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame
     return s.select("key", "source_size", F.least(F.col("cap").cast("double"), first["level"] * F.col("weight")).alias("target"))
 
 
-def schedule(goals: DataFrame, slots: int, total: int) -> DataFrame:
+def planned(goals: DataFrame, total: int) -> DataFrame:
+    """key, block, blocks, passes, rest, slots of each source that is taken: its stream as a whole passes times, and its first rest words."""
+    whole = F.least(F.floor(F.col("target") + 0.5), F.col("source_size") * MOST).cast("long")
+    share = LEAST + F.floor(F.col("target") * F.lit(SLOTS) / F.lit(max(1, total)))
+    p = goals.select("key", "source_size", whole.alias("whole"), share.cast("long").alias("share")).where("whole > 0")
+    p = p.withColumn("block", F.expr("(whole + share - 1) DIV share")).withColumn("passes", F.expr("whole DIV source_size"))
+    p = p.withColumn("blocks", F.expr("(source_size + block - 1) DIV block")).withColumn("rest", F.expr("whole - passes * source_size"))
+    return p.select("key", "block", "blocks", "passes", "rest", F.expr("passes * blocks + (rest + block - 1) DIV block").alias("slots"))
+
+
+def schedule(plans: DataFrame, slots: int) -> DataFrame:
     """key, t, rank of each slot."""
-    spark = goals.sparkSession
-    upto = F.sum("target").over(Window.orderBy("key"))
-    parts = goals.where("target > 0").select("key", (upto / total).alias("hi"), ((upto - F.col("target")) / total).alias("lo"))
+    spark = plans.sparkSession
+    upto = F.sum("slots").over(Window.orderBy("key"))
+    parts = plans.select("key", (upto / slots).alias("hi"), ((upto - F.col("slots")) / slots).alias("lo"))
     parts = parts.withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") * BINS), F.least(F.floor(F.col("hi") * BINS), F.lit(BINS - 1).cast("long")))))
     u = F.pmod((F.col("id") + 1) * F.lit(_GOLDEN), F.lit(1.0))
     points = spark.range(slots).select(F.col("id").alias("t"), u.alias("u")).withColumn("bin", F.least(F.floor(F.col("u") * BINS), F.lit(BINS - 1).cast("long")))
@@ -63,13 +75,22 @@ def schedule(goals: DataFrame, slots: int, total: int) -> DataFrame:
     return dealt.select("key", "t", (F.row_number().over(Window.partitionBy("key").orderBy("t")) - 1).cast("long").alias("rank"))
 
 
+def block_uses(plans: DataFrame, slots: int) -> DataFrame:
+    """key, nth, uses of each block that slots take."""
+    dealt = schedule(plans, slots).groupBy("key").agg(F.count("*").alias("dealt"))
+    ranked = schedule(plans, slots).join(plans, "key").where("rank < slots").select("key", "blocks", "rank")
+    short = plans.join(dealt, "key", "left").withColumn("dealt", F.coalesce("dealt", F.lit(0))).where("dealt < slots")
+    short = short.select("key", "blocks", F.explode(F.sequence("dealt", F.col("slots") - 1)).alias("rank"))
+    return ranked.unionByName(short).groupBy("key", F.pmod("rank", "blocks").alias("nth")).agg(F.count("*").alias("uses"))
+
+
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), seed: int = 7) -> DataFrame:
     """id, size, source_size, target, taken for each row."""
     rows = stored(sized(df, id_col, text_col, source_col), "sizes")
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     goals = stored(targets(rows, weights), "goals")
-    block = max(1, -(-total // SLOTS))
-    slots = -(-total // block)
+    plans = stored(planned(goals, total), "plans")
+    slots = plans.agg(F.sum("slots")).first()[0] or 0
 
     # where each row stands in its source's shuffled stream
     buckets = max(1, math.isqrt(n))
@@ -81,18 +102,23 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     placed = placed.withColumn("in_bucket", F.sum("size").over(within) - F.col("size")).join(ahead, ["key", "bucket"])
     placed = placed.select("id", "key", "size", (F.col("ahead") + F.col("in_bucket")).alias("start"))
 
-    # blocks that slots take
-    blocks = F.ceil(F.col("source_size") / F.lit(block)).cast("long")
-    uses = schedule(goals, slots, total).join(goals, "key") if total else None
-    if uses is None:
-        taken = placed.select("id", "key", "size", "start", F.lit(0).cast("long").alias("taken"))
+    # blocks that slots take; of a stream that is not taken as a whole nothing counts beyond its first rest words
+    end, low = F.col("start") + F.col("size"), F.col("nth") * F.col("block")
+    stop = F.when(F.col("passes") > 0, end).otherwise(F.least(end, F.col("rest")))
+    covered = placed.join(plans, "key", "left").withColumn("stop", stop)
+    nths = F.when(F.col("stop") > F.col("start"), F.sequence(F.expr("start DIV block"), F.expr("(stop - 1) DIV block")))
+    covered = covered.withColumn("nth", F.explode_outer(nths)).withColumn("high", F.least(end, low + F.col("block")))
+    words = F.col("high") - F.greatest("start", low)
+    # the last slot's block is cut short at rest
+    cut = (F.col("rest") > low) & (F.col("rest") < low + F.col("block"))
+    over = F.when(cut, F.greatest(F.lit(0), F.col("high") - F.greatest("start", "rest"))).otherwise(0)
+    pieces = covered.select("id", "key", "size", "start", "nth", words.alias("words"), over.alias("over"))
+    if slots:
+        pieces = pieces.join(block_uses(plans, slots), ["key", "nth"], "left")
     else:
-        uses = uses.where(F.col("rank") < blocks * MOST).groupBy("key", F.pmod("rank", blocks).alias("block")).agg(F.count("*").alias("uses"))
-        end = F.col("start") + F.col("size")
-        covered = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))))
-        words = F.least(end, (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
-        pieces = covered.select("id", "key", "size", "start", "block", words.alias("words")).join(uses, ["key", "block"], "left")
-        taken = pieces.groupBy("key", "start", "id", "size").agg(F.sum(F.col("words") * F.coalesce("uses", F.lit(0))).alias("taken"))
+        pieces = pieces.withColumn("uses", F.lit(0))
+    got = F.coalesce(F.col("words") * F.col("uses") - F.col("over"), F.lit(0))
+    taken = pieces.groupBy("key", "start", "id", "size").agg(F.sum(got).cast("long").alias("taken"))
     empty = rows.where("size = 0").select("id", "key", "size", F.lit(0).cast("long").alias("taken"))
     every = taken.select("id", "key", "size", "taken").unionByName(empty)
     return every.join(goals, "key").select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")

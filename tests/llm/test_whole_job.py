@@ -64,3 +64,19 @@ def test_mixture_counts_copies_by_row_where_ids_are_null_or_shared(spark):
     out = corpus_pipeline.mixture(spark, documents(spark, rows), "").groupBy("source").count().collect()
     got = {r["source"]: r["count"] / 20 for r in out}
     assert all(abs(got.get(s, 0) - g) < 0.2 for s, g in goal.items())
+
+
+def test_mixing_gives_small_sources_their_targets_beside_large_ones(spark, monkeypatch):
+    monkeypatch.setattr(op5_mixing, "SLOTS", 256)
+    monkeypatch.setattr(op5_mixing, "LEAST", 16, raising=False)
+    sizes = {"a": [900] * 60, "b": [7, 11, 12], "c": [60, 40], "d": [1], "e": [33] * 300, "f": [5000]}
+    rows = [(k, " ".join(["w"] * n), s) for k, (s, n) in enumerate((s, n) for s, own in sizes.items() for n in own)]
+    source = {k: s for k, _, s in rows}
+    got = op5_mixing.mix(documents(spark, rows), weights=(1, 2, 3, 2, 1, 9)).collect()
+    assert len(got) == len(rows) and all(0 <= r.taken <= 3 * r.size for r in got)
+    for s, own in sizes.items():
+        mine = [r for r in got if source[r.doc_id] == s]
+        assert sum(r.taken for r in mine) == int(mine[0].target + 0.5)
+        once = mine[0].target // sum(own)  # words are taken in turn: all once before any twice
+        assert all(once * r.size <= r.taken <= (once + 1) * r.size for r in mine)
+    assert {s: sum(r.taken for r in got if source[r.doc_id] == s) for s in "bcd"} == {"b": 90, "c": 300, "d": 3}
