@@ -60,6 +60,14 @@ def w7_random_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.random_placement(neurons, hardware(neurons))
 
 
+def j7_free_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slots that no neuron of the spread placement takes; as many slots as the hardware has, where the catalog's text ends at 64 * 400."""
+    neurons = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("long").alias("slot"))
+    n = -(-neurons.count() // 64)
+    free = spark.range(64 * n).withColumnRenamed("id", "slot").join(neurons, "slot", "left_anti")
+    return free.select(F.expr(f"slot DIV {max(1, n)}").alias("core"), F.expr(f"slot % {max(1, n)}").alias("local"))
+
+
 def a11_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = spark.read.parquet(f"{sf_dir}/part.parquet")
     return kernels.accuracy(parts.select(F.col("p_brand").alias("truth"), F.col("p_size").alias("predicted")))
@@ -166,6 +174,7 @@ QUERIES = {
     "p6_violations": p6_violations,
     "w5_core_packing": w5_core_packing,
     "w7_random_placement": w7_random_placement,
+    "j7_free_slots": j7_free_slots,
     "a11_accuracy": a11_accuracy,
     "m2_greedy": _mapper("greedy"),
     "m5_three_step": _mapper("three_step"),
