@@ -5,12 +5,14 @@ A *node* is a distinct set: equal sets collapse before anything is compared, so
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import stored
-from tessera.llm.word_arrays import blocks, mix, powers, shingle_rows
+from tessera.llm.word_arrays import blocks, shingle_rows
 
 #: Bits of the filter of nodes that goes to every executor: 8 MB, whatever the input.
 FILTER_BITS = 1 << 26
@@ -18,9 +20,7 @@ FILTER_BITS = 1 << 26
 
 def node_of(values: np.ndarray) -> int:
     """The key of a set of sorted distinct hashes, as a signed 64-bit number."""
-    n = len(values)
-    key = mix(np.array([np.sum(values * powers(0xC2B2AE3D27D4EB4F, 1 << max(16, n.bit_length()))[:n], dtype=np.uint64) + np.uint64(n)], dtype=np.uint64))
-    return int(key.view(np.int64)[0])
+    return int.from_bytes(hashlib.blake2b(values.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
 def sets_of(texts: list[bytes], shingle: int):
