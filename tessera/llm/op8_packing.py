@@ -5,6 +5,10 @@ shards of a bounded number by a hash; each shard is packed by itself, so no task
 and each shard leaves at most a bin or two part-filled.  Within a shard bins are filled greedily with the
 longest piece that fits; then the bin's smallest piece is exchanged for two unpacked pieces that fit the
 widened gap more tightly, as long as such two exist.
+
+A null text is empty and has its end id alone; null ids are kept as they are, and ids of any size and type come back unchanged;
+repeated rows are counted, numbered and dealt out each, so no shard holds more of them than others; an empty table gives an
+empty result; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -128,26 +132,31 @@ def best_two_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 def pack(pieces: DataFrame, id_col: str = "doc_id", capacity: int = 4096, shard_pieces: int = SHARD_PIECES) -> DataFrame:
-    """Adds sequence_id and offset.  Ties go by id, piece and checksum, so reruns agree; repeated rows are packed each."""
+    """Adds sequence_id and offset.  Ties go by the hash that deals rows, so reruns agree; repeated rows are packed each."""
+    from pyspark.sql.types import IntegerType, LongType, StructType
+
     shards = max(1, -(-pieces.count() // shard_pieces))
     fields = pieces.schema
-    keys = [id_col, "piece", "ids_crc32"]
+    schema = StructType(fields.fields).add("sequence_id", LongType()).add("offset", LongType())
+
+    def run(key, table):
+        import pyarrow as pa
 
-    def run(key, pdf):
-        pdf = pdf.sort_values(keys, kind="stable").reset_index(drop=True)
-        lengths = pdf["length"].tolist()
+        table = table.sort_by([("deal_", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending"), ("length", "ascending")])
+        lengths = table.column("length").to_pylist()
         seq, off = [0] * len(lengths), [0] * len(lengths)
         for k, rows in enumerate(best_two_fit(lengths, capacity)):
             at = 0
             for r in rows:
-                seq[r], off[r] = (int(key[0]) << 32) + k, at
+                seq[r], off[r] = (key[0].as_py() << 32) + k, at
                 at += lengths[r]
-        pdf["sequence_id"], pdf["offset"] = seq, off
-        return pdf.drop(columns="shard_")
+        return table.select(fields.names).append_column("sequence_id", pa.array(seq, pa.int64())).append_column("offset", pa.array(off, pa.int64()))
 
-    dealt = pieces.withColumn("shard_", F.pmod(F.xxhash64(*keys, "start"), F.lit(shards)))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["sequence_id long", "offset long"])
-    return dealt.groupBy("shard_").applyInPandas(run, schema)
+    # copies of a row are counted and numbered, so that they are dealt to different shards
+    counted = pieces.groupBy(*fields.names).agg(F.count("*").alias("copies_"))
+    every = counted.withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), "copies_"))).withColumn("deal_", F.xxhash64(*fields.names, "copy_"))
+    dealt = every.select(*fields.names, "deal_", F.pmod("deal_", F.lit(shards)).cast(IntegerType()).alias("shard_"))
+    return dealt.groupBy("shard_").applyInArrow(run, schema)
 
 
 def packed_documents(docs: DataFrame) -> DataFrame:
