@@ -5,8 +5,10 @@ scores whole candidate spans of at most MOST tokens by features of the span (dig
 and a dynamic programme over such bounded spans picks boundaries and kinds together; so a phone and a card side by side, which
 a greedy pattern swallows as one and drops, come out as two.  Its spans are added where they touch no base span.
 
-The field is trained here, by likelihood, on sequences made from a fixed seed.  Every text is read whole; null texts
-are empty and have no spans; repeated rows get equal results; an empty table gives an empty result; other columns do not matter.
+The field is trained here, by likelihood, on sequences made from a fixed seed.  Every text is read whole; the programme holds the
+best scores of MOST tokens and two bytes a token and kind, so a line of millions of numbers needs no more than itself.  Null texts
+are empty and have no spans; null ids are kept as they are; repeated rows get equal results; an empty table gives an empty result;
+other columns do not matter.
 """
 
 from __future__ import annotations
@@ -84,30 +86,32 @@ def _small(part: str) -> bool:
     return len(part) <= 3 and int(part or 0) <= 255
 
 
-def runs(text: str) -> list[list[tuple[int, int]]]:
+def runs(text: str):
     """Runs of tokens with a digit or @ that one or two spaces part."""
-    out: list[list[tuple[int, int]]] = []
-    last = None
+    own: list[tuple[int, int]] = []
     for m in _TOKEN.finditer(text):
-        if _HOT.search(m[0]):
-            if last is not None and text[last : m.start()] in (" ", "  "):
-                out[-1].append(m.span())
-            else:
-                out.append([m.span()])
-            last = m.end()
-        else:
-            last = None
-    return out
+        hot = _HOT.search(m[0])
+        if own and not (hot and text[own[-1][1] : m.start()] in (" ", "  ")):
+            yield own
+            own = []
+        if hot:
+            own.append(m.span())
+    if own:
+        yield own
 
 
 def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
     """A span without what encloses or follows it."""
+    opened, closed = text.count("(", start, end), text.count(")", start, end)
     while start < end:
-        s = text[start:end]
-        if s[-1] in ".-%_" or s[-1] == ")" and s.count("(") < s.count(")"):
+        first, last = text[start], text[end - 1]
+        if last in ".-%_" or last == ")" and opened < closed:
             end -= 1
-        elif s[0] in ".-%_)" or s[0] == "(" and s.count(")") < s.count("("):
+            closed -= last == ")"
+        elif first in ".-%_)" or first == "(" and closed < opened:
             start += 1
+            opened -= first == "("
+            closed -= first == ")"
         else:
             return start, end
     return start, end
@@ -183,25 +187,34 @@ class Field:
                 s[r, 0] = -np.inf
         return s
 
-    def best(self, cells, n: int) -> list[tuple[int, int]]:
-        """(cell, kind) of the best segmentation of n tokens."""
-        s, k = self.scores(cells), len(KINDS) + 1
-        top = np.full((n + 1, k + 1), -np.inf)
+    def read(self, text: str, run: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
+        """The spans of the best segmentation of a run; scores are held for MOST tokens, for every token only where its best segments start."""
+        n, k, turn = len(run), len(KINDS) + 1, MOST + 1
+        top = np.full((turn, k + 1), -np.inf)
         top[0, k] = 0
-        back: dict = {}
-        for r in sorted(range(len(cells)), key=lambda r: cells[r][:2]):
-            i, j = cells[r][:2]
-            through = top[i][:, None] + self.t
+        length, before = np.zeros((n + 1, k), dtype=np.int8), np.zeros((n + 1, k), dtype=np.int8)
+        kinds = np.arange(k)
+        for i in range(n):
+            through = top[i % turn][:, None] + self.t
             p = through.argmax(axis=0)
-            v = through[p, np.arange(k)] + s[r]
-            for y in np.flatnonzero(v > top[j, :k]).tolist():
-                top[j, y] = v[y]
-                back[j, y] = (r, i, int(p[y]))
-        j, y, out = n, int(top[n, :k].argmax()), []
+            reached = through[p, kinds]
+            top[i % turn] = -np.inf
+            for j in range(i + 1, min(n, i + MOST) + 1):
+                a, b = trimmed(text, run[i][0], run[j - 1][1])
+                may = a < b and _may(text[a:b])
+                if not may and j > i + 1:
+                    continue
+                v = reached + self.w @ span_features(text[a:b], j - i)
+                row = top[j % turn]
+                for y in range(1 if j > i + 1 else 0, k if may else 1):
+                    if v[y] > row[y]:
+                        row[y], length[j, y], before[j, y] = v[y], j - i, p[y]
+        j, y, out = n, int(top[n % turn, :k].argmax()), []
         while j:
-            r, i, p = back[j, y]
-            out.append((r, y))
-            j, y = i, p
+            i = j - int(length[j, y])
+            if y:
+                out.append((KINDS[y - 1], *trimmed(text, run[i][0], run[j - 1][1])))
+            j, y = i, int(before[j, y])
         return out[::-1]
 
     def gradient(self, cells, n: int, gold: list[tuple[int, int]]):
@@ -317,12 +330,7 @@ def spans_of(text: str, field: Field) -> tuple[list[tuple[str, int, int]], list[
     for run in runs(text):
         if not _may(text[run[0][0] : run[-1][1]]):
             continue
-        cells = lattice(text, run)
-        if not any(c[3] for c in cells):
-            continue
-        for r, y in field.best(cells, len(run)):
-            if y:
-                added.append((KINDS[y - 1], *cells[r][4]))
+        added += field.read(text, run)
     if added and base:
         taken = sorted((s, e) for _, s, e in base)
         starts = np.array([s for s, _ in taken])
