@@ -7,8 +7,10 @@ vectors is skipped where its longest is too short for every query.  First scores
 A partition may hold several sorted files one after the other, so lengths can rise again within it: each run has its own bound.
 What is left is scored in whole numbers, so results are exact.
 
-Queries go out in blocks of BLOCK at most, one job each, so what is broadcast is bounded.  Vectors null or with null or non-finite components
-take no part; shorter vectors count as padded with zeros; of rows with one id that with the smallest vector counts, and
+Queries, with their first scores, are a table in the shared folder.  One plan does the rest: a task holds CHUNK_BYTES of vectors at a
+time and reads the queries past them in blocks of BLOCK, so nothing grows with the number of queries or vectors, and each task gives at
+most k rows a query and chunk.  Rows without an id take no part, nor do vectors null or with null or non-finite components;
+shorter vectors count as padded with zeros; of rows with one id that with the smallest vector counts, and
 rows with a query's id are its own; a product beyond 64 bits is an error; an empty table gives an empty result; other columns do
 not matter.
 """
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import bounded_batches, stored
 
 BLOCK, HEAVIEST, HEAD, RUN = 4096, 1024, 16, 1024
+#: Bytes of vectors that a task holds against all queries at a time.
+CHUNK_BYTES = 32 << 20
 _EXACT = float(1 << 52)
 
 
@@ -29,8 +33,8 @@ def whole_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int) -> Da
     """id, v (whole numbers as doubles), norm: one row an id, longest first within each partition."""
     bounded_batches(df.sparkSession)
     v = F.transform(F.col(vector_col), lambda x: F.floor(x.cast("double") * scale).cast("double"))
-    fine = F.col(vector_col).isNotNull() & ~F.exists(F.col(vector_col), lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
-    rows = df.where(fine).select(F.col(id_col).alias("id"), v.alias("v")).groupBy("id").agg(F.min("v").alias("v"))
+    fine = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & ~F.exists(F.col(vector_col), lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
+    rows = df.where(fine).select(F.col(id_col).cast("long").alias("id"), v.alias("v")).groupBy("id").agg(F.min("v").alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     return stored(rows.withColumn("norm", norm).sortWithinPartitions(F.desc("norm")), "vectors")
 
@@ -79,13 +83,13 @@ def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 class TopK:
     """The best k of each of a block of queries, fed with runs of vectors; the longer ones first is faster, any order is right."""
 
-    def __init__(self, ids: np.ndarray, q: np.ndarray, axes: np.ndarray, k: int):
+    def __init__(self, ids: np.ndarray, q: np.ndarray, axes: np.ndarray, k: int, floor: np.ndarray | None = None):
         self.ids, self.q, self.axes, self.k = ids, q, axes, k
         r = q @ axes
         self.first, self.norm = r[:, :HEAD], np.linalg.norm(q, axis=1)
         self.rest = np.linalg.norm(r[:, HEAD:], axis=1)
         self.best: list[list[tuple[int, int]]] = [[] for _ in ids]
-        self.floor = np.full(len(ids), -np.inf)
+        self.floor = np.full(len(ids), -np.inf) if floor is None else floor.copy()
 
     def feed(self, ids: np.ndarray, c: np.ndarray, norms: np.ndarray) -> None:
         longest = norms.max()
@@ -122,46 +126,70 @@ class TopK:
                 self.floor[at] = max(self.floor[at], -own[-1][0])
 
 
+def _query_blocks(path: str):
+    """ids, vectors and first scores of a stored table of queries, BLOCK rows at a time."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    store, place = fs.FileSystem.from_uri(path)
+    for info in sorted(store.get_file_info(fs.FileSelector(place)), key=lambda i: i.path):
+        if info.path.endswith(".parquet"):
+            with store.open_input_file(info.path) as f:
+                yield from pq.ParquetFile(f).iter_batches(BLOCK, columns=["id", "v", "floor"])
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score; vectors as whole_vectors() gives them, queries some of their rows."""
     spark = vectors.sparkSession
-    kind = vectors.schema["id"].dataType.simpleString()
-    schema = f"query_id {kind}, vec_id {kind}, score long"
     d = vectors.agg(F.max(F.size("v"))).first()[0] or 1
     axes = _rotation(vectors, d)
     heavy = vectors.orderBy(F.desc("norm"), "id").limit(HEAVIEST).toArrow()
-    blocks = -(-queries.count() // BLOCK) * 2
-    parts = [spark.createDataFrame([], schema)]
-    for block in range(blocks):
-        got = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).select("id", "v").toArrow()
-        if not got.num_rows:
-            continue
-        qi, q = got.column("id").to_numpy(), _matrix(got.column("v"), d)
-        first = TopK(qi, q, axes, k)
-        for s in range(0, heavy.num_rows, RUN):
-            h = heavy.slice(s, RUN)
-            first.feed(h.column("id").to_numpy(), _matrix(h.column("v"), d), h.column("norm").to_numpy())
-        sent = spark.sparkContext.broadcast((qi, q, axes, first.floor))
-
-        def run(batches, sent=sent):
-            import pyarrow as pa
-
-            ids, rows, turn, floor = sent.value
-            own = TopK(ids, rows, turn, k)
-            own.floor = floor.copy()
-            for b in batches:
-                for s in range(0, b.num_rows, RUN):
-                    p = b.slice(s, RUN)
-                    own.feed(p.column(0).to_numpy(), _matrix(p.column(1), d), p.column(2).to_numpy())
-            out = [(int(i), y, -x) for i, best in zip(ids, own.best) for x, y in best]
-            yield pa.RecordBatch.from_arrays([pa.array([o[n] for o in out], pa.int64()) for n in range(3)], ["query_id", "vec_id", "score"])
-
-        parts.append(vectors.select("id", "v", "norm").mapInArrow(run, "query_id long, vec_id long, score long"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
+    sent = spark.sparkContext.broadcast((axes, heavy.column("id").to_numpy(), _matrix(heavy.column("v"), d), heavy.column("norm").to_numpy()))
+
+    def begun(batches):
+        import pyarrow as pa
+
+        axes, ids, rows, norms = sent.value
+        for b in batches:
+            for s in range(0, b.num_rows, BLOCK):
+                part = b.slice(s, BLOCK)
+                own = TopK(part.column(0).to_numpy(), _matrix(part.column(1), d), axes, k)
+                for r in range(0, len(ids), RUN):
+                    own.feed(ids[r : r + RUN], rows[r : r + RUN], norms[r : r + RUN])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(own.floor)], ["id", "v", "floor"])
+
+    asked = stored(queries.select("id", "v").mapInArrow(begun, "id long, v array<double>, floor double"), "queries")
+    path, most = asked.stored_at, max(RUN, CHUNK_BYTES // (8 * d))
+
+    def run(batches):
+        import pyarrow as pa
+
+        def found(held):
+            axes = sent.value[0]
+            ids, rows, norms = (np.concatenate(c) for c in zip(*held))
+            for q in _query_blocks(path):
+                own = TopK(q.column(0).to_numpy(), _matrix(q.column(1), d), axes, k, q.column(2).to_numpy(zero_copy_only=False))
+                for s in range(0, len(ids), RUN):
+                    own.feed(ids[s : s + RUN], rows[s : s + RUN], norms[s : s + RUN])
+                out = [(int(i), y, -x) for i, best in zip(own.ids, own.best) for x, y in best]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["query_id", "vec_id", "score"])
+
+        held, size = [], 0
+        for b in batches:
+            for s in range(0, b.num_rows, most):
+                part = b.slice(s, most)
+                held.append((part.column(0).to_numpy(), _matrix(part.column(1), d), part.column(2).to_numpy()))
+                size += part.num_rows
+                if size >= most:
+                    yield from found(held)
+                    held, size = [], 0
+        if held:
+            yield from found(held)
+
+    every = vectors.select("id", "v", "norm").mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
