@@ -47,11 +47,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder wherever Spark can reach it; one that is not there is no error."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Removes tables that ``stored`` wrote.  Nothing may still have to read them, a plan not yet run included."""
     for t in tables:
-        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.stored_at)
-        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        remove(t.sparkSession, t.stored_at)
 
 
 def unused(df: DataFrame, name: str) -> str:

@@ -4,7 +4,8 @@ Records are sorted by id within ranges of ids of about equal bytes (a range is a
 compressed size reaches ``roll_bytes``.  Every record's headers and digests are made anew from id, address and payload,
 so the archives depend on the rows and parameters alone.  A task writes each file under a name of its own attempt
 and moves it to its final name; the manifest, itself a table that Spark commits, lists what was finished, and readers
-open nothing else.  A task that runs again writes the same bytes under the same final name.
+open nothing else; what failed attempts left goes when the manifest stands.  A task that runs again writes the same bytes under the
+same final name.  Each file opens with a warcinfo record; a revisit refers to its response by record id and date.
 
 Of records with equal payloads of at least ``revisit_bytes`` that with the largest id is a response and the others
 revisit it; rows tied at the largest id are responses all.  Null payloads are empty; null ids sort first and never win over
@@ -21,7 +22,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import IdShards, bounded_batches, shared_dir, shuffle_width, stored
+from tessera.llm.common import IdShards, bounded_batches, discard, remove, shared_dir, shuffle_width, stored
 
 #: The time that all records state; a parameter, so that reruns agree.
 DATE = "2024-01-01T00:00:00Z"
@@ -30,30 +31,42 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"  #
 MANIFEST = "shard int, part int, path string, records long, bytes long, sha256 string"
 
 
-def record_id(id_: int | None, url: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{id_} {url}')}>"
+def record_id(id_: int | None, digest: str) -> str:
+    """From the row's id and payload alone, so a revisit can name its response."""
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{id_} {digest}')}>"
+
+
+def _sha1(block: bytes) -> str:
+    return "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
+
+
+def info(name: str, date: str = DATE) -> bytes:
+    """The record that opens a file."""
+    block = b"software: tessera\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: {record_id(None, name)}", f"WARC-Date: {date}", f"WARC-Filename: {name}", f"WARC-Block-Digest: {_sha1(block)}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def record(id_: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str = DATE) -> bytes:
     """One record, not compressed.  A revisit holds the reply's headers alone."""
     url = (url or "").replace("\r", "%0D").replace("\n", "%0A")
-    digest = "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    digest = _sha1(payload)
     reply = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = reply if refers_to is not None else reply + payload
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if refers_to is not None else 'response'}",
-        f"WARC-Record-ID: {record_id(id_, url)}",
+        f"WARC-Record-ID: {record_id(id_, digest)}",
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {url}",
         f"WARC-Payload-Digest: {digest}",
-        f"WARC-Block-Digest: sha1:{base64.b32encode(hashlib.sha1(block).digest()).decode()}",
+        f"WARC-Block-Digest: {_sha1(block)}",
         f"X-Row-Id: {'' if id_ is None else id_}",
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
     ]
     if refers_to is not None:
-        head += [f"WARC-Profile: {_PROFILE}", f"X-Refers-To-Row-Id: {refers_to}", f"WARC-Refers-To-Date: {date}"]
+        head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"WARC-Refers-To-Date: {date}", f"X-Refers-To-Row-Id: {refers_to}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -64,7 +77,7 @@ def _parsed(raw: bytes) -> tuple[dict[str, str], bytes]:
         raise ValueError("not a WARC record")
     fields = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines[1:])
     block = rest[: int(fields["Content-Length"])]
-    if rest[len(block) :] != b"\r\n\r\n" or fields["WARC-Block-Digest"] != "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode():
+    if rest[len(block) :] != b"\r\n\r\n" or fields["WARC-Block-Digest"] != _sha1(block):
         raise ValueError(f"record {fields['WARC-Record-ID']} is damaged")
     return fields, block
 
@@ -75,8 +88,11 @@ def _file_system(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def write(df: DataFrame, out: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", revisit_bytes: int = 1000, shard_bytes: int = 256 << 20, roll_bytes: int = 1 << 30, date: str = DATE) -> DataFrame:
-    """Writes the archives below ``out`` and returns the committed manifest."""
+def write(df: DataFrame, out: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", revisit_bytes: int = 1000, shard_bytes: int = 256 << 20, roll_bytes: int = 16 << 20, date: str = DATE) -> DataFrame:
+    """Writes the archives below ``out`` and returns the committed manifest.
+
+    A shard holds shard_bytes of payloads, a file about roll_bytes after compression, so a shard is several files.
+    """
     spark = df.sparkSession
     bounded_batches(spark)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
@@ -109,7 +125,7 @@ def write(df: DataFrame, out: str, id_col: str = "page_id", url_col: str = "url"
                 if own is None or own.shard != shard or own.bytes >= roll_bytes:
                     if own is not None:
                         done.append(own.close())
-                    own = _Part(out, shard, own.part + 1 if own is not None and own.shard == shard else 0)
+                    own = _Part(out, shard, own.part + 1 if own is not None and own.shard == shard else 0, date)
                 raw = payload.encode()
                 own.add(record(id_, url, raw, known.get(hashlib.sha1(raw).hexdigest()) if known else None, date))
         if own is not None:
@@ -118,27 +134,34 @@ def write(df: DataFrame, out: str, id_col: str = "page_id", url_col: str = "url"
             yield pa.RecordBatch.from_arrays([pa.array(c) if k > 1 else pa.array(c, pa.int32()) for k, c in enumerate(zip(*done))], ["shard", "part", "path", "records", "bytes", "sha256"])
 
     dealt.mapInArrow(run, MANIFEST).write.parquet(f"{out}/manifest")
+    remove(spark, f"{out}/_tmp")
+    discard(digests)
     return spark.read.schema(MANIFEST).parquet(f"{out}/manifest")
 
 
 class _Part:
     """One archive file in the making, under a name of this attempt."""
 
-    def __init__(self, out: str, shard: int, part: int):
+    def __init__(self, out: str, shard: int, part: int, date: str):
         self.shard, self.part, self.records, self.bytes, self.sha = shard, part, 0, 0, hashlib.sha256()
-        self.path = f"{out}/shard-{shard:05d}-{part:05d}.warc.gz"
+        name = f"shard-{shard:05d}-{part:05d}.warc.gz"
+        self.path = f"{out}/{name}"
         self.temporary = f"{out}/_tmp/{uuid.uuid4().hex}"
         self.fs, self.place = _file_system(self.temporary)
         self.fs.create_dir(self.place.rpartition("/")[0], recursive=True)
         self.file = self.fs.open_output_stream(self.place, compression=None)
+        self.write(info(name, date))
 
     def add(self, raw: bytes) -> None:
+        self.write(raw)
+        self.records += 1
+
+    def write(self, raw: bytes) -> None:
         c = zlib.compressobj(6, zlib.DEFLATED, 31)
         member = c.compress(raw) + c.flush()
         self.file.write(member)
         self.sha.update(member)
         self.bytes += len(member)
-        self.records += 1
 
     def close(self) -> tuple:
         self.file.close()
@@ -161,6 +184,8 @@ def read(manifest: DataFrame) -> DataFrame:
                 with fs.open_input_stream(place, compression=None) as f:
                     for raw in _members(f, whole):
                         h, block = _parsed(raw)
+                        if h["WARC-Type"] == "warcinfo":
+                            continue
                         reply, _, payload = block.partition(b"\r\n\r\n")
                         digest = base64.b32decode(h["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
                         revisit = h["WARC-Type"] == "revisit"
