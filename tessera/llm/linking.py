@@ -11,11 +11,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import discard, stored
 from tessera.llm.word_arrays import blocks, shingle_rows
 
-#: Bits of the filter of nodes that goes to every executor: 8 MB, whatever the input.
-FILTER_BITS = 1 << 26
+#: Bits of a filter of keys that goes to every executor: BITS_EACH a key, MOST_BITS (32 MB) at most.
+BITS_EACH, MOST_BITS = 16, 1 << 28
 
 
 def node_of(values: np.ndarray) -> int:
@@ -50,26 +50,36 @@ def components(edges: DataFrame) -> DataFrame:
         up = labels.select(F.col("node").alias("parent"), F.col("comp").alias("above"))
         new = stored(met.join(up, F.col("comp") == F.col("parent"), "left").select("node", F.least("comp", F.coalesce("above", "comp")).alias("comp")), "labels")
         changed = new.join(labels.withColumnRenamed("comp", "old"), "node").where("comp <> old").limit(1).count()
+        discard(labels)
         labels = new
         if not changed:
+            discard(e)
             return labels
 
 
+def _bit(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return (keys ^ (keys >> np.uint64(32))) & np.uint64(64 * len(words) - 1)
+
+
 def in_filter(nodes: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Whether each key may be in the filter.  Keys are well mixed already."""
-    k = nodes.view(np.uint64)
-    bit = (k ^ (k >> np.uint64(32))) & np.uint64(FILTER_BITS - 1)
+    bit = _bit(nodes.view(np.uint64), words)
     return (words.view(np.uint64)[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
 
 
-def node_filter(nodes: DataFrame) -> np.ndarray:
-    """A bit for each node of a column ``node``, made by an aggregate of at most FILTER_BITS / 64 rows."""
+def node_filter(nodes: DataFrame, count: int) -> np.ndarray:
+    """A bit for each of count keys of a column ``node``, made by an aggregate of a row for 64 bits at most.
+
+    Beyond MOST_BITS / BITS_EACH keys more and more other keys pass, which costs work and changes no result: whoever asks joins
+    or verifies afterwards.
+    """
+    bits = 1 << min(MOST_BITS.bit_length() - 1, max(16, (BITS_EACH * count - 1).bit_length()))
     node = F.col("node")
-    bit = node.bitwiseXOR(F.shiftright(node, 32)).bitwiseAND(F.lit(FILTER_BITS - 1))
-    words = nodes.select(F.shiftright(bit, 6).alias("w"), F.expr("shiftleft(1L, cast((node ^ shiftright(node, 32)) & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    out = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-    got = words.toPandas()
-    out[got["w"].to_numpy(dtype=np.int64)] = got["b"].to_numpy(dtype=np.int64)
+    bit = node.bitwiseXOR(F.shiftrightunsigned(node, 32)).bitwiseAND(F.lit(bits - 1))
+    words = nodes.select(F.shiftright(bit, 6).alias("w"), F.expr("shiftleft(1L, cast((node ^ shiftrightunsigned(node, 32)) & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    out = np.zeros(bits // 64, dtype=np.int64)
+    got = words.toArrow()
+    out[got.column("w").to_numpy()] = got.column("b").to_numpy()
     return out
 
 
@@ -78,8 +88,7 @@ def verified(pairs: DataFrame, sets, num: int, den: int) -> DataFrame:
 
     sets(nodes) gives node, values for at least the nodes asked for.
     """
-    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    s = sets(wanted)
+    s = sets(stored(pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct(), "wanted"))
     one = s.select(F.col("node").alias("v"), F.col("values").alias("vs"))
     two = s.select(F.col("node").alias("u"), F.col("values").alias("us"))
     both = pairs.join(one, "v").join(two, "u")

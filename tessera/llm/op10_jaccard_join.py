@@ -14,8 +14,10 @@
 5. Components over all verified links.
 
 Groups are cut by bands of sizes (a link's sizes differ by 1/t at most) and into blocks of BLOCK_NODES; a task holds two
-blocks.  Texts null, empty or without words have an empty set and are linked with nothing; repeated rows link as
-equal sets; an empty table gives an empty result; other columns do not matter.
+blocks of one group, and a family's groups are dealt out by DEAL_ROWS rows.  Filters that are broadcast grow with what they hold up
+to 32 MB.  Texts null, empty or without words have an empty set and are linked with nothing; repeated rows link as
+equal sets; a row without an id is linked like any other but is never the smallest of others, and alone has no component_id;
+an empty table gives an empty result; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, stored
-from tessera.llm.linking import bitmap, components, in_filter, node_filter, node_of, sets_of, verified
+from tessera.llm.common import bounded_batches, discard, stored
+from tessera.llm.linking import BITS_EACH, MOST_BITS, bitmap, components, in_filter, node_filter, node_of, sets_of, verified
 
 #: Nodes of one block, and members of a leaf of the tree.
 BLOCK_NODES, LEAF = 1024, 32
@@ -35,6 +37,8 @@ BLOCK_NODES, LEAF = 1024, 32
 RUN_HASHES, FREQUENT = 1 << 22, 3
 #: Partners of a node in another component that are verified first, in groups of at least so many nodes.
 LIKELIEST, FAMILY = 2, 64
+#: Rows of one family's groups that go to one task, about, and pairs that a task holds before it gives them out.
+DEAL_ROWS, HELD_PAIRS = 1024, 1_000_000
 
 
 class SignatureTree:
@@ -107,7 +111,7 @@ def _folded(bits: list[bytes]) -> np.ndarray:
 
 
 def frequent_hashes(df: DataFrame, text_col: str, shingle: int, lower: bool) -> np.ndarray:
-    """A filter of the hashes that at least FREQUENT of some RUN_HASHES hashes' texts hold."""
+    """A filter of the hashes that at least FREQUENT of some RUN_HASHES hashes' texts hold, in as many runs as leaves the filter room."""
     texts = df.select(F.col(text_col).alias("text")).where(F.col(text_col).isNotNull())
 
     def run(batches):
@@ -131,7 +135,13 @@ def frequent_hashes(df: DataFrame, text_col: str, shingle: int, lower: bool) ->
         if held:
             yield counted()
 
-    return node_filter(texts.mapInArrow(run, "node long").distinct())
+    runs = stored(texts.mapInArrow(run, "node long").groupBy("node").agg(F.count("*").alias("runs")), "frequent")
+    least, room = 1, MOST_BITS // BITS_EACH
+    while (count := runs.where(F.col("runs") >= least).count()) > room:
+        least *= 2
+    out = node_filter(runs.where(F.col("runs") >= least), count)
+    discard(runs)
+    return out
 
 
 def profiles(df: DataFrame, id_col: str, text_col: str, shingle: int, num: int, den: int, lower: bool = True, keys=None) -> DataFrame:
@@ -174,7 +184,7 @@ def whole_sets(df: DataFrame, text_col: str, shingle: int, lower: bool = True):
     """A function that gives node, values of wanted nodes from another scan of the texts; nothing but those is moved."""
 
     def sets(wanted: DataFrame) -> DataFrame:
-        keep = df.sparkSession.sparkContext.broadcast(node_filter(wanted))
+        keep = df.sparkSession.sparkContext.broadcast(node_filter(wanted, wanted.count()))
         texts = df.select(F.col(text_col).alias("text")).where(F.col(text_col).isNotNull())
 
         def run(batches):
@@ -222,6 +232,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle:
     length = F.col("n") - F.ceil(F.col("n") * num / den) + 1
     known = every.groupBy("node", "n").agg(F.count("*").alias("k")).select("node", (F.col("k") / length).alias("known"))
     groups = stored(every.where("one").select("a", "lo", "pos", "node", "n", "band").join(known, "node"), "groups")
+    discard(shared, every)
 
     # one pivot for each group and band; a band also holds the one below
     homes = F.array(F.struct(F.col("band").alias("b"), F.lit(True).alias("home")), F.struct((F.col("band") + 1).alias("b"), F.lit(False).alias("home")))
@@ -232,15 +243,21 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle:
     bitmaps = stored(bitmaps.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("wide").alias("wide")), "bits")
     bits, wide = bitmaps.select("node", "n", "bits"), bitmaps.select("node", "n", F.col("wide").alias("bits"))
     sets = whole_sets(df, text_col, shingle, lower)
-    edges = stored(verified(stored(_possible(star, wide, num, den), "star"), sets, num, den), "links")
+    star = stored(_possible(star, wide, num, den), "star")
+    edges = stored(verified(star, sets, num, den), "links")
     labels = components(edges)
+    discard(star)
 
     # what is left in groups of two components or more: first the likeliest partners in each other component, then all
     for most, least in ((LIKELIEST, FAMILY), (None, 2)):
         pairs = stored(_possible(_traversed(_open_groups(met, labels, least, num, den).join(bits, "node"), num, den, most).distinct(), wide, num, den), "pairs")
         if pairs.limit(1).count():
-            edges = edges.unionByName(stored(verified(pairs, sets, num, den), "links"))
+            before, old = edges, labels
+            edges = stored(edges.unionByName(verified(pairs, sets, num, den)), "links")
             labels = components(edges)
+            discard(before, old)
+        discard(pairs)
+    discard(groups, bitmaps, edges)
 
     classed = rows.select("id", "n", "node").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = classed.where("node is not null").groupBy("comp").agg(F.min("id").alias("least"))
@@ -255,13 +272,15 @@ def _open_groups(met: DataFrame, labels: DataFrame, least: int, num: int, den: i
     what it links with shares an earlier hash.
     """
     named = met.join(labels, "node", "left").select("a", "lo", "pos", "b", "home", "node", "n", F.coalesce("comp", "node").alias("comp"))
-    open_ = named.groupBy("a", "b").agg(F.min("comp").alias("lo_"), F.max("comp").alias("hi_"), F.max("home").alias("any"), F.min("n").alias("small"), F.count("*").alias("k")).where(f"lo_ < hi_ and any and k >= {least}")
+    open_ = named.groupBy("a", "b").agg(F.first("lo").alias("lo"), F.min("comp").alias("lo_"), F.max("comp").alias("hi_"), F.max("home").alias("any"), F.min("n").alias("small"), F.count("*").alias("k")).where(f"lo_ < hi_ and any and k >= {least}")
+    family = open_.groupBy("lo", "b").agg(F.ceil(F.sum("k") / DEAL_ROWS).cast("long").alias("deals"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("k") / BLOCK_NODES)).cast("long")
+    dealt = open_.join(family, ["lo", "b"]).select("a", "b", "small", blocks.alias("blocks"), F.pmod(F.xxhash64("a"), "deals").alias("deal"))
     need = F.ceil(F.lit(num) * (F.col("n") + F.greatest("small", F.ceil(F.col("n") * num / den))) / (num + den))
-    left = named.join(open_.select("a", "b", "small", blocks.alias("blocks")), ["a", "b"]).where(F.col("n") - F.col("pos") >= need).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    left = named.join(dealt, ["a", "b"]).where(F.col("n") - F.col("pos") >= need).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
     others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("p"), F.greatest("block", o).alias("q")))
     left = left.withColumn("m", F.explode(others))
-    return left.select("lo", "b", "blocks", "m.p", "m.q", "a", "pos", "home", "node", "comp", "block")
+    return left.select("lo", "deal", "b", "blocks", "m.p", "m.q", "a", "pos", "home", "node", "comp", "block")
 
 
 def _possible(pairs: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
@@ -286,15 +305,15 @@ def _possible(pairs: DataFrame, bits: DataFrame, num: int, den: int) -> DataFram
 def _traversed(left: DataFrame, num: int, den: int, most: int | None) -> DataFrame:
     """Candidate pairs u, v of every group and pair of blocks; with ``most`` only a node's likeliest partners in each other component.
 
-    Groups with one smallest member are mostly one family's; they go to one task a pair of blocks, which gives their pairs once.
-    Rows come sorted; a group at a time is held, and the pairs of two blocks.
+    Groups with one smallest member are mostly one family's; up to DEAL_ROWS rows of them go to one task a pair of blocks, which gives
+    their pairs once.  Rows come sorted; a group at a time is held, and HELD_PAIRS pairs.
     """
-    keys = ["lo", "b", "blocks", "p", "q"]
+    keys = ["lo", "deal", "b", "blocks", "p", "q"]
 
     def compared(rows):
-        bits, sizes = _folded([r[11] for r in rows]), np.array([r[6] for r in rows])
-        nodes, comps, pos, home, block = (np.array([r[k] for r in rows]) for k in (7, 8, 9, 10, 12))
-        p, q = rows[0][3:5]
+        bits, sizes = _folded([r[12] for r in rows]), np.array([r[7] for r in rows])
+        nodes, comps, pos, home, block = (np.array([r[k] for r in rows]) for k in (8, 9, 10, 11, 13))
+        p, q = rows[0][4:6]
         if p == q:
             t = SignatureTree(bits, sizes, comps)
             i, j = dual_traversal(t, t, num, den)
@@ -343,19 +362,22 @@ def _traversed(left: DataFrame, num: int, den: int, most: int | None) -> DataFra
         def group():
             if len(held) > 1 and (pairs := compared(held)) is not None:
                 found.append(pairs)
-                if sum(f.shape[1] for f in found) > 1_000_000:
+                if sum(f.shape[1] for f in found) > HELD_PAIRS:
                     found[:] = [once(found)]
+                    if found[0].shape[1] > HELD_PAIRS // 2:
+                        yield out()
+                        found.clear()
 
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns)):
-                if row[:6] != at:
-                    group()
-                    if at is not None and row[:5] != at[:5] and found:
+                if row[:7] != at:
+                    yield from group()
+                    if at is not None and row[:6] != at[:6] and found:
                         yield out()
                         found.clear()
-                    held, at = [], row[:6]
+                    held, at = [], row[:7]
                 held.append(row)
-        group()
+        yield from group()
         if found:
             yield out()
 
