@@ -2,16 +2,18 @@
 
 A window is a run of ``window`` words of one text.  A word goes if a window over it also starts in a text with a smaller id.
 
-1. Every window has one seed: the smallest hash among its SEED-word phrases.  Equal windows have equal seeds, so a seed met in
-   one distinct text only can hold no repeat.  Seeds met in two are the recurring phrases.
+1. Confirmed phrases.  Every window has one seed: the smallest hash among its SEED-word phrases.  Equal windows have equal seeds,
+   so a seed met in one distinct text only can hold no repeat.  The phrases of seeds met in two or more are a table of the whole corpus.
 2. Equal texts collapse: of each distinct word sequence only the row with the smallest id goes on (in the others every window is repeated).
-3. Each text is dealt once, by ranges of ids, with its recurring seeds.  A task compiles the confirmed phrases of a block of texts into an
-   Aho-Corasick automaton (its shard of all phrases) and streams the block's texts through it; around every occurrence it writes the windows.
-4. A window's earliest text comes from an aggregate by two hashes (96 bits); windows with an earlier text mark the words that go.
-
-Hot phrases and windows are only ever aggregated with partial sums, or joined from a side that can be split.  Null texts have no
-words; repeated rows (same id and text) get the same result each and never remove each other's words; an empty table gives an
-empty result; other columns do not matter.
+3. Sharded automata.  Texts are dealt by ranges of ids.  Seeds, as a filter, route to each range the confirmed phrases that can
+   occur there, wherever in the corpus they were confirmed; a task compiles those of a block of texts into an Aho-Corasick
+   automaton and streams the block through it.  Every occurrence is found on the bytes themselves, and only windows around
+   occurrences are candidates: no place comes from anywhere else.
+4. A candidate's earliest text comes from an aggregate by two hashes (96 bits); candidates with an earlier text mark the words that go.
+
+Hot phrases and windows are only ever aggregated with partial sums, or joined between two written tables, which Spark can split.
+Null texts have no words; a row without an id comes before and after nothing: nothing goes from it or on account of it; repeated rows (same id
+and text) get the same result each and never remove each other's words; an empty table gives an empty result; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -22,20 +24,23 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import IdShards, bounded_batches, shuffle_width, stored
+from tessera.llm.common import IdShards, bounded_batches, discard, remove, shared_dir, shuffle_width, stored
 from tessera.llm.word_arrays import mix, rolled, spans, words_of
 
 SEED = 8
-_SEED_BASE, _WINDOW_BASE, _CHECK_BASE, _TEXT_BASE = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3
+_SEED_BASE, _WINDOW_BASE, _CHECK_BASE = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3
 #: Bytes of texts for which one automaton is compiled.
 AUTOMATON_BYTES = 2 << 20
 
 
-def text_key(w: np.ndarray) -> int:
-    """A key of a word sequence, as a signed 64-bit number."""
-    n = len(w)
-    h = rolled(w, n, _TEXT_BASE)[0] if n else np.uint64(0)
-    return int(mix(np.array([h], dtype=np.uint64) + np.uint64(n)).view(np.int64)[0])
+def single_spaced(raw: bytes) -> bytes:
+    return b" ".join(raw.split())  # bytes.split() parts at the same separators
+
+
+def text_key(plain: bytes) -> tuple[int, str]:
+    """A key of a single-spaced word sequence, as a signed 64-bit number, and its digest."""
+    sha = hashlib.sha256(plain)
+    return int.from_bytes(sha.digest()[:8], "little", signed=True), sha.hexdigest()
 
 
 def seeds_at(w: np.ndarray) -> np.ndarray:
@@ -54,55 +59,74 @@ def window_seeds(w: np.ndarray, window: int) -> np.ndarray:
 
 
 def _profiles(rows: DataFrame, window: int) -> DataFrame:
-    """id, n_words, key, kept_sha256 of the whole text, and the distinct seeds of its windows."""
+    """id, n_words, key, sha of the whole text, and the distinct seeds of its windows with their phrases."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            n, key, sha, seeds = [], [], [], []
+            n, key, sha, seeds, phrases = [], [], [], [], []
             for t in b.column(1).cast(pa.binary()):
                 raw = t.as_py() or b""
-                w = words_of(raw)
+                plain = single_spaced(raw)
+                w = words_of(plain)
+                k, digest = text_key(plain)
                 n.append(len(w))
-                key.append(text_key(w))
-                sha.append(hashlib.sha256(b" ".join(raw.split())).hexdigest())
-                seeds.append(np.unique(window_seeds(w, window)).view(np.int64))
-            ends = np.cumsum([0, *map(len, seeds)]).astype(np.int32)
+                key.append(k)
+                sha.append(digest)
+                own = np.unique(window_seeds(w, window))
+                if len(own):
+                    m = seeds_at(w)
+                    places = np.flatnonzero(np.isin(m, own))
+                    own, first = np.unique(m[places], return_index=True)
+                    at, ends = spans(plain)
+                    phrases += [plain[a:e] for a, e in zip(at[places[first]].tolist(), ends[places[first] + SEED - 1].tolist())]
+                seeds.append(own.view(np.int64))
+            ends = pa.array(np.cumsum([0, *map(len, seeds)]).astype(np.int32))
             flat = np.concatenate(seeds) if seeds else np.empty(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(sha), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "n_words", "key", "sha", "seeds"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(sha), pa.ListArray.from_arrays(ends, pa.array(flat)), pa.ListArray.from_arrays(ends, pa.array(phrases, pa.binary()))], ["id", "n_words", "key", "sha", "seeds", "phrases"])
+
+    return rows.mapInArrow(run, "id long, n_words long, key long, sha string, seeds array<long>, phrases array<binary>")
 
-    return rows.mapInArrow(run, "id long, n_words long, key long, sha string, seeds array<long>")
 
+def _confirmed(path: str, shard: int) -> dict[int, list[bytes]]:
+    """The confirmed phrases that can occur in a shard, by seed."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
 
-def _windows(dealt: DataFrame, window: int) -> DataFrame:
-    """From texts and their recurring seeds, sorted by id with the seeds first: rows of windows (kind 0) and of the texts themselves (kind 1)."""
+    store, place = fs.FileSystem.from_uri(f"{path}/shard_={shard}")
+    out: dict[int, list[bytes]] = {}
+    for info in store.get_file_info(fs.FileSelector(place, allow_not_found=True)):
+        if info.path.endswith(".parquet"):
+            with store.open_input_file(info.path) as f:
+                for b in pq.ParquetFile(f).iter_batches(columns=["seed", "phrase"]):
+                    for seed, phrase in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                        out.setdefault(seed, []).append(phrase)
+    return out
+
+
+def _windows(dealt: DataFrame, window: int, path: str) -> DataFrame:
+    """From texts and the seeds that route phrases to them, sorted by shard and id with the seeds first: rows of windows (kind 0)
+    and of the texts themselves (kind 1)."""
 
     def run(batches):
         import pyarrow as pa
 
         names = ["kind", "id", "key", "pos", "h1", "h2", "text"]
 
-        def flush(block):
-            phrases = {}
-            parts = []
-            for id_, key, raw, seeds in block:
-                w = words_of(raw)
-                s, e = spans(raw)
-                plain = b" " + b" ".join(raw.split()) + b" "  # bytes.split() parts at the same separators
-                lengths = e - s + 1
-                at = np.concatenate(([0], np.cumsum(lengths)))  # the place of the space before each word
-                for p in np.flatnonzero(np.isin(seeds_at(w), seeds)).tolist():
-                    phrases[plain[at[p] : at[p + SEED] + 1]] = None
-                parts.append((id_, key, w, plain, at))
-            if not phrases:
+        def flush(block, phrases):
+            wanted = dict.fromkeys(p for _, _, _, seeds in block for seed in seeds for p in phrases.get(seed, ()))
+            if not wanted:
                 return
-            hits = _occurrences(phrases, [p[3] for p in parts])
-            for (id_, key, w, plain, at), ends in zip(parts, hits):
+            texts = [b" " + plain + b" " for _, _, plain, _ in block]
+            kept = []
+            for (id_, key, plain, _), text, ends in zip(block, texts, _occurrences(wanted, texts)):
+                w = words_of(plain)
                 n = len(w) - window + 1
                 if n <= 0 or not len(ends):
                     continue
-                first = np.searchsorted(at, ends) - SEED
+                last = np.searchsorted(spans(text)[1], ends)  # the word that ends where an occurrence does
+                first = last - SEED + 1
                 mark = np.zeros(n + 1, dtype=np.int64)
                 np.add.at(mark, np.clip(first - (window - SEED), 0, n), 1)
                 np.add.at(mark, np.clip(first + 1, 0, n), -1)
@@ -110,40 +134,44 @@ def _windows(dealt: DataFrame, window: int) -> DataFrame:
                 h1 = mix(rolled(w, window, _WINDOW_BASE)[pos]).view(np.int64)
                 h2 = (mix(rolled(w, window, _CHECK_BASE)[pos]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 k = len(pos)
+                kept.append((id_, key, plain))
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), pa.array(np.full(k, id_, np.int64)), pa.array(np.full(k, key, np.int64)), pa.array(pos.astype(np.int32)), pa.array(h1), pa.array(h2), pa.nulls(k, pa.string())], names)
-            yield pa.RecordBatch.from_arrays([pa.array([1] * len(parts), pa.int32()), pa.array([p[0] for p in parts], pa.int64()), pa.array([p[1] for p in parts], pa.int64()), pa.nulls(len(parts), pa.int32()), pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.int32()), pa.array([p[3][1:-1].decode() for p in parts])], names)
+            k = len(kept)
+            yield pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), pa.array([p[0] for p in kept], pa.int64()), pa.array([p[1] for p in kept], pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.array([p[2].decode() for p in kept], pa.string())], names)
 
-        block, size, at, known, seen = [], 0, None, {}, set()
+        block, size, at, known, seen, phrases = [], 0, (None, None), {}, set(), {}
         for b in batches:
-            ids, keys, seeds = (b.column(k).to_pylist() for k in (0, 1, 2))
-            texts = b.column(3).cast(pa.binary())
-            for i, id_ in enumerate(ids):
-                if id_ != at:
-                    at, known, seen = id_, {}, set()
+            shards, ids, keys, seeds = (b.column(k).to_pylist() for k in range(4))
+            texts = b.column(4).cast(pa.binary())
+            for i, own in enumerate(zip(shards, ids)):
+                if own[0] != at[0] or size >= AUTOMATON_BYTES:
+                    yield from flush(block, phrases)
+                    block, size = [], 0
+                if own[0] != at[0]:
+                    phrases = _confirmed(path, own[0])
+                if own != at:
+                    at, known, seen = own, {}, set()
                 if keys[i] is not None:
-                    known[keys[i]] = np.array(seeds[i], dtype=np.int64).view(np.uint64)
+                    known[keys[i]] = seeds[i]
                 elif known:
-                    raw = texts[i].as_py() or b""
-                    key = text_key(words_of(raw))
+                    plain = single_spaced(texts[i].as_py() or b"")
+                    key = text_key(plain)[0]
                     if key in known and key not in seen:
                         seen.add(key)
-                        block.append((id_, key, raw, known[key]))
-                        size += len(raw)
-                        if size >= AUTOMATON_BYTES:
-                            yield from flush(block)
-                            block, size = [], 0
-        yield from flush(block)
+                        block.append((own[1], key, plain, known[key]))
+                        size += len(plain)
+        yield from flush(block, phrases)
 
     return dealt.mapInArrow(run, "kind int, id long, key long, pos int, h1 long, h2 int, text string")
 
 
 def _occurrences(phrases: dict[bytes, None], texts: list[bytes]) -> list[np.ndarray]:
-    """For each text the places of the last byte (a space) of every occurrence of a phrase, overlapping ones too."""
+    """For each text the place after the last word of every occurrence of a phrase between spaces, overlapping ones too."""
     import ahocorasick
 
     automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
     for p in phrases:
-        automaton.add_word(p.decode("latin-1"))
+        automaton.add_word(f" {p.decode('latin-1')} ")
     automaton.make_automaton()
     return [np.unique(np.fromiter((end for end, _ in automaton.iter(t.decode("latin-1"))), dtype=np.int64)) for t in texts]
 
@@ -178,29 +206,36 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bounded_batches(spark)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     profiles = stored(_profiles(rows, window), "profiles")
+    firsts = profiles.where(f"n_words >= {window} and id is not null").groupBy("key", "n_words").agg(F.min("id").alias("id")).select("id", "key")
 
-    seeds = profiles.select(F.explode("seeds").alias("seed"), "key", "id")
+    # phrases whose seed two distinct texts have, in all of the corpus; then those that each range of ids can hold
+    seeds = profiles.where("id is not null").select(F.explode(F.arrays_zip("seeds", "phrases")).alias("s"), "key", "id").select("s.seeds", "s.phrases", "key", "id").toDF("seed", "phrase", "key", "id")
     recurring = seeds.groupBy("seed").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("seed")
-    first = profiles.where(f"n_words >= {window}").groupBy("key").agg(F.min("id").alias("first"))
-    firsts = first.select(F.col("key").alias("k"), F.col("first").alias("f"))
-    per_text = seeds.join(recurring, "seed").groupBy("id", "key").agg(F.collect_set("seed").alias("seeds"))
-    per_text = stored(per_text.join(firsts, (F.col("key") == F.col("k")) & (F.col("id") == F.col("f"))).select("id", "key", "seeds"), "recurring")
-
+    met = stored(seeds.join(recurring, "seed"), "met")
+    phrases = met.select("seed", "phrase").distinct()
     size = F.octet_length("text") + 64
     total = rows.agg(F.sum(size)).first()[0] or 0
     shards = IdShards(rows, "id", size, max(shuffle_width(spark), -(-total // shard_bytes)))
-    both = per_text.select("id", "key", "seeds", F.lit(None).cast("string").alias("text")).unionByName(rows.select("id", F.lit(None).cast("long").alias("key"), F.lit(None).cast("array<long>").alias("seeds"), "text"))
-    dealt = shards.assign(both).repartitionById(shards.n, "shard_").sortWithinPartitions("id", F.asc_nulls_last("key")).select("id", "key", "seeds", "text")
-    found = stored(_windows(dealt, window), "windows")
+    routed = shards.assign(met).select("shard_", "seed").distinct().join(phrases, "seed")
+    path = shared_dir(spark, "confirmed")
+    routed.repartition(shards.n, "shard_").write.partitionBy("shard_").parquet(path)
+    per_text = met.join(firsts, ["id", "key"], "left_semi").groupBy("id", "key").agg(F.collect_set("seed").alias("seeds"))
+
+    both = per_text.select("id", "key", "seeds", F.lit(None).cast("string").alias("text")).unionByName(rows.where("id is not null").select("id", F.lit(None).cast("long").alias("key"), F.lit(None).cast("array<long>").alias("seeds"), "text"))
+    dealt = shards.assign(both).repartitionById(shards.n, "shard_").sortWithinPartitions("shard_", "id", F.asc_nulls_last("key")).select("shard_", "id", "key", "seeds", "text")
+    found = stored(_windows(dealt, window, path), "windows")
+    remove(spark, path)
+    discard(met)
 
     windows = found.where("kind = 0").select("id", "key", "pos", "h1", "h2")
-    earliest = windows.groupBy("h1", "h2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h1", "h2", "lo")
+    earliest = stored(windows.groupBy("h1", "h2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h1", "h2", "lo"), "earliest")
     places = windows.join(earliest, ["h1", "h2"]).where("id > lo").groupBy("id", "key").agg(F.collect_list("pos").alias("places"))
     marked = found.where("kind = 1").select("id", "key", "text").join(places, ["id", "key"])
-    cut = _removed(marked, window).withColumnRenamed("sha", "cut_sha")
+    cut = stored(_removed(marked, window).withColumnRenamed("sha", "cut_sha"), "cut")
+    discard(found, earliest)
 
-    out = profiles.select("id", "n_words", "key", "sha").join(first, "key", "left").join(cut, ["id", "key"], "left")
-    copy = F.col("first") < F.col("id")
+    out = profiles.select("id", "n_words", "key", "sha").join(firsts.withColumn("first", F.lit(True)), ["id", "key"], "left").join(cut, ["id", "key"], "left")
+    copy = F.col("first").isNull() & (F.col("n_words") >= window) & F.col("id").isNotNull()
     return out.select(
         F.col("id").alias(id_col),
         "n_words",
