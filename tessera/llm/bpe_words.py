@@ -1,8 +1,8 @@
 """Exact token ids and prefix counts through caches of words.
 
 Both vocabularies split a text by a pattern before any merge, so a text's ids are its words' ids one after
-the other.  Texts of plain Latin characters are split here and each distinct word is given to the library once;
-any other text, and any text that may hold a special token, goes to the library whole.
+the other.  Texts of plain Latin characters are split here, others by the library's own splitter; special tokens inside a text
+part it first, as in the library.
 """
 
 from __future__ import annotations
@@ -12,16 +12,20 @@ import re
 
 #: Letters for which the split patterns below agree with the library's (fixed values: ASCII, Latin-1, Latin Extended-A).
 LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſ"
-#: Anything else in a text sends it to the library.
-UNUSUAL = re.compile(rf"[^\t\n\r -~{LETTERS}]|<\|")
+#: A text with anything else is split by the library.
+OTHER = re.compile(rf"[^\t\n\r -~{LETTERS}]")
+#: Anything else in a text, or what may be a special token, sends it to the library for its ids.
+UNUSUAL = re.compile(rf"{OTHER.pattern}|<\|")
 #: The vocabularies' own split patterns over those letters (fixed values).
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 BYTE_SPLIT = re.compile(rf"{CONTRACTIONS}| ?[{LETTERS}]+| ?[0-9]+| ?[^\s0-9{LETTERS}]+|\s+(?!\S)|\s+")
 WORD_SPLIT = re.compile(rf"{CONTRACTIONS}|[{LETTERS}]+|[0-9]|[^\s0-9{LETTERS}]+")
 #: Words that a cache holds before it starts anew.
 KEPT = 1_000_000
-#: Longer words are not kept.
+#: Longer words are not kept, and are searched with an automaton of the vocabulary.
 LONG = 300
+#: Contractions whose first two characters split apart (fixed values).
+SPLIT_SHORT = ("'re", "'ve", "'ll")
 
 
 def library(path: str):
@@ -92,26 +96,53 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def _space(c: str) -> bool:
+    """White space as the split patterns have it."""
+    return c.isspace() and not "\x1c" <= c <= "\x1f"
+
+
 class PrefixCounts:
     """Token counts at every byte prefix of a word by dynamic programming, and from those of every prefix of a text.
 
     For each prefix of a word exactly one vocabulary entry ends it such that the entry before it (the last one of
     the shorter prefix's encoding) stays apart from it when both are encoded together.  So the count at i is the
-    count at i - len(entry) plus one, and each prefix costs a few look-ups instead of an encoding.
+    count at i - len(entry) plus one, and each prefix costs a few look-ups instead of an encoding.  The library splits texts
+    and encodes nothing here.
     """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             j = json.load(f)
+        if j.get("normalizer") or any(t[k] for t in j["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("a vocabulary that changes texts before it splits them")
         back = byte_alphabet()
         special = {t["content"] for t in j["added_tokens"]}
+        self.special = re.compile("|".join(re.escape(t) for t in sorted(special, key=len, reverse=True)) or "(?!)")
+        self.specials = special
         self.vocab = {_bytes_of(t, back): i for t, i in j["model"]["vocab"].items() if t not in special}
         self.longest = max(map(len, self.vocab))
         self.rank = {}
         for k, m in enumerate(j["model"]["merges"]):
             a, b = m.split(" ") if isinstance(m, str) else m
             self.rank[_bytes_of(a, back), _bytes_of(b, back)] = k
-        self.lib, self.cache, self.apart, self.last_long = library(path), {}, {}, (None, ())
+        self.lib, self.cache, self.apart, self.last_long, self._automaton = library(path), {}, {}, (None, ()), None
+        self.splitter = self.lib.pre_tokenizer
+
+    def split(self, text: str) -> list[str]:
+        """The words that are encoded each by itself, special tokens among them."""
+        if not self.special.search(text):
+            return self._words(text)
+        out, at = [], 0
+        for m in self.special.finditer(text):
+            out += self._words(text[at : m.start()])
+            out.append(m[0])
+            at = m.end()
+        return out + self._words(text[at:])
+
+    def _words(self, text: str) -> list[str]:
+        if not OTHER.search(text):
+            return BYTE_SPLIT.findall(text)
+        return [text[a:b] for _, (a, b) in self.splitter.pre_tokenize_str(text)]
 
     def merged(self, word: bytes) -> list[bytes]:
         """The encoding of a short word: the best-ranked pair merges first, the leftmost of equals."""
@@ -129,51 +160,59 @@ class PrefixCounts:
         if known is None:
             if len(self.apart) > KEPT:
                 self.apart.clear()
-            known = self.apart[key] = self.merged(a + b) == [a, b]
+            known = self.apart[key] = self.merged(a + b) == ([a, b] if a else [b])
         return known
 
-    def word(self, word: str) -> bytes | tuple[int, ...]:
+    def word(self, word: str) -> tuple[int, ...]:
         """Counts at each byte prefix of a word, the whole word last."""
         known = self.cache.get(word)
         if known is not None:
             return known
+        if word in self.specials:
+            return (1,) * len(word.encode("utf-8"))
         if self.last_long[0] == word:
             return self.last_long[1]
         if len(self.cache) > KEPT:
             self.cache.clear()
         b = word.encode("utf-8")
-        vocab, apart, longest = self.vocab, self.apart, self.longest
+        vocab, apart = self.vocab, self.apart
         counts, last = [0], [b""]
+        if len(b) > LONG:
+            for end, n in self._entries(b):
+                j = end + 1 - n
+                if len(counts) == end + 1 and self._stays_apart(last[j], b[j : end + 1]):
+                    counts.append(counts[j] + 1)
+                    last.append(b[j : end + 1])
+            if len(counts) != len(b) + 1:
+                raise ValueError("a byte has no token")
+            self.last_long = (word, tuple(counts[1:]))
+            return self.last_long[1]
         for i in range(1, len(b) + 1):
-            for j in range(max(0, i - longest), i):
+            for j in range(max(0, i - self.longest), i):
                 t = b[j:i]
                 if t in vocab:
-                    before = last[j]
-                    if j == 0:
-                        fits = len(t) == 1 or self._whole(t)
-                    else:
-                        fits = apart.get((before, t))
-                        if fits is None:
-                            fits = self._stays_apart(before, t)
+                    fits = apart.get((last[j], t))
+                    if fits is None:
+                        fits = self._stays_apart(last[j], t)
                     if fits:
                         counts.append(counts[j] + 1)
                         last.append(t)
                         break
             else:
                 raise ValueError("a byte has no token")
-        out = tuple(counts[1:])
-        if len(word) <= LONG:
-            self.cache[word] = out
-        else:
-            self.last_long = (word, out)
+        out = self.cache[word] = tuple(counts[1:])
         return out
 
-    def _whole(self, t: bytes) -> bool:
-        key = (b"", t)
-        known = self.apart.get(key)
-        if known is None:
-            known = self.apart[key] = self.merged(t) == [t]
-        return known
+    def _entries(self, b: bytes):
+        """(last place, length) of every vocabulary entry in a word, by place, the longest first."""
+        import ahocorasick
+
+        if self._automaton is None:
+            self._automaton = ahocorasick.Automaton()
+            for t in self.vocab:
+                self._automaton.add_word(t.decode("latin-1"), len(t))
+            self._automaton.make_automaton()
+        return self._automaton.iter(b.decode("latin-1"))
 
     def total(self, word: str) -> int:
         return self.word(word)[-1]
@@ -185,25 +224,21 @@ class PrefixCounts:
 class PrefixTable:
     """Exact counts at every prefix of one text: ``ends`` are its words' ends, ``upto`` the counts there.
 
-    Inside a word the word's own prefix counts answer.  Where a cut may change how the text is split before it
-    (inside white space or a contraction), the few characters since the last word that the cut cannot touch
-    are split again.  Texts outside the plain alphabet keep only their total; other prefixes ask the library.
+    Inside a word the word's own prefix counts answer, and inside white space those of the run of white space that a cut leaves
+    at the end.  Only a cut through a special token, which then is ordinary text, or after two characters of a contraction
+    splits the few characters since the word before anew.
     """
 
     def __init__(self, counts: PrefixCounts, text: str):
         import numpy as np
 
         self.counts, self.text = counts, text
-        self.plain = not UNUSUAL.search(text)
-        if self.plain:
-            self.words = BYTE_SPLIT.findall(text)
-            totals = _Totals.of(counts)
-            each = np.fromiter(map(totals.__getitem__, self.words), dtype=np.int64, count=len(self.words))
-            self.upto = np.cumsum(each)
-            self.total = int(self.upto[-1]) if len(each) else 0
-            self.ends = None
-        else:
-            self.total = len(counts.lib.encode(text, add_special_tokens=False).ids)
+        self.words = counts.split(text)
+        totals = _Totals.of(counts)
+        each = np.fromiter(map(totals.__getitem__, self.words), dtype=np.int64, count=len(self.words))
+        self.upto = np.cumsum(each)
+        self.total = int(self.upto[-1]) if len(each) else 0
+        self.ends = None
 
     def _ends(self):
         import numpy as np
@@ -212,6 +247,20 @@ class PrefixTable:
             self.ends = np.cumsum(np.fromiter(map(len, self.words), dtype=np.int64, count=len(self.words)))
         return self.ends
 
+    def _before(self, k: int) -> tuple[int, int]:
+        """Where word k starts, and the count there."""
+        return (int(self._ends()[k - 1]), int(self.upto[k - 1])) if k else (0, 0)
+
+    def _run(self, k: int) -> tuple[int, int, str]:
+        """Where the white space that reaches into word k starts, the count there, and all of that white space."""
+        while k and _space(self.words[k - 1][-1]) and self.words[k - 1] not in self.counts.specials:
+            k -= 1
+        start, base = self._before(k)
+        end = start
+        while end < len(self.text) and _space(self.text[end]):
+            end += 1
+        return start, base, self.text[start:end]
+
     def at(self, n: int) -> int:
         """Tokens of the first n characters."""
         import numpy as np
@@ -220,21 +269,23 @@ class PrefixTable:
             return self.total
         if n <= 0:
             return 0
-        if not self.plain:
-            return len(self.counts.lib.encode(self.text[:n], add_special_tokens=False).ids)
-        ends = self._ends()
-        k = int(np.searchsorted(ends, n, "right"))  # words that end at or before n
-        start = int(ends[k - 1]) if k else 0
-        if start < n and k < len(ends):
-            word = self.words[k]
-            part = word[: n - start]
-            if part != " " and not word.isspace() and word[0] != "'":
-                return (int(self.upto[k - 1]) if k else 0) + self.counts.word(word)[len(part.encode("utf-8")) - 1]
-        while k and (self.words[k - 1].isspace() or self.words[k - 1].endswith("'")):
-            k -= 1
-        k = max(0, k - 1)
-        start = int(ends[k - 1]) if k else 0
-        return (int(self.upto[k - 1]) if k else 0) + sum(map(self.counts.total, BYTE_SPLIT.findall(self.text[start:n])))
+        k = int(np.searchsorted(self._ends(), n, "right"))  # words that end at or before n
+        start, base = self._before(k)
+        word, part = self.words[k], self.text[start:n]
+        if part and word in self.counts.specials:
+            while k and (_space(self.words[k - 1][-1]) and self.words[k - 1] not in self.counts.specials):
+                k -= 1
+            start, base = self._before(max(0, k - 1))
+            return base + sum(map(self.counts.total, self.counts.split(self.text[start:n])))
+        if _space(self.text[n - 1]) and not (not part and self.words[k - 1] in self.counts.specials):
+            start, base, run = self._run(k)
+            run = run if len(run) > LONG else run[: n - start]
+            return base + self.counts.word(run)[len(run[: n - start].encode("utf-8")) - 1]
+        if not part:
+            return base
+        if word in SPLIT_SHORT and len(part) == 2:
+            return base + sum(map(self.counts.total, self.counts.split(part)))
+        return base + self.counts.word(word)[len(part.encode("utf-8")) - 1]
 
     def longest(self, budget: int) -> int:
         """The most characters whose tokens are at most budget: every longer prefix has more."""
@@ -242,22 +293,28 @@ class PrefixTable:
 
         if self.total <= budget:
             return len(self.text)
-        if not self.plain:
-            e = self.counts.lib.encode(self.text, add_special_tokens=False)
-            of, at = e.word_ids, min(budget, len(e.ids) - 1)
-            last = of[at]
-            while at + 1 < len(e.ids) and (of[at] is None or last is None or of[at] <= last + 2):
-                at += 1
-            n = e.offsets[at][1]
-            while n and self.at(n) > budget:
-                n -= 1
-            return n
-        ends = self._ends()
         k = int(np.searchsorted(self.upto, budget, "right"))
-        n = min(len(self.text), (int(ends[min(k + 2, len(ends) - 1)])))
-        while n and self.at(n) > budget:
-            n -= 1
-        return n
+        for j in range(min(k + 2, len(self.words) - 1), -1, -1):
+            start, base = self._before(j)
+            end, word = start + len(self.words[j]), self.words[j]
+            if len(word) > LONG:  # by its table, but for the ends
+                if self.at(end) <= budget:
+                    return end
+                if _space(word[-1]):
+                    run_start, base, word = self._run(j)
+                else:
+                    run_start = start
+                raw = np.frombuffer(word.encode("utf-8") + b"a", dtype=np.uint8)
+                ends = np.flatnonzero((raw[1:] & 0xC0) != 0x80)  # the last byte of each character
+                fits = np.flatnonzero(np.array(self.counts.word(word))[ends] + base <= budget) + run_start + 1
+                fits = fits[(fits > start + 1) & (fits < end)]
+                if len(fits):
+                    return int(fits[-1])
+                end = start + 1
+            for n in range(end, start, -1):
+                if self.at(n) <= budget:
+                    return n
+        return 0
 
 
 class _Totals(dict):

@@ -1,8 +1,8 @@
 """Token counts by prefix dynamic programming.
 
 ``token_counts`` keeps, for each text, the exact token count at every prefix and answers truncation and budget
-questions from that table without encoding again.  Except: a text with a character outside ASCII, Latin-1 letters and
-Latin Extended-A, or with "<|", has no such table; the library counts it and encodes its prefixes again.  Null texts count as empty; repeated rows stay repeated; other
+questions from that table without encoding anything, whatever the text's characters; special tokens inside a text count as
+the library counts them.  Null texts count as empty; null ids are kept as they are; repeated rows stay repeated; other
 columns do not matter.
 """
 
