@@ -149,12 +149,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """id, n_shingles, component_id: classes of texts joined by verified Jaccard similarities of 0.8 or more.
 
     Candidates share a signature band; at 0.8 a pair shares one with probability 0.99995.  They are verified on whole sets,
-    by way of pivots and signature trees, so a large band is never spelled out in pairs.
+    by way of pivots and signature trees, so a large band is never spelled out in pairs.  Texts null, empty or without words are
+    linked with nothing; rows without an id are linked like others and are never the smallest; repeated rows get the same class; an
+    empty table gives an empty result; other columns do not matter.
     """
     from tessera.llm.op10_jaccard_join import join
 
     return join(df, id_col, text_col, SHINGLE, 80, 100, lower=False, keys=band_keys)
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
