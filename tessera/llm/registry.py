@@ -20,10 +20,8 @@ OPERATORS = {
 
 
 def queries() -> dict:
-    import corpus_pipeline
-
     found = {name: getattr(importlib.import_module(f"tessera.llm.{module}"), name) for module, name in OPERATORS.items()}
-    return found | {"pipeline": corpus_pipeline.run}
+    return found | {"op2_near_duplicates": importlib.import_module("tessera.llm.op2_fingerprints").op2_near_duplicates, "pipeline": importlib.import_module("tessera.llm.pipeline").run}
 
 
 def oracle_sql() -> dict[str, str]:

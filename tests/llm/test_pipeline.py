@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-import corpus_pipeline
+from tessera.llm import pipeline as corpus_pipeline
 from tessera.llm.common import stored
 
 

@@ -4,8 +4,8 @@ import random
 
 import numpy as np
 
-import corpus_pipeline
 from tessera.llm import op5_mixing, op6_top_k
+from tessera.llm import pipeline as corpus_pipeline
 
 
 def test_top_k_where_a_partition_holds_several_sorted_files(spark, monkeypatch):
