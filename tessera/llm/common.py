@@ -7,6 +7,7 @@ costs a re-read and never a recomputation of what stands before them; ``discard`
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -54,9 +55,14 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Removes tables that ``stored`` wrote.  Nothing may still have to read them, a plan not yet run included."""
+    """Removes tables that ``stored`` wrote.  Nothing may still have to read them, a plan not yet run included.
+
+    Spark removes shuffle files when the driver's JVM happens to collect its garbage; here it is asked to.
+    """
     for t in tables:
         remove(t.sparkSession, t.stored_at)
+    gc.collect()
+    tables[0].sparkSession._jvm.System.gc()
 
 
 def unused(df: DataFrame, name: str) -> str:

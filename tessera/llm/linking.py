@@ -45,13 +45,14 @@ def components(edges: DataFrame) -> DataFrame:
     e = stored(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
     labels = stored(e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("comp")), "labels")
     while True:
-        near = e.join(labels, e["v"] == labels["node"]).select(F.col("u").alias("node"), "comp")
-        met = labels.unionByName(near).groupBy("node").agg(F.min("comp").alias("comp"))
+        near = e.join(labels, e["v"] == labels["node"]).select(F.col("u").alias("node"), "comp", F.lit(None).cast("long").alias("old"))
+        met = labels.withColumn("old", F.col("comp")).unionByName(near).groupBy("node").agg(F.min("comp").alias("comp"), F.max("old").alias("old"))
         up = labels.select(F.col("node").alias("parent"), F.col("comp").alias("above"))
-        new = stored(met.join(up, F.col("comp") == F.col("parent"), "left").select("node", F.least("comp", F.coalesce("above", "comp")).alias("comp")), "labels")
-        changed = new.join(labels.withColumnRenamed("comp", "old"), "node").where("comp <> old").limit(1).count()
+        new = stored(met.join(up, F.col("comp") == F.col("parent"), "left").select("node", F.least("comp", F.coalesce("above", "comp")).alias("comp"), "old"), "labels")
+        changed = new.where("comp <> old").limit(1).count()
         discard(labels)
-        labels = new
+        labels = new.select("node", "comp")
+        labels.stored_at = new.stored_at
         if not changed:
             discard(e)
             return labels

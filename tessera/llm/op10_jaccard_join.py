@@ -120,8 +120,11 @@ def frequent_hashes(df: DataFrame, text_col: str, shingle: int, lower: bool) ->
         held, size = [], 0
 
         def counted():
-            u, c = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(u[c >= FREQUENT].view(np.int64))], ["node"])
+            x = np.concatenate(held)
+            held.clear()
+            x.sort()
+            often = np.unique(x[FREQUENT - 1 :][x[FREQUENT - 1 :] == x[: 1 - FREQUENT]])
+            return pa.RecordBatch.from_arrays([pa.array(often.view(np.int64))], ["node"])
 
         for b in batches:
             for at in range(0, b.num_rows, 512):
@@ -131,7 +134,7 @@ def frequent_hashes(df: DataFrame, text_col: str, shingle: int, lower: bool) ->
                     size += len(v)
                 if size >= RUN_HASHES:
                     yield counted()
-                    held, size = [], 0
+                    size = 0
         if held:
             yield counted()
 
@@ -260,7 +263,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle:
     discard(groups, bitmaps, edges)
 
     classed = rows.select("id", "n", "node").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = classed.where("node is not null").groupBy("comp").agg(F.min("id").alias("least"))
+    least = stored(classed.where("node is not null").groupBy("comp").agg(F.min("id").alias("least")), "least")  # written, so that Spark can split a large class
     out = classed.join(least, "comp", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
