@@ -27,18 +27,40 @@ def uniform(key: Column, seed: int = 42) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), key)), 1, 8), 16, 10).cast("long")
 
 
+def ranked(df: DataFrame, bucket: Column, order: list, name: str) -> DataFrame:
+    """df with the place, from 0, of each row in order of (bucket, order): ranks within buckets plus a running sum over the buckets'
+    counts, so no task orders more than a bucket or more than the list of buckets."""
+    within = df.withColumn("bucket_", bucket).withColumn("own_", F.row_number().over(Window.partitionBy("bucket_").orderBy(*order)) - 1)
+    counts = within.groupBy("bucket_").agg(F.count("*").alias("k_"))
+    before = counts.select("bucket_", (F.sum("k_").over(Window.orderBy("bucket_")) - F.col("k_")).alias("before_"))
+    return within.join(before, "bucket_").withColumn(name, (F.col("before_") + F.col("own_")).cast("long")).drop("bucket_", "own_", "before_")
+
+
 def random_placement(neurons: DataFrame, hw: HardwareConfig, seed: int = 42) -> DataFrame:
-    """Slots in hashed order, neurons in order of id, joined by rank.  Both windows are over slots, which hardware bounds."""
-    spark = neurons.sparkSession
-    slots = spark.range(hw.slots).select(F.col("id").alias("slot"), F.row_number().over(Window.orderBy(uniform(F.col("id").cast("string"), seed), "id")).alias("r"))
-    ranked = neurons.select("id", F.row_number().over(Window.orderBy("id")).alias("r"))
-    return ranked.join(slots, "r").select(F.col("id").alias("neuron"), F.expr(f"slot DIV {hw.n}").alias("core"), F.expr(f"slot % {hw.n}").alias("local"))
+    """Slots in hashed order, neurons in order of id, joined by rank; both ranks go by buckets."""
+    h = uniform(F.col("id").cast("string"), seed)
+    slots = ranked(neurons.sparkSession.range(hw.slots).withColumn("h", h), F.shiftright("h", 20), ["h", "id"], "r").select(F.col("id").alias("slot"), "r")
+    order = ranked(neurons.select("id"), F.shiftright("id", 16), ["id"], "r")
+    return order.join(slots, "r").select(F.col("id").alias("neuron"), F.expr(f"slot DIV {hw.n}").alias("core"), F.expr(f"slot % {hw.n}").alias("local"))
+
+
+def random_slices(neurons: DataFrame, hw: HardwareConfig, seed: int = 42) -> DataFrame:
+    """neuron, distance, slice: any slice of each distance from 1, by a hash of neuron and distance."""
+    if not hw.l:
+        return neurons.select(F.col("id").alias("neuron"), F.lit(0).alias("distance"), F.lit(0).cast("long").alias("slice")).limit(0)
+    grid = neurons.select(F.col("id").alias("neuron"), F.explode(F.sequence(F.lit(1), F.lit(hw.l))).alias("distance"))
+    return grid.withColumn("slice", uniform(F.concat_ws(":", "neuron", "distance"), seed) % hw.slices("distance"))
+
+
+def dense_labels(labels: DataFrame, column: str, name: str = "cluster") -> DataFrame:
+    """labels with 0, 1, ... for the column's values in their order: the distinct values are ranked, and joined."""
+    values = labels.select(column).distinct()
+    ids = values.select(column, (F.row_number().over(Window.orderBy(column)) - 1).cast("long").alias(name))
+    return labels.join(ids, column)
 
 
 def fill(labels: DataFrame, hw: HardwareConfig) -> DataFrame:
-    """Neurons by (cluster, id) fill cores of n one after the other; per-cluster counts and their running sum replace a global order."""
-    sizes = labels.groupBy("cluster").agg(F.count("*").alias("k"))
-    before = sizes.select("cluster", (F.sum("k").over(Window.orderBy("cluster")) - F.col("k")).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("cluster").orderBy("neuron")) - 1
-    at = labels.withColumn("own", rank).join(before, "cluster").withColumn("at", F.col("before") + F.col("own"))
+    """Neurons by (cluster, id) fill cores of n one after the other; ranks go by ranges of ids within clusters, so a large cluster is not
+    ordered in one task."""
+    at = ranked(labels, F.struct("cluster", F.shiftright("neuron", 16).alias("range")), ["neuron"], "at")
     return at.select("neuron", F.expr(f"CAST(at DIV {hw.n} AS BIGINT)").alias("core"), F.expr(f"CAST(at % {hw.n} AS BIGINT)").alias("local"))

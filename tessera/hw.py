@@ -1,6 +1,6 @@
 """Router-tree hardware: sizes on the driver, everything per row as SQL expressions that stay in generated code.
 
-The expressions use ``DIV`` for integer division; ``in_duckdb`` rewrites it for the oracle.
+The expressions use ``DIV`` for integer division.
 """
 
 from __future__ import annotations
@@ -69,11 +69,40 @@ class HardwareConfig:
         return F.expr(self.distance_sql(a, b))
 
     def slice_of(self, d: str, x: str) -> Column:
+        """The slice of an address on the core; addresses are not looked at, see ``slice_index``."""
         return F.expr(self.slice_sql(d, x)).cast("long")
 
+    def slice_index(self, d: str, x: str) -> Column:
+        """The slice that holds an address, -1 for one that the core does not have."""
+        return F.when(F.expr(f"({x}) >= 0 AND ({x}) < {self.n}"), self.slice_of(d, x)).otherwise(F.lit(-1)).cast("long")
 
-def in_duckdb(sql: str) -> str:
-    return sql.replace(" DIV ", " // ")
+    def slices(self, d: str) -> Column:
+        return F.expr(self.slices_sql(d)).cast("long")
+
+    def low(self, d: str, k: str) -> Column:
+        return F.expr(self.low_sql(d, k)).cast("long")
+
+    def high(self, d: str, k: str) -> Column:
+        return F.expr(self.high_sql(d, k)).cast("long")
+
+    def valid_connection(self, d: str, x: str, k: str) -> Column:
+        """Whether address x on a core at distance d is in slice k there; at distance 0 the slice is the core."""
+        return F.expr(f"({x}) >= {self.low_sql(d, k)} AND ({x}) < {self.high_sql(d, k)}")
+
+    def halving_slice(self, d: str, x: str) -> Column:
+        """A slice by halves at every level, whatever f is; for older results, not for scores."""
+        return F.expr(f"CAST(({x}) * CAST(pow(2, {d}) AS BIGINT) DIV {self.n} AS BIGINT)")
+
+    def slot(self, core: str, local: str) -> Column:
+        """The address over all cores; an error for a core or address that is not there."""
+        inside = F.expr(f"({core}) >= 0 AND ({core}) < {self.cores} AND ({local}) >= 0 AND ({local}) < {self.n}")
+        return F.when(inside, F.expr(f"CAST(({core}) * {self.n} + ({local}) AS BIGINT)")).otherwise(F.raise_error(F.lit("no such core or address")))
+
+    def core_and_local(self, slot: str) -> Column:
+        """A struct of core and local; an error for a slot that is not there."""
+        inside = F.expr(f"({slot}) >= 0 AND ({slot}) < {self.slots}")
+        both = F.struct(F.expr(f"CAST(({slot}) DIV {self.n} AS BIGINT)").alias("core"), F.expr(f"CAST(({slot}) % {self.n} AS BIGINT)").alias("local"))
+        return F.when(inside, both).otherwise(F.raise_error(F.lit("no such slot")))
 
 
 def log_star(n: int) -> float:

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The least gap of log eigenvalues that parts two levels, and where the inversion starts.
@@ -16,8 +16,8 @@ LEAST_GAP, START = 0.35, (45.0, 2.0, 0.35)
 def moments(n0: float, b: float, p0: float, h: int) -> np.ndarray:
     """Mean and variance of the total degree, mean triangles of a node in the undirected skeleton.
 
-    Around a node stand n0 - 1 others at level 0 and (b - 1) * b ** (k - 1) * n0 at level k.  Degrees are exact.  Triangles follow
-    the customary form: pairs at different levels meet at the higher one and count twice from level 1 on, pairs at one level
+    Around a node stand n0 - 1 others at level 0 and (b - 1) * b ** (k - 1) * n0 at level k.  Degrees are exact.  Triangles are
+    counted as the results that these are compared with count them, so that estimates agree with those: pairs at different levels meet at the higher one and count twice from level 1 on, pairs at one level
     count where they meet at that level, pairs in one branch not at all.
     """
     k = np.arange(1, h + 1)
@@ -128,3 +128,30 @@ def estimated(edges: DataFrame, sizes: DataFrame, depth: int = 2, base: float =
         return pd.DataFrame([{"graph_id": pdf["graph_id"].iloc[0], "method": k, **v} for k, v in found.items()])
 
     return rows.groupBy("graph_id").applyInPandas(run, "graph_id string, method string, n0 double, b double, h int, p0 double, blocks long")
+
+
+# --- over tables -----------------------------------------------------------------------------------------------
+
+
+def threshold(n: Column, m: Column) -> Column:
+    """What an eigenvalue must pass to speak of a block: twice the root of d (1 - d / n), with d the mean degree."""
+    d = m.cast("double") / n
+    return 2 * F.sqrt(d * (1 - d / n))
+
+
+def log_gaps(values: DataFrame, value: str = "v", key: str = "k") -> DataFrame:
+    """k, gap: how far the logarithm of each value lies below that of the next larger one; null for the largest.  Values are a spectrum,
+    so one task orders them."""
+    gap = F.log(F.lag(value).over(Window.orderBy(F.desc(value)))) - F.log(F.col(value))
+    return values.select(key, F.round(gap, 9).alias("gap"))
+
+
+def branching_gap(blocks: Column, h: Column) -> Column:
+    """How far the h-th root of a number of blocks is from a whole branching, times a hundred."""
+    b = F.pow(blocks, 1.0 / h)
+    return 100 * F.abs(b - F.round(b))
+
+
+def levels_of(blocks: Column, base: float) -> Column:
+    """Levels of so many blocks with a known branching, 1 at least."""
+    return F.greatest(F.lit(1), F.round(F.log(blocks.cast("double")) / F.log(F.lit(base)))).cast("long")

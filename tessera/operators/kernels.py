@@ -4,16 +4,22 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.hw import HardwareConfig
 
 
+def grouped(n: int, by: np.ndarray, values: np.ndarray) -> list[np.ndarray]:
+    """The values of each key 0 to n - 1, from one sort."""
+    if not n:
+        return []
+    order = np.argsort(by, kind="stable")
+    return np.split(values[order], np.searchsorted(by[order], np.arange(1, n)))
+
+
 def _adjacent(n: int, src: np.ndarray, tgt: np.ndarray) -> list[np.ndarray]:
-    a, b = np.concatenate([src, tgt]), np.concatenate([tgt, src])
-    order = np.argsort(a, kind="stable")
-    return np.split(b[order], np.searchsorted(a[order], np.arange(1, n)))
+    return grouped(n, np.concatenate([src, tgt]), np.concatenate([tgt, src]))
 
 
 def greedy_cores(n: int, src: np.ndarray, tgt: np.ndarray, hw: HardwareConfig) -> np.ndarray:
@@ -65,7 +71,7 @@ class SliceCounts:
 
     def __init__(self, n: int, src: np.ndarray, tgt: np.ndarray, core: np.ndarray, local: np.ndarray, hw: HardwareConfig):
         self.hw, self.core, self.local = hw, core.copy(), local.copy()
-        self.out, self.into = [tgt[src == i] for i in range(n)], [src[tgt == i] for i in range(n)]
+        self.out, self.into = grouped(n, src, tgt), grouped(n, tgt, src)
         self.counts = np.zeros((n, hw.l + 1, max(hw.slices_at(d) for d in range(hw.l + 1))), dtype=np.int64)
         d = sum((self.core[src] // hw.r**k != self.core[tgt] // hw.r**k).astype(np.int64) for k in range(hw.l)) + np.zeros(len(src), dtype=np.int64)
         widths = np.array([hw.slices_at(k) for k in range(hw.l + 1)])
@@ -140,51 +146,129 @@ def annealed(n: int, src, tgt, hw: HardwareConfig, seed: int, start: float = 50.
     return best
 
 
-def balanced_parts(n: int, src: np.ndarray, tgt: np.ndarray, parts: int, size: int, sweeps: int = 4) -> np.ndarray:
-    """Parts of at most ``size`` neurons grown one after the other along edges, then improved by swaps that lower the cut."""
+def balanced_parts(n: int, src: np.ndarray, tgt: np.ndarray, parts: int, size: int, sweeps: int = 4, weight: np.ndarray | None = None) -> np.ndarray:
+    """Parts of at most ``size`` neurons grown one after the other along edges, then improved by swaps that lower the cut.  The next
+    neuron of a part is that with most weight into it, then the lowest id; a heap finds it."""
+    import heapq
+
+    weight = np.ones(len(src)) if weight is None else weight
     near = _adjacent(n, src, tgt)
-    part, pull = np.full(n, -1), np.zeros(n)
+    worth = grouped(n, np.concatenate([src, tgt]), np.concatenate([weight, weight]))
+    part, pull, left, lowest = np.full(n, -1), np.zeros(n), n, 0
     for p in range(parts):
-        left = np.flatnonzero(part < 0)
-        take = min(size, -(-len(left) // (parts - p)))
+        heap: list[tuple[float, int]] = []
         pull[:] = 0
-        for _ in range(take):
-            open_ = np.flatnonzero(part < 0)
-            i = int(open_[np.argmax(pull[open_])])
-            part[i] = p
-            np.add.at(pull, near[i], 1)
+        for _ in range(min(size, -(-left // (parts - p)))):
+            while heap and (part[heap[0][1]] >= 0 or -heap[0][0] != pull[heap[0][1]]):
+                heapq.heappop(heap)
+            if heap:
+                i = heapq.heappop(heap)[1]
+            else:
+                while part[lowest] >= 0:
+                    lowest += 1
+                i = lowest
+            part[i], left = p, left - 1
+            for j, w in zip(near[i].tolist(), worth[i].tolist()):
+                if part[j] < 0:
+                    pull[j] += w
+                    heapq.heappush(heap, (-pull[j], j))
+    members = [set(np.flatnonzero(part == p).tolist()) for p in range(parts)]
     for _ in range(sweeps):
         better = False
         for i in range(n):
             if not len(near[i]):
                 continue
-            own = np.bincount(part[near[i]], minlength=parts)
-            p = int(own.argmax())
-            if own[p] <= own[part[i]]:
+            own = np.bincount(part[near[i]], worth[i], minlength=parts)
+            p, at = int(own.argmax()), int(part[i])
+            if own[p] <= own[at]:
                 continue
-            for j in np.flatnonzero(part == p).tolist():
-                other = np.bincount(part[near[j]], minlength=parts)
-                gain = own[p] - own[part[i]] + other[part[i]] - other[p] - 2 * np.count_nonzero(near[i] == j)
-                if gain > 0:
-                    part[i], part[j], better = p, part[i], True
+            for j in sorted(members[p]):
+                other = np.bincount(part[near[j]], worth[j], minlength=parts)
+                if own[p] - own[at] + other[at] - other[p] - 2 * worth[i][near[i] == j].sum() > 1e-12:
+                    part[i], part[j], better = p, at, True
+                    members[p] ^= {i, j}
+                    members[at] ^= {i, j}
                     break
         if not better:
             break
     return part
 
 
+def hyperedge_pairs(n: int, src: np.ndarray, tgt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links between the pins of each net (a neuron and its sources), each net of k pins worth 1 / (k - 1) a pair with its own neuron
+    and its neighbours in order of id, so a net of k pins makes 2k links and not its square."""
+    a, b, w = [], [], []
+    for t, sources in enumerate(grouped(n, tgt, src)):
+        pins = np.unique(np.append(sources, t))
+        if len(pins) > 1:
+            ring = np.roll(pins, -1)
+            a += [np.full(len(pins) - 1, t), pins]
+            b += [pins[pins != t], ring]
+            w += [np.full(2 * len(pins) - 1, 1 / (len(pins) - 1))]
+    if not a:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0)
+    return np.concatenate(a), np.concatenate(b), np.concatenate(w)
+
+
+def recursive_cores(n: int, src: np.ndarray, tgt: np.ndarray, hw: HardwareConfig, nets: str = "edges", strict: bool = False) -> np.ndarray:
+    """Cores by splitting all neurons into r parts, each part again, level by level until there are as many leaves as cores.
+
+    Parts of one split differ by one neuron at most.  A part without links is dealt out in turn; single neurons stay.  Leaves are
+    numbered depth first.  nets: ``edges`` (undirected, counted once) or ``hyperedges`` (a neuron and its sources).  strict: an
+    error where a split leaves a part empty.
+    """
+    if not n:
+        return np.empty(0, dtype=np.int64)
+    low, high = np.minimum(src, tgt), np.maximum(src, tgt)
+    keep = np.unique(low[low != high] * n + high[low != high])
+    pairs = (keep // n, keep % n) if nets == "edges" else (src, tgt)
+    leaves: list[tuple[tuple[int, ...], np.ndarray]] = [((), np.arange(n))]
+    queue = [leaves[0]]
+    while queue and len(leaves) < hw.cores:
+        path, own = queue.pop(0)
+        if len(own) <= 1 or hw.r < 2:
+            continue
+        place = np.full(n, -1)
+        place[own] = np.arange(len(own))
+        inside = (place[pairs[0]] >= 0) & (place[pairs[1]] >= 0)
+        a, b = place[pairs[0][inside]], place[pairs[1][inside]]
+        weight = None
+        if nets != "edges":
+            a, b, weight = hyperedge_pairs(len(own), a, b)
+        part = balanced_parts(len(own), a, b, hw.r, -(-len(own) // hw.r), weight=weight) if len(a) else np.arange(len(own)) % hw.r
+        made = [((*path, p), own[part == p]) for p in range(hw.r)]
+        if strict and any(not len(m) for _, m in made):
+            raise ValueError("a part of the split is empty")
+        leaves = [x for x in leaves if x[0] != path] + made
+        queue += made
+    core = np.zeros(n, dtype=np.int64)
+    for k, (_, own) in enumerate(sorted(leaves, key=lambda x: x[0])):
+        core[own] = k
+    if len(leaves) > hw.cores or np.bincount(core).max() > hw.n:
+        return fitted_cores(core, hw)
+    return core
+
+
+def fitted_cores(core: np.ndarray, hw: HardwareConfig) -> np.ndarray:
+    """Neurons in order of (core, id) on cores of n one after the other."""
+    if len(core) > hw.slots:
+        raise ValueError("Hardware overflow")
+    out = np.empty(len(core), dtype=np.int64)
+    out[np.lexsort((np.arange(len(core)), core))] = np.arange(len(core)) // hw.n
+    return out
+
+
 def pca_addresses(n: int, src: np.ndarray, tgt: np.ndarray, core: np.ndarray) -> np.ndarray:
     """Within each core, ranks of the first principal component of in-neighbour rows; its largest loading is positive, ties go by id."""
-    local = np.zeros(n, dtype=np.int64)
-    for c in np.unique(core):
-        own = np.flatnonzero(core == c)
-        rows = np.zeros((len(own), n))
-        place = {int(i): k for k, i in enumerate(own)}
-        for s, t in zip(src, tgt):
-            if int(t) in place:
-                rows[place[int(t)], s] = 1
-        rows -= rows.mean(axis=0)
-        if len(own) < 2 or not np.abs(rows).max() > 1e-12:
+    local, into = np.zeros(n, dtype=np.int64), grouped(n, tgt, src)
+    for own in grouped(int(core.max()) + 1 if n else 0, core, np.arange(n)):
+        if len(own) < 2:
+            continue
+        sources, at = np.unique(np.concatenate([into[i] for i in own]), return_inverse=True)  # columns without a link add nothing
+        rows = np.zeros((len(own), len(sources)))
+        rows[np.repeat(np.arange(len(own)), [len(into[i]) for i in own]), at] = 1
+        rows -= rows.mean(axis=0) if len(sources) else 0
+        if not len(sources) or not np.abs(rows).max() > 1e-12:
             local[own] = np.arange(len(own))
             continue
         axis = np.linalg.svd(rows, full_matrices=False)[2][0]
@@ -224,7 +308,18 @@ def assignment(cost: np.ndarray) -> np.ndarray:
     return out
 
 
-METHODS = ("greedy", "anneal", "three_step")
+METHODS = ("greedy", "anneal", "three_step", "three_step_recursive", "three_step_hyperedges")
+
+
+def as_rows(edges: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Networks as one frame, a row for the size and one for each edge: what a task of one network gets."""
+    none = F.lit(None).cast("long")
+    return sizes.select("graph_id", F.col("n").cast("long"), none.alias("src"), none.alias("tgt")).unionByName(edges.select("graph_id", none.alias("n"), "src", "tgt"))
+
+
+def unpacked(pdf: pd.DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    e = pdf[pdf["src"].notna()].sort_values(["src", "tgt"])
+    return int(pdf["n"].max()), e["src"].to_numpy(dtype=np.int64), e["tgt"].to_numpy(dtype=np.int64)
 
 
 def mapped(edges: DataFrame, sizes: DataFrame, hw: HardwareConfig, method: str, seed: int = 42) -> DataFrame:
@@ -234,12 +329,9 @@ def mapped(edges: DataFrame, sizes: DataFrame, hw: HardwareConfig, method: str,
     """
     if method not in METHODS:
         raise ValueError(f"no method {method}")
-    rows = sizes.select("graph_id", "n", F.lit(None).cast("long").alias("src"), F.lit(None).cast("long").alias("tgt")).unionByName(edges.select("graph_id", F.lit(None).cast("long").alias("n"), "src", "tgt"))
 
     def run(pdf):
-        n = int(pdf["n"].max())
-        e = pdf[pdf["src"].notna()].sort_values(["src", "tgt"])
-        src, tgt = e["src"].to_numpy(dtype=np.int64), e["tgt"].to_numpy(dtype=np.int64)
+        n, src, tgt = unpacked(pdf)
         if n > hw.slots:
             raise ValueError("Hardware overflow")
         if method == "greedy":
@@ -248,11 +340,14 @@ def mapped(edges: DataFrame, sizes: DataFrame, hw: HardwareConfig, method: str,
         elif method == "anneal":
             core, local, _ = annealed(n, src, tgt, hw, seed)
         else:
-            core = balanced_parts(n, src, tgt, hw.cores, hw.n)
+            if method == "three_step":
+                core = balanced_parts(n, src, tgt, hw.cores, hw.n)
+            else:
+                core = recursive_cores(n, src, tgt, hw, "hyperedges" if method.endswith("hyperedges") else "edges")
             local = pca_addresses(n, src, tgt, core)
         return pd.DataFrame({"graph_id": pdf["graph_id"].iloc[0], "neuron": np.arange(n), "core": core.astype(np.int64), "local": local})
 
-    return rows.groupBy("graph_id").applyInPandas(run, "graph_id string, neuron long, core long, local long")
+    return as_rows(edges, sizes).groupBy("graph_id").applyInPandas(run, "graph_id string, neuron long, core long, local long")
 
 
 def accuracy(pairs: DataFrame) -> DataFrame:
@@ -266,9 +361,3 @@ def accuracy(pairs: DataFrame) -> DataFrame:
         return pd.DataFrame({"accuracy": [t[np.arange(len(t)), assignment(-t)].sum() / pdf["k"].sum()]})
 
     return cells.groupBy("g").applyInPandas(run, "accuracy double")
-
-
-def dense_labels(labels: DataFrame) -> DataFrame:
-    """Labels as 0, 1, ... in their order."""
-    ids = labels.select("cluster").distinct().select("cluster", (F.dense_rank().over(Window.orderBy("cluster")) - 1).cast("long").alias("dense"))
-    return labels.join(ids, "cluster").select("neuron", F.col("dense").alias("cluster"))

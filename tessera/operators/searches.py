@@ -1,7 +1,7 @@
 """Searches beyond those of ``kernels``: exact for tiny networks, chains over slices, chains that also change the hardware.
 
-Chains are sequential; chains, networks and start states run side by side, one task each (``searched``).  Time limits are
-deadlines that the loop itself looks at.
+Chains are sequential; chains, networks and start states run side by side, one task each (``searched``).  All stop by steps, so
+a result depends on its seed and never on the machine; a time limit is an extra that is off unless asked for.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.hw import HardwareConfig
-from tessera.operators.kernels import SliceCounts, addresses, annealed, balanced_parts, greedy_cores, pca_addresses
-from tessera.operators.spectral import quadratic_assignment
+from tessera.operators.kernels import SliceCounts, addresses, annealed, as_rows, balanced_parts, fitted_cores, greedy_cores, grouped, pca_addresses, unpacked
+from tessera.operators.spectral import nested_blocks, parents, quadratic_assignment, spectral_hierarchy, undirected
 
 # Weights, schedules and move shares that results are compared at.
 MISS_WEIGHT, CORE_AREA, ROUTER_AREA = 1.0, 0.01, 0.05
@@ -58,13 +58,13 @@ def mapping_cost(n: int, hw: HardwareConfig, cores: int) -> float:
 # --- exact -----------------------------------------------------------------------------------------------------
 
 
-def exact(n: int, src: np.ndarray, tgt: np.ndarray, hw: HardwareConfig, time_limit: float = 10.0):
+def exact(n: int, src: np.ndarray, tgt: np.ndarray, hw: HardwareConfig, most_steps: int = 2_000_000, time_limit: float = math.inf):
     """(core, local, missed, proved): branch and bound over slots.
 
     What placed sources miss at the best slices never falls as more are placed, which is the bound.  Of sibling routers or cores
-    that are empty only the first is tried.  ``proved`` is false if the deadline came first; the placement is then the best seen.
+    that are empty only the first is tried.  ``proved`` is false if most_steps placements came first; the placement is then the best seen.
     """
-    into, out = [src[tgt == i] for i in range(n)], [tgt[src == i] for i in range(n)]
+    into, out = grouped(n, tgt, src), grouped(n, src, tgt)
     order = sorted(range(n), key=lambda i: -(len(into[i]) + len(out[i])))
     core = greedy_cores(n, src, tgt, hw)
     local = addresses(core)
@@ -72,7 +72,7 @@ def exact(n: int, src: np.ndarray, tgt: np.ndarray, hw: HardwareConfig, time_lim
     at_core, at_local = np.full(n, -1), np.full(n, -1)
     taken, inside = set(), [np.zeros(hw.r ** (hw.l - k), dtype=int) for k in range(hw.l + 1)]
     counts: dict[tuple[int, int], dict[int, int]] = {}
-    until, stopped = time.monotonic() + time_limit, False
+    until, stopped, steps = time.monotonic() + time_limit, False, 0
 
     def distance(a, b):
         d = 0
@@ -108,7 +108,7 @@ def exact(n: int, src: np.ndarray, tgt: np.ndarray, hw: HardwareConfig, time_lim
         return True
 
     def place(depth, missed):
-        nonlocal stopped
+        nonlocal stopped, steps
         if stopped or missed >= best[2]:
             return
         if depth == n:
@@ -121,7 +121,8 @@ def exact(n: int, src: np.ndarray, tgt: np.ndarray, hw: HardwareConfig, time_lim
             for x in range(hw.n):
                 if (c, x) in taken:
                     continue
-                if time.monotonic() > until:
+                steps += 1
+                if steps > most_steps or time.monotonic() > until:
                     stopped = True
                     return
                 at_core[i], at_local[i] = c, x
@@ -182,8 +183,8 @@ def _swap(state, i: int, j: int) -> None:
     state.place([(i, *b), (j, *a)])
 
 
-def slice_chain(n, src, tgt, hw: HardwareConfig, seed: int, sweeps: int = SWEEPS, time_limit: float = 10.0):
-    """(core, local, missed, slices) of the likeliest state: sweeps of n attempts, half of them swaps, half new slices."""
+def slice_chain(n, src, tgt, hw: HardwareConfig, seed: int, sweeps: int = SWEEPS, time_limit: float = math.inf):
+    """(core, local, missed, slices, cost) of the likeliest state: sweeps of n attempts, half of them swaps, half new slices."""
     rng, m = np.random.default_rng(seed), len(src)
     slots = rng.permutation(hw.slots)[:n]
     chosen = np.stack([rng.integers(hw.slices_at(d), size=n) for d in range(hw.l + 1)], axis=1)
@@ -211,7 +212,7 @@ def slice_chain(n, src, tgt, hw: HardwareConfig, seed: int, sweeps: int = SWEEPS
             now = new
             if now < best[0]:
                 best = (now, state.core.copy(), state.local.copy(), state.energy, state.chosen.copy())
-    return best[1:]
+    return *best[1:], best[0]
 
 
 # --- chains that change the hardware ---------------------------------------------------------------------------
@@ -276,8 +277,8 @@ def _free_slot(state, shape: Shape, rng, tries: int = 100):
     return None
 
 
-def hardware_chain(n, src, tgt, seed: int, joint: bool = False, start_cores: np.ndarray | None = None, f: int = 2, time_limit: float = 10.0):
-    """(core, local, missed, hardware) of the cheapest state of a chain that also changes cores, their size and, if joint, routers.
+def hardware_chain(n, src, tgt, seed: int, joint: bool = False, start_cores: np.ndarray | None = None, f: int = 2, time_limit: float = math.inf):
+    """(core, local, missed, hardware, slices, cost, cost at the start) of the cheapest state of a chain that also changes cores, their size and, if joint, routers.
 
     Not joint: missed links at the best slices plus areas of cores and routers, cooled from 50 to 0.01.  Joint: likelihood at
     chosen slices, their description and the hardware's cost, in sweeps with rising weight.  Cores given at the start count
@@ -312,8 +313,9 @@ def hardware_chain(n, src, tgt, seed: int, joint: bool = False, start_cores: np.
         heat = [50 * 0.98**k for k in range(422)]
         steps = 10
     state = kind(n, src, tgt, core, local, shape.hw())
-    now = cost(state, shape)
-    best, until = (now, state.core.copy(), state.local.copy(), state.energy, state.hw), time.monotonic() + time_limit
+    now = first_cost = cost(state, shape)
+    held_slices = lambda: state.chosen.copy() if joint else state.counts.argmax(axis=2)
+    best, until = (now, state.core.copy(), state.local.copy(), state.energy, state.hw, held_slices()), time.monotonic() + time_limit
     for t in heat:
         if time.monotonic() > until:
             break
@@ -368,34 +370,84 @@ def hardware_chain(n, src, tgt, seed: int, joint: bool = False, start_cores: np.
                 continue
             now = after
             if now < best[0]:
-                best = (now, state.core.copy(), state.local.copy(), state.energy, state.hw)
-    return best[1:]
+                best = (now, state.core.copy(), state.local.copy(), state.energy, state.hw, held_slices())
+    return *best[1:], best[0], first_cost
 
 
-SEARCHES = ("exact", "assigned", "assigned_parts", "slice_chain", "hardware_chain", "joint_chain", "parts_then_anneal", "parts_then_hardware")
+# --- hardware from clusters ------------------------------------------------------------------------------------
 
 
-def searched(edges: DataFrame, sizes: DataFrame, method: str, hw: HardwareConfig | None = None, seed: int = 42, time_limit: float = 10.0) -> DataFrame:
-    """graph_id, neuron, core, local and the hardware r, n, l, f of each network: edges(graph_id, src, tgt), sizes(graph_id, n).
+def flat_hardware(levels: list[np.ndarray], f: int = 2) -> tuple[np.ndarray, HardwareConfig]:
+    """Cores are the finest clusters as they are; the core size is the largest, children the mean of all routers rounded up."""
+    up, finest = np.array(parents(levels)), levels[0]
+    clusters = int(finest.max()) + 1
+    inner = np.bincount(up[up >= 0]) if (up >= 0).any() else np.zeros(0, dtype=int)
+    inner = inner[inner > 0]
+    r = 1 if clusters == 1 or not len(inner) else max(2, math.ceil(inner.sum() / len(inner)))
+    size = int(np.bincount(finest).max())
+    return finest.copy(), HardwareConfig(r, size, levels_for(clusters, r) if clusters > 1 else 0, min(f, size))
 
-    Hardware is given, or found by the methods that search it too.  One network is one task.
+
+def padded_hardware(levels: list[np.ndarray], f: int = 2) -> tuple[np.ndarray, HardwareConfig]:
+    """Cores by the path of child ranks from the root; children and core size are the largest of all, so empty cores pad the rest."""
+    up, finest = parents(levels), levels[0]
+    kids: dict[int, list[int]] = {}
+    for c, p in enumerate(up):
+        kids.setdefault(p, []).append(c)
+    r = max([len(k) for p, k in kids.items() if p >= 0], default=1)
+    at, depth, row = {kids[-1][0]: 0}, {kids[-1][0]: 0}, [kids[-1][0]]
+    for c in row:
+        for k, child in enumerate(kids.get(c, ())):
+            at[child], depth[child] = at[c] * r + k, depth[c] + 1
+            row.append(child)
+    size = int(np.bincount(finest).max())
+    return np.array([at[int(c)] for c in finest], dtype=np.int64), HardwareConfig(r, size, depth[0], min(f, size))
+
+
+CLUSTERERS = {"blocks": lambda n, src, tgt, seed: nested_blocks(n, src, tgt), "spectral": lambda n, src, tgt, seed: spectral_hierarchy(undirected(n, src, tgt), seed)}
+ADAPTERS = {"flat": flat_hardware, "padded": padded_hardware}
+
+
+def from_clusters(n: int, src: np.ndarray, tgt: np.ndarray, clusterer: str, adapter: str, seed: int = 42, f: int = 2):
+    """(core, local, hardware): clusters, hardware that holds them, addresses by principal components."""
+    core, hw = ADAPTERS[adapter](CLUSTERERS[clusterer](n, src, tgt, seed), f)
+    return core, pca_addresses(n, src, tgt, core), hw
+
+
+def clusters_on(n: int, src: np.ndarray, tgt: np.ndarray, hw: HardwareConfig, clusterer: str, seed: int = 42):
+    """(core, local) on given hardware: clusters in order fill cores one after the other."""
+    core = fitted_cores(CLUSTERERS[clusterer](n, src, tgt, seed)[0], hw)
+    return core, pca_addresses(n, src, tgt, core)
+
+
+#: Three steps by name: cores, addresses by principal components, best slices.  Of hardware that is inferred: clusterer and adapter.
+PRESETS = {"blocks_flat": ("blocks", "flat"), "blocks_padded": ("blocks", "padded"), "spectral_flat": ("spectral", "flat"), "spectral_padded": ("spectral", "padded")}
+
+
+FREE = ("hardware_chain", "joint_chain", "parts_then_hardware", "clusters_then_hardware", *PRESETS, "drawn_on_given")
+SEARCHES = ("exact", "assigned", "assigned_parts", "slice_chain", "parts_then_anneal", "clusters_then_anneal", "blocks_on_given", "spectral_on_given", *FREE)
+FOUND = "graph_id string, neuron long, core long, local long, slices array<long>, missed long, proved boolean, cost double, start_cost double, r int, n int, l int, f int"
+
+
+def searched(edges: DataFrame, sizes: DataFrame, method: str, hw: HardwareConfig | None = None, seed: int = 42, most_steps: int = 2_000_000, time_limit: float = math.inf) -> DataFrame:
+    """graph_id, neuron, core, local, the slices by distance, and for each network again the links missed at those slices, whether that
+    was proved least, the search's cost at its end and start (null where it has none), and the hardware r, n, l, f.
+
+    edges(graph_id, src, tgt), sizes(graph_id, n).  Hardware is given, or found by the methods in FREE (``drawn_on_given`` takes the
+    given hardware as what is inferred, with a random placement).  One network is one task.
     """
     if method not in SEARCHES:
         raise ValueError(f"no method {method}")
-    free = method in ("hardware_chain", "joint_chain", "parts_then_hardware")
-    if hw is None and not free:
+    if hw is None and (method not in FREE or method == "drawn_on_given"):
         raise ValueError(f"{method} needs hardware")
-    none = F.lit(None).cast("long")
-    rows = sizes.select("graph_id", "n", none.alias("src"), none.alias("tgt")).unionByName(edges.select("graph_id", none.alias("n"), "src", "tgt"))
 
     def run(pdf):
-        n, own = int(pdf["n"].max()), hw
-        e = pdf[pdf["src"].notna()].sort_values(["src", "tgt"])
-        src, tgt = e["src"].to_numpy(dtype=np.int64), e["tgt"].to_numpy(dtype=np.int64)
-        if not free and n > hw.slots:
+        n, src, tgt = unpacked(pdf)
+        own, chosen, proved, cost, start_cost = hw, None, False, None, None
+        if method not in FREE and n > hw.slots:
             raise ValueError("Hardware overflow")
         if method == "exact":
-            core, local = exact(n, src, tgt, hw, time_limit)[:2]
+            core, local, _, proved = exact(n, src, tgt, hw, most_steps, time_limit)
         elif method == "assigned":
             slots = assigned_slots(n, src, tgt, hw)
             core, local = slots // hw.n, slots % hw.n
@@ -403,16 +455,34 @@ def searched(edges: DataFrame, sizes: DataFrame, method: str, hw: HardwareConfig
             core = assigned_slots(n, src, tgt, hw) // hw.n
             local = pca_addresses(n, src, tgt, core)
         elif method == "slice_chain":
-            core, local = slice_chain(n, src, tgt, hw, seed, time_limit=time_limit)[:2]
-        elif method == "parts_then_anneal":
-            core = balanced_parts(n, src, tgt, hw.cores, hw.n)
+            core, local, _, chosen, cost = slice_chain(n, src, tgt, hw, seed, time_limit=time_limit)
+        elif method == "drawn_on_given":
+            slots = np.random.default_rng(seed).permutation(hw.slots)[:n]
+            core, local = slots // hw.n, slots % hw.n
+        elif method.endswith("_on_given"):
+            core, local = clusters_on(n, src, tgt, hw, method.removesuffix("_on_given"), seed)
+        elif method.endswith("_then_anneal"):
+            core = balanced_parts(n, src, tgt, hw.cores, hw.n) if method.startswith("parts") else clusters_on(n, src, tgt, hw, "blocks", seed)[0]
             core, local, _ = annealed(n, src, tgt, hw, seed, start_cores=core)
+        elif method in PRESETS:
+            core, local, own = from_clusters(n, src, tgt, *PRESETS[method], seed)
         else:
             start = None
             if method == "parts_then_hardware":
                 first = first_hardware(n, len(src))
                 start = balanced_parts(n, src, tgt, first.cores, first.n)
-            core, local, _, own = hardware_chain(n, src, tgt, seed, method == "joint_chain", start, time_limit=time_limit)
-        return pd.DataFrame({"graph_id": pdf["graph_id"].iloc[0], "neuron": np.arange(n), "core": core, "local": local, "r": own.r, "n": own.n, "l": own.l, "f": own.f})
+            elif method == "clusters_then_hardware":
+                start = CLUSTERERS["blocks"](n, src, tgt, seed)[0]
+            core, local, _, own, chosen, cost, start_cost = hardware_chain(n, src, tgt, seed, method == "joint_chain", start, time_limit=time_limit)
+        counts = SliceCounts(n, src, tgt, np.asarray(core), np.asarray(local), own).counts
+        chosen = counts.argmax(axis=2) if chosen is None else chosen
+        missed = len(src) - int(np.take_along_axis(counts, chosen[:, :, None], axis=2).sum())
+        rows = pd.DataFrame({"graph_id": pdf["graph_id"].iloc[0], "neuron": np.arange(n), "core": core, "local": local, "slices": list(chosen), "missed": missed, "proved": proved})
+        return rows.assign(cost=np.nan if cost is None else cost, start_cost=np.nan if start_cost is None else start_cost, r=own.r, n=own.n, l=own.l, f=own.f)
+
+    return as_rows(edges, sizes).groupBy("graph_id").applyInPandas(run, FOUND)
+
 
-    return rows.groupBy("graph_id").applyInPandas(run, "graph_id string, neuron long, core long, local long, r int, n int, l int, f int")
+def found_slices(found: DataFrame) -> DataFrame:
+    """graph_id, neuron, distance, slice of what ``searched`` found, from distance 1."""
+    return found.select("graph_id", "neuron", F.posexplode("slices").alias("distance", "slice")).where("distance > 0")

@@ -33,13 +33,25 @@ def valid_edges(placed: DataFrame, slices: DataFrame, hw: HardwareConfig) -> Dat
     return placed.join(chosen, ["tgt", "distance"], "left").withColumn("valid", (F.col("distance") == 0) | F.coalesce(own == F.col("chosen"), F.lit(False)))
 
 
+def best_counts(placed: DataFrame, hw: HardwareConfig) -> DataFrame:
+    """One row, m and valid_edges at the best slices, without choosing them: of each target and distance the fullest slice is heard."""
+    hits = placed.groupBy("tgt", "distance", hw.slice_of("distance", "src_local").alias("slice")).agg(F.count("*").alias("hits"))
+    per = hits.groupBy("tgt", "distance").agg(F.sum("hits").alias("k"), F.when(F.col("distance") == 0, F.sum("hits")).otherwise(F.max("hits")).alias("kept"))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return per.agg(zero("k").alias("m"), zero("kept").alias("valid_edges"))
+
+
 def score(valid: DataFrame, neurons: DataFrame, hw: HardwareConfig) -> DataFrame:
+    """The score of edges that ``valid_edges`` marked."""
+    return score_of(valid.agg(F.count("*").alias("m"), F.count_if("valid").alias("valid_edges")), neurons, hw)
+
+
+def score_of(counts: DataFrame, neurons: DataFrame, hw: HardwareConfig) -> DataFrame:
     """One row: m, valid_edges, inconsistencies, fraction, percent, log_likelihood, hardware_size, unused_connections."""
-    c = valid.agg(F.count("*").alias("m"), F.count_if("valid").alias("valid_edges"))
     n = neurons.agg(F.count("*").alias("n"))
     e, m = F.col("valid_edges"), F.col("m")
     p0 = (e + 1) / (F.col("n") * hw.n + 2)
-    return c.crossJoin(n).select(
+    return counts.crossJoin(n).select(
         "m",
         "valid_edges",
         (m - e).alias("inconsistencies"),

@@ -1,9 +1,7 @@
-"""Queries as SQL that Spark and DuckDB read alike; what differs between the two is in ``Dialect``."""
+"""SQL that gives the rows of the queries in ``network_queries``, over the same tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
 from tessera.hw import HardwareConfig
 
 TABLES = "part lineitem orders embeddings events supplier customer nation region".split()
@@ -93,9 +91,10 @@ def catalog(d: Dialect) -> dict[str, str]:
     q["p10_result_filter"] = f"WITH {RESULTS} SELECT mapper, input_id, value FROM results WHERE metric = 'Inconsistencies' AND input_id = 'net1' AND mapper IN ('mapper0', 'mapper2')"
     # joins
     q["j1_placed_edges"] = f"WITH {PLACED} SELECT src, tgt, CAST(src_local AS BIGINT) AS src_local, CAST(src_core AS BIGINT) AS src_core, CAST(tgt_core AS BIGINT) AS tgt_core, CAST(distance AS BIGINT) AS distance FROM placed"
-    q["j5_slice_range_join"] = f"WITH {GRAPH} SELECT t.neuron AS tgt, count(*) AS candidates FROM place t CROSS JOIN hw JOIN place s ON s.core = (t.core + 1) % 64 AND s.local >= (t.neuron % 2) * n DIV 2 AND s.local < (t.neuron % 2 + 1) * n DIV 2 WHERE t.neuron < 500 GROUP BY t.neuron"
+    half = "(SELECT core, CAST(local >= n DIV 2 AS INT) AS half, count(*) AS candidates FROM place CROSS JOIN hw WHERE local < 2 * n DIV 2 GROUP BY 1, 2)"
+    q["j5_slice_range_join"] = f"WITH {GRAPH} SELECT t.neuron AS tgt, s.candidates FROM place t JOIN {half} s ON s.core = (t.core + 1) % 64 AND s.half = t.neuron % 2"
     q["j6_induced_subgraph"] = f"WITH {GRAPH}, {LABELS} SELECT src, tgt FROM edges JOIN labels_ a ON a.neuron = src JOIN labels_ b ON b.neuron = tgt WHERE a.cluster = b.cluster"
-    q["j7_free_slots"] = f"WITH {GRAPH}, grid AS (SELECT slot DIV n AS core, slot % n AS local FROM {d.range(4, 'c')} z CROSS JOIN hw JOIN {d.range(64 * 400, 'slot')} s ON c = 0 AND slot < 64 * n) SELECT CAST(core AS BIGINT) AS core, CAST(local AS BIGINT) AS local FROM grid WHERE NOT EXISTS (SELECT 1 FROM place p WHERE p.core = grid.core AND p.local = grid.local)"
+    q["j7_free_slots"] = f"WITH {GRAPH} SELECT CAST(range DIV n AS BIGINT) AS core, CAST(range % n AS BIGINT) AS local FROM range(64 * (SELECT n FROM hw)) CROSS JOIN hw WHERE range NOT IN (SELECT core * n + local FROM place CROSS JOIN hw)"
     q["j10_contingency"] = f"WITH {LABELS} SELECT truth, predicted, count(*) AS k FROM labels_ GROUP BY truth, predicted"
     # metrics
     q["a7_hardware_cost"] = f"WITH {GRAPH} SELECT round(CAST(1.5 * 64 * n * n + 2.0 * n * (r - 1) / 63 + 0.5 * greatest(0, 64 * n - c) AS DOUBLE), 6) AS cost, CAST(1.0 * 64 * n + 2.0 * 64 * l * r + 0.5 * greatest(0, 64 * n - c) AS DOUBLE) AS joint_cost FROM hw CROSS JOIN (SELECT count(*) AS c FROM neurons) k"
@@ -144,17 +143,22 @@ def catalog(d: Dialect) -> dict[str, str]:
     q["x10_bars"] = f"WITH {RESULTS} SELECT input_id, coalesce(max(CASE WHEN mapper = 'mapper0' THEN value END), 0) AS mapper0, coalesce(max(CASE WHEN mapper = 'mapper1' AND value > 990 THEN value END), 0) AS mapper1 FROM results GROUP BY input_id"
     q["x11_network_key"] = "SELECT network, count(*) AS k FROM (SELECT concat('brand:', p_brand, ', size:', CAST(p_size AS STRING)) AS network FROM part) t GROUP BY network"
     q["x13_distinct_hardware"] = f"SELECT DISTINCT CAST(i % 3 + 2 AS BIGINT) AS r, CAST(i % 2 + 1 AS BIGINT) AS l, concat('R', CAST(i % 3 + 2 AS STRING), '_L', CAST(i % 2 + 1 AS STRING)) AS hw FROM {d.range(60, 'i')} a"
+    # faults, trees with neurons, times, orders
+    q["p3_shape_violations"] = f"WITH {GRAPH}, k AS (SELECT count(*) FILTER (id % 7 = 3) + count(*) FILTER (id % 7 = 5) AS off, count(*) FILTER (id % 11 = 1) AS new, count(*) FILTER (id % 5 = 2) AS cut FROM neurons) SELECT 'neuron not placed once' AS rule, off AS violations FROM k UNION ALL SELECT 'placed neuron unknown', new FROM k UNION ALL SELECT 'slices not one a distance', cut FROM k UNION ALL SELECT 'null in placement', new FROM k UNION ALL SELECT 'null in slices', 0"
+    q["g2_ground_truth"] = f"SELECT count(*) AS m, CAST(0 AS BIGINT) AS inconsistencies FROM ({q['g2_feasible_slices']}) e"
+    q["j8_hierarchy_neurons"] = f"WITH {LABELS}, {TREE} SELECT CAST(t.cluster AS BIGINT) AS cluster, (SELECT count(*) FROM tree u WHERE u.parent = t.cluster) AS children, (SELECT count(*) FROM labels_ WHERE cluster = t.cluster AND cluster < 4) AS neurons, CAST((SELECT coalesce(sum(neuron), 0) FROM labels_ WHERE cluster = t.cluster AND cluster < 4) AS BIGINT) AS neuron_sum FROM tree t"
+    q["a22_mean_times"] = f"WITH {RESULTS} SELECT mapper, round(avg(value), 9) AS seconds FROM results WHERE NOT failed AND metric = 'Hardware Size' GROUP BY mapper"
+    q["w7_random_slices"] = f"WITH {GRAPH} SELECT id AS neuron, d AS distance, {d.uniform(42, 'id', 'd')} % CAST(least(pow(2, d), n) AS BIGINT) AS slice FROM neurons CROSS JOIN hw CROSS JOIN (SELECT range + 1 AS d FROM range(3)) r"
+    q["w10_report_order"] = f"WITH {RESULTS}, m AS (SELECT input_id, mapper, round(avg(value) FILTER (metric = 'Hardware Size'), 2) AS h, round(avg(value) FILTER (metric = 'Inconsistencies'), 2) AS i FROM results GROUP BY ALL) SELECT row_number() OVER (ORDER BY input_id, mapper) - 1 AS line, mapper, input_id, coalesce(h, -1.0) AS hardware_size, coalesce(i, -1.0) AS inconsistencies FROM m"
+    x = "FROM (SELECT neuron, cluster, row_number() OVER (PARTITION BY cluster ORDER BY neuron) - 1 AS x, count(*) OVER (PARTITION BY cluster) AS size FROM labels_)"
+    q["h5_legacy_slices"] = f"WITH {GRAPH}, {LABELS}, y AS (SELECT * {x}), h AS (SELECT tgt, CAST(s.cluster <> t.cluster AS INT) + CAST(s.cluster DIV 5 <> t.cluster DIV 5 AS INT) AS d, s.x, s.size FROM edges JOIN y s ON s.neuron = src JOIN y t ON t.neuron = tgt), c AS (SELECT tgt, d, x * CAST(pow(2, d) AS BIGINT) DIV size AS k, count(*) AS hits FROM h WHERE d < 2 GROUP BY ALL), b AS (SELECT tgt, d, k FROM (SELECT *, row_number() OVER (PARTITION BY tgt, d ORDER BY hits DESC, k) AS r FROM c) WHERE r = 1) SELECT id AS neuron, range AS distance, CAST(coalesce(k, 0) AS BIGINT) AS slice FROM neurons CROSS JOIN range(2) LEFT JOIN b ON tgt = id AND d = range"
+    q["x3_truth_run"] = "SELECT 'truth' AS mapper, metric, raw, relative FROM (VALUES ('Inconsistencies', 0.0::DOUBLE, 0.0::DOUBLE), ('Hardware Size', 60.0, 1.0), ('Inconsistency Fraction', 0.0, 1.0)) v(metric, raw, relative)"
+    rank = f"SELECT neuron, slot DIV 15 AS core, slot % 15 AS local FROM (SELECT range AS slot, row_number() OVER (ORDER BY {d.uniform(42, 'range')}, range) - 1 AS neuron FROM range(60))"
+    nets = f"SELECT 'ER_60n_p0.1' AS input_id, * FROM ({q['g1_erdos_renyi']}) UNION ALL SELECT 'Feasible_R=2_l=2_N=15_p=0.5_seed=42', * FROM ({q['g2_feasible_slices']})"
+    q["x3_random_run"] = f"WITH r AS ({rank}), e AS ({nets}), apart AS (SELECT input_id, tgt, s.local AS x, {m.distance_sql('s.core', 't.core')} AS dist FROM e JOIN r s ON s.neuron = src JOIN r t ON t.neuron = tgt), v AS (SELECT input_id, dist = 0 OR {m.slice_sql('dist', 'x')} = {d.uniform(42, 'tgt', 'dist')} % {m.slices_sql('dist')} AS valid FROM apart) SELECT input_id, 'Inconsistencies' AS metric, CAST(count_if(NOT valid) AS DOUBLE) AS raw FROM v GROUP BY input_id UNION ALL SELECT input_id, 'Valid Edges', CAST(count_if(valid) AS DOUBLE) FROM v GROUP BY input_id"
+    q["x6_mean_over_networks"] = "SELECT mapper, input_id, 'Hardware Size' AS metric, 60.0::DOUBLE AS value FROM (VALUES ('truth'), ('greedy')) a(mapper) CROSS JOIN (VALUES ('ER_60n_p0.1'), ('Feasible_R=2_l=2_N=15_p=0.5_seed=42')) b(input_id)"
+    q["x12_adjacency_points"] = f"WITH {PLACED}, o AS (SELECT neuron, row_number() OVER (ORDER BY core, local, neuron) - 1 AS place FROM place) SELECT a.place AS x, b.place AS y, CAST(distance AS BIGINT) AS distance, valid FROM valid JOIN o a ON a.neuron = src JOIN o b ON b.neuron = tgt"
+    q["x12_cluster_circle"] = f"WITH {LABELS}, z AS (SELECT cluster, count(*) AS neurons FROM labels_ GROUP BY cluster), w AS (SELECT *, 2 * pi() * (sum(neurons) OVER (ORDER BY cluster) - neurons / 2.0) / sum(neurons) OVER () AS angle FROM z) SELECT CAST(cluster AS BIGINT) AS cluster, neurons, round(cos(angle), 9) AS x, round(sin(angle), 9) AS y FROM w"
+    q["x12_routing_tree"] = "SELECT level, router, CASE WHEN level = 3 THEN -1 ELSE router DIV 4 END AS parent, router * pow(4, level) + (pow(4, level) - 1) / 2 AS x FROM (SELECT range AS level FROM range(4)) a JOIN (SELECT range AS router FROM range(64)) b ON router < pow(4, 3 - level)"
+    q["x12_hardware_map"] = f"WITH {GRAPH} SELECT range AS core, range % 8 AS x, range DIV 8 AS y, (SELECT count(*) FROM place WHERE core = range) AS neurons, round(CAST((SELECT count(*) FROM place WHERE core = range) AS DOUBLE) / n, 9) AS share FROM range(64) CROSS JOIN hw"
     return {k: d.text(v) for k, v in q.items()}
-
-
-def registered(spark: SparkSession, sf_dir: str) -> None:
-    for t in TABLES:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-
-
-def run(name: str):
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        registered(spark, sf_dir)
-        return spark.sql(catalog(Dialect(True))[name])
-
-    return query

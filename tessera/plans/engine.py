@@ -8,19 +8,15 @@ from pyspark.sql import functions as F
 from tessera import graph
 from tessera.hw import HardwareConfig
 from tessera.operators import estimators, kernels, searches, slices, spectral
-from tessera.plans.catalog import GRAPH, LABELS, PLACED, Dialect
+from tessera.plans import network_queries, runner
+from tessera.plans.catalog import GRAPH, LABELS, PLACED, RESULTS, Dialect
+from tessera.plans.network_queries import hardware
 from tessera.sources import results
 
 
-def hardware(neurons: DataFrame) -> HardwareConfig:
-    return HardwareConfig(4, max(2, -(-neurons.count() // 64)), 3, 2)
-
-
 def _spread(spark: SparkSession, sf_dir: str):
-    neurons, edges = graph.from_tables(spark, sf_dir)
-    hw = hardware(neurons)
-    placement = graph.spread(neurons, hw)
-    return neurons, edges, hw, placement, slices.placed_edges(edges, placement, hw)
+    neurons, edges, hw, placement, placed = network_queries.spread(spark, sf_dir)
+    return neurons, edges, hw, placement, placed
 
 
 def w1_optimal_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +26,13 @@ def w1_optimal_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def a1_mapping_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     neurons, _, hw, _, placed = _spread(spark, sf_dir)
-    return slices.score(slices.valid_edges(placed, slices.optimal_slices(neurons, placed, hw), hw), neurons, hw)
+    return slices.score_of(slices.best_counts(placed, hw), neurons, hw)
+
+
+def a2_scored_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every edge with its distance and whether the best slices hear it."""
+    neurons, _, hw, _, placed = _spread(spark, sf_dir)
+    return slices.valid_edges(placed, slices.optimal_slices(neurons, placed, hw), hw).select("src", "tgt", F.col("distance").cast("long").alias("distance"), "valid")
 
 
 def w2_delta_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,14 +62,6 @@ def w7_random_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.random_placement(neurons, hardware(neurons))
 
 
-def j7_free_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slots that no neuron of the spread placement takes; as many slots as the hardware has, where the catalog's text ends at 64 * 400."""
-    neurons = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("long").alias("slot"))
-    n = -(-neurons.count() // 64)
-    free = spark.range(64 * n).withColumnRenamed("id", "slot").join(neurons, "slot", "left_anti")
-    return free.select(F.expr(f"slot DIV {max(1, n)}").alias("core"), F.expr(f"slot % {max(1, n)}").alias("local"))
-
-
 def a11_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = spark.read.parquet(f"{sf_dir}/part.parquet")
     return kernels.accuracy(parts.select(F.col("p_brand").alias("truth"), F.col("p_size").alias("predicted")))
@@ -81,22 +75,21 @@ def _small_graphs(spark: SparkSession):
     return er.unionByName(two), spark.createDataFrame([("er", 60), ("two", 16)], "graph_id string, n long")
 
 
-def _missed(edges: DataFrame, placement: DataFrame, hw: HardwareConfig) -> DataFrame:
-    """Links of each network, and those that its best slices miss."""
-    s = placement.select("graph_id", F.col("neuron").alias("src"), F.col("core").alias("src_core"), F.col("local").alias("src_local"))
-    t = placement.select("graph_id", F.col("neuron").alias("tgt"), F.col("core").alias("tgt_core"))
-    at = edges.join(s, ["graph_id", "src"]).join(t, ["graph_id", "tgt"]).withColumn("distance", hw.distance("src_core", "tgt_core"))
-    hits = at.groupBy("graph_id", "tgt", "distance", hw.slice_of("distance", "src_local").alias("slice")).agg(F.count("*").alias("hits"))
-    kept = hits.groupBy("graph_id", "tgt", "distance").agg(F.when(F.col("distance") == 0, F.sum("hits")).otherwise(F.max("hits")).alias("kept"), F.sum("hits").alias("k"))
-    return kept.groupBy("graph_id").agg(F.sum("k").alias("m"), F.sum(F.col("k") - F.col("kept")).alias("inconsistencies"))
+def _missed(edges: DataFrame, sizes: DataFrame, placement: DataFrame, hw: HardwareConfig, chosen: DataFrame | None = None) -> DataFrame:
+    """Links of each network, and those that the slices chosen, or the best ones, miss; a network without links has a row too."""
+    scored = runner.scored(edges, sizes, placement, chosen, hw)
+    return scored.select("graph_id", "m", (F.col("m") - F.col("kept")).alias("inconsistencies"))
 
 
 def _mapper(method: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         edges, sizes = _small_graphs(spark)
         hw = HardwareConfig(2, 16, 2, 2)
-        found = kernels.mapped(edges, sizes, hw, method) if method in kernels.METHODS else searches.searched(edges, sizes, method, hw)
-        return _missed(edges, found, hw)
+        if method in kernels.METHODS:
+            return _missed(edges, sizes, kernels.mapped(edges, sizes, hw, method), hw)
+        found = searches.searched(edges, sizes, method, hw).persist()
+        own = _missed(edges, sizes, found, hw, searches.found_slices(found))
+        return own.join(found.groupBy("graph_id").agg(F.max("missed").alias("missed_by_search"), F.max("proved").alias("proved")), "graph_id")
 
     return query
 
@@ -107,22 +100,30 @@ def m3_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     ring = ids.where("src < 6 and tgt = (src + 1) % 6").select(F.lit("ring").alias("graph_id"), "src", "tgt")
     fours = ids.where("src <> tgt and src DIV 4 = tgt DIV 4").select(F.lit("fours").alias("graph_id"), "src", "tgt")
     edges, hw = ring.unionByName(fours), HardwareConfig(2, 4, 1, 2)
-    return _missed(edges, searches.searched(edges, spark.createDataFrame([("ring", 6), ("fours", 8)], "graph_id string, n long"), "exact", hw), hw)
+    sizes = spark.createDataFrame([("ring", 6), ("fours", 8)], "graph_id string, n long")
+    found = searches.searched(edges, sizes, "exact", hw)
+    return _missed(edges, sizes, found, hw).join(found.groupBy("graph_id").agg(F.min("proved").alias("proved")), "graph_id")
 
 
 def _hardware_search(method: str):
-    """Hardware that the search found, with what the placement breaks; hardware fits its network where both counts are 0."""
+    """Of the hardware that the search found: what the placement breaks; whether its slices miss what the search says; whether the search
+    ended no dearer than it began; and whether it misses no more than the placement of the same number of cores in order of id would."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         edges, sizes = _small_graphs(spark)
-        found = searches.searched(edges, sizes, method)
+        found = searches.searched(edges, sizes, method).persist()
         cores = F.pow("r", "l").cast("long")
-        own = found.groupBy("graph_id", "r", "n", "l", "f").agg(
+        own = found.groupBy("graph_id").agg(
             F.count("*").alias("neurons"),
             F.count_if((F.col("core") < 0) | (F.col("core") >= cores) | (F.col("local") < 0) | (F.col("local") >= F.col("n"))).alias("out_of_range"),
             (F.count("*") - F.countDistinct("core", "local")).alias("slots_shared"),
+            F.max("missed").alias("missed"),
+            F.coalesce(F.max(F.col("cost") <= F.col("start_cost")), F.lit(True)).alias("no_dearer"),
+            *(F.first(c).alias(c) for c in ("r", "n", "l", "f")),
         )
-        return own.select("graph_id", "neurons", "out_of_range", "slots_shared")
+        scored = [runner.scored(edges.where(F.col("graph_id") == h.graph_id), sizes.where(F.col("graph_id") == h.graph_id), found, searches.found_slices(found), HardwareConfig(h.r, h.n, h.l, h.f)) for h in own.select("graph_id", "r", "n", "l", "f").collect()]
+        both = own.join(scored[0].unionByName(scored[1]).select("graph_id", (F.col("m") - F.col("kept")).alias("counted"), "m"), "graph_id")
+        return both.select("graph_id", "neurons", "out_of_range", "slots_shared", (F.col("counted") == F.col("missed")).alias("counts_agree"), "no_dearer", (F.col("missed") < F.col("m")).alias("hears"))
 
     return query
 
@@ -140,10 +141,19 @@ def _clusters(method: str):
 
 def c8_expected_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What chance gives for 1 to 24 groups when 1, 4, 12 and 24 are levels."""
-    levels = F.array(*map(F.lit, (1, 4, 12, 24)))
-    k, below, above = F.col("k"), F.array_max(F.filter(levels, lambda x: x <= F.col("k"))), F.array_min(F.filter(levels, lambda x: x > F.col("k")))
-    grid = spark.range(1, 25).select(F.col("id").alias("k")).select("k", below.alias("a"), above.alias("b"))
-    return grid.select("k", F.coalesce(F.round((k - F.col("a")) * (F.col("b") - k) / (F.col("b") - F.col("a")), 9), F.lit(0.0)).alias("expected"))
+    errors = spectral.expected_errors([1, 4, 12, 24])
+    return spark.createDataFrame([(k + 1, round(float(x), 9)) for k, x in enumerate(errors)], "k long, expected double")
+
+
+def c10_recursive_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Complete groups in a row, split two ways level by level: each on a core of its own."""
+    ids = spark.range(16).select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))).alias("tgt"))
+    edges = ids.where("src <> tgt and src DIV 4 = tgt DIV 4 or tgt = src + 1").select(F.lit("fours").alias("graph_id"), "src", "tgt")
+    sizes = spark.createDataFrame([("fours", 16)], "graph_id string, n long")
+    hw = HardwareConfig(2, 4, 2, 2)
+    both = [kernels.mapped(edges, sizes, hw, m).select(F.lit(m).alias("nets"), "neuron", "core") for m in ("three_step_recursive", "three_step_hyperedges")]
+    each = both[0].unionByName(both[1])
+    return each.groupBy("nets", F.expr("neuron DIV 4").alias("fours")).agg(F.countDistinct("core").alias("cores"), F.count("*").alias("neurons"))
 
 
 def q2_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,8 +165,14 @@ def q2_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return estimators.estimated(edges, spark.createDataFrame([("tree", 160)], "graph_id string, n long"), depth=3)
 
 
+def k7_evaluation_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The results of all orders as an evaluation in a run folder, and back."""
+    long = network_queries.results_of(spark, sf_dir).select("mapper", "input_id", "metric", "value")
+    return results.read_evaluation(spark, results.write_csv(long, results.run_folder(spark), "evaluation"))
+
+
 def k5_summary_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 100 = 0")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     summary = orders.select(
         F.concat(F.lit("mapper"), (F.col("o_orderkey") % 3).cast("string")).alias("mapper"),
         F.col("o_orderkey").cast("string").alias("input_id"),
@@ -170,11 +186,11 @@ def k5_summary_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "w1_optimal_slices": w1_optimal_slices,
     "a1_mapping_score": a1_mapping_score,
+    "a2_scored_edges": a2_scored_edges,
     "w2_delta_slices": w2_delta_slices,
     "p6_violations": p6_violations,
     "w5_core_packing": w5_core_packing,
     "w7_random_placement": w7_random_placement,
-    "j7_free_slots": j7_free_slots,
     "a11_accuracy": a11_accuracy,
     "m2_greedy": _mapper("greedy"),
     "m5_three_step": _mapper("three_step"),
@@ -187,6 +203,15 @@ QUERIES = {
     "m10_hardware_chain": _hardware_search("hardware_chain"),
     "m13_joint_chain": _hardware_search("joint_chain"),
     "m15_parts_then_hardware": _hardware_search("parts_then_hardware"),
+    "m15_clusters_then_hardware": _hardware_search("clusters_then_hardware"),
+    "m6_blocks_flat": _hardware_search("blocks_flat"),
+    "m6_blocks_padded": _hardware_search("blocks_padded"),
+    "m6_spectral_padded": _hardware_search("spectral_padded"),
+    "m7_blocks_on_given": _mapper("blocks_on_given"),
+    "m7_spectral_on_given": _mapper("spectral_on_given"),
+    "m15_clusters_then_annealing": _mapper("clusters_then_anneal"),
+    "c10_recursive_parts": c10_recursive_parts,
+    "k7_evaluation_round_trip": k7_evaluation_round_trip,
     "c1_nested_blocks": _clusters("nested_blocks"),
     "c2_spectral_hierarchy": _clusters("spectral"),
     "c8_expected_errors": c8_expected_errors,
@@ -202,6 +227,7 @@ def oracle() -> dict[str, str]:
     n8 = " + ".join(f"{3 * 4 ** (k - 1)} * (n DIV CAST(least({2**k}, n) AS BIGINT))" for k in (1, 2, 3))
     sql = {
         "w1_optimal_slices": f"WITH {PLACED} SELECT neuron, distance, slice, hits FROM slices",
+        "a2_scored_edges": f"WITH {PLACED} SELECT src, tgt, CAST(distance AS BIGINT) AS distance, valid FROM valid",
         "w2_delta_slices": f"WITH {swapped} SELECT neuron, distance, slice, hits FROM slices",
         "a1_mapping_score": f"""WITH {PLACED}, c AS (SELECT count(*) AS m, count_if(valid) AS e FROM valid), k AS (SELECT count(*) AS k FROM neurons)
             SELECT m, CAST(e AS BIGINT) AS valid_edges, CAST(m - e AS BIGINT) AS inconsistencies, CAST((m - e) AS DOUBLE) / m AS fraction, 100.0::DOUBLE * (m - e) / m AS percent,
@@ -210,11 +236,13 @@ def oracle() -> dict[str, str]:
         "p6_violations": "SELECT rule, CAST(0 AS BIGINT) AS violations FROM (VALUES ('core out of range'), ('local out of range'), ('core over capacity'), ('slot shared'), ('slice out of range')) v(rule)",
         "w5_core_packing": f"WITH {GRAPH}, {LABELS} SELECT neuron, CAST(k DIV n AS BIGINT) AS core, CAST(k % n AS BIGINT) AS local FROM (SELECT neuron, row_number() OVER (ORDER BY truth, neuron) - 1 AS k FROM labels_) t CROSS JOIN hw",
         "w7_random_placement": f"WITH {GRAPH}, slots AS (SELECT range AS slot, row_number() OVER (ORDER BY {d.uniform(42, 'range')}, range) AS k FROM range(64 * (SELECT n FROM hw))) SELECT id AS neuron, slot DIV n AS core, slot % n AS local FROM (SELECT id, row_number() OVER (ORDER BY id) AS k FROM neurons) a JOIN slots USING (k) CROSS JOIN hw",
-        "k5_summary_round_trip": "SELECT concat('mapper', CAST(o_orderkey % 3 AS STRING)) AS mapper, CAST(o_orderkey AS STRING) AS input_id, CAST(o_orderkey % 1000 AS DOUBLE) AS value, CASE WHEN o_orderkey % 300 = 0 THEN 'failed' END AS error FROM orders WHERE o_orderkey % 100 = 0",
+        "k5_summary_round_trip": "SELECT concat('mapper', CAST(o_orderkey % 3 AS STRING)) AS mapper, CAST(o_orderkey AS STRING) AS input_id, CAST(o_orderkey % 1000 AS DOUBLE) AS value, CASE WHEN o_orderkey % 300 = 0 THEN 'failed' END AS error FROM orders",
     }
     # searches that SQL cannot run: planted networks have one right answer, found hardware must fit
-    tens, fits = "SELECT range AS neuron, range DIV 10 AS cluster, CAST(4 AS BIGINT) AS parent FROM range(40)", "SELECT graph_id, CAST(k AS BIGINT) AS neurons, CAST(0 AS BIGINT) AS out_of_range, CAST(0 AS BIGINT) AS slots_shared FROM (VALUES ('er', 60), ('two', 16)) g(graph_id, k)"
-    sql |= {"c1_nested_blocks": tens, "c2_spectral_hierarchy": tens, "m10_hardware_chain": fits, "m13_joint_chain": fits, "m15_parts_then_hardware": fits}
-    sql["m3_exact"] = "SELECT graph_id, CAST(m AS BIGINT) AS m, CAST(0 AS BIGINT) AS inconsistencies FROM (VALUES ('ring', 6), ('fours', 24)) v(graph_id, m)"
+    tens, fits = "SELECT range AS neuron, range DIV 10 AS cluster, CAST(4 AS BIGINT) AS parent FROM range(40)", "SELECT graph_id, CAST(k AS BIGINT) AS neurons, CAST(0 AS BIGINT) AS out_of_range, CAST(0 AS BIGINT) AS slots_shared, true AS counts_agree, true AS no_dearer, true AS hears FROM (VALUES ('er', 60), ('two', 16)) g(graph_id, k)"
+    sql |= {"c1_nested_blocks": tens, "c2_spectral_hierarchy": tens} | dict.fromkeys(("m10_hardware_chain", "m13_joint_chain", "m15_parts_then_hardware", "m15_clusters_then_hardware", "m6_blocks_flat", "m6_blocks_padded", "m6_spectral_padded"), fits)
+    sql["m3_exact"] = "SELECT graph_id, CAST(m AS BIGINT) AS m, CAST(0 AS BIGINT) AS inconsistencies, true AS proved FROM (VALUES ('ring', 6), ('fours', 24)) v(graph_id, m)"
+    sql["c10_recursive_parts"] = "SELECT nets, range AS fours, CAST(1 AS BIGINT) AS cores, CAST(4 AS BIGINT) AS neurons FROM range(4) CROSS JOIN (VALUES ('three_step_recursive'), ('three_step_hyperedges')) v(nets)"
+    sql["k7_evaluation_round_trip"] = f"WITH {RESULTS} SELECT mapper, input_id, metric, value FROM results"
     sql["c8_expected_errors"] = "WITH v(a, b) AS (VALUES (1, 4), (4, 12), (12, 24)) SELECT k, round(CAST((k - a) * (b - k) AS DOUBLE) / (b - a), 9) AS expected FROM (SELECT range AS k FROM range(1, 24)) t JOIN v ON k >= a AND k < b UNION ALL SELECT 24, 0.0"
     return {k: d.text(v) for k, v in sql.items()}

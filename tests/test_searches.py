@@ -45,7 +45,7 @@ def test_assigned_slots_are_no_worse_than_the_first_ones():
 
 def test_slice_chain_counts_what_its_slices_miss():
     src, tgt = network(24, 0.2, 3)
-    core, local, missed, chosen = searches.slice_chain(24, src, tgt, HW, 5, sweeps=20)
+    core, local, missed, chosen, _ = searches.slice_chain(24, src, tgt, HW, 5, sweeps=20)
     fits(core, local, HW)
     state = searches.ChosenSlices(24, src, tgt, core, local, HW, chosen)
     assert state.energy == missed >= kernels.SliceCounts(24, src, tgt, core, local, HW).energy
@@ -54,7 +54,8 @@ def test_slice_chain_counts_what_its_slices_miss():
 @pytest.mark.parametrize("joint", [False, True])
 def test_hardware_chain_fits_its_hardware(joint):
     src, tgt = network(20, 0.2, 4)
-    core, local, missed, hw = searches.hardware_chain(20, src, tgt, 5, joint, time_limit=3)
+    core, local, missed, hw, chosen, cost, first = searches.hardware_chain(20, src, tgt, 5, joint)
+    assert cost <= first and chosen.shape == (20, hw.l + 1)
     fits(core, local, hw)
     best = kernels.SliceCounts(20, src, tgt, core, local, hw).energy
     assert missed >= best if joint else missed == best
