@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 #: What separates words everywhere in this subpackage.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of a histogram that ``IdShards`` brings to the driver, at most, and shards that it makes, at most.
-BUCKETS, MOST_SHARDS = 16384, 4096
+#: Shards that ``IdShards`` makes, at most: of 100 TB each then has 400 MB.  A histogram that it brings to the driver has four rows a
+#: shard, LEAST_BUCKETS at least, so 1 M rows at most.
+MOST_SHARDS, LEAST_BUCKETS = 1 << 18, 4096
 #: Bytes of rows that go to Python at once.
 BATCH_BYTES = 8 << 20
 
@@ -80,7 +81,7 @@ def shuffle_width(spark: SparkSession) -> int:
 class IdShards:
     """Ranges of an integer id that hold about equal weight, the same for the same rows.
 
-    A histogram of at most BUCKETS equal steps comes to the driver; steps that weigh more than a shard are cut into finer ones,
+    A histogram of equal steps, four a shard, comes to the driver; steps that weigh more than a shard are cut into finer ones,
     again and again down to single ids, so outlying ids (the whole range of 64 bits is allowed) leave the others finely cut.
     Runs of steps become shards.  Rows of one id are always in one shard; null ids come first.
     """
@@ -88,8 +89,8 @@ class IdShards:
     def __init__(self, df: DataFrame, key: str, weight: Column, shards: int):
         low, high = df.agg(F.min(key), F.max(key)).first()
         self.key, shards = key, max(1, min(shards, MOST_SHARDS))
-        shift = 0
-        while low is not None and (high >> shift) - (low >> shift) >= BUCKETS:
+        buckets, shift = max(LEAST_BUCKETS, 4 * shards), 0
+        while low is not None and (high >> shift) - (low >> shift) >= buckets:
             shift += 1
         self.levels: list[tuple[int, dict[int, int | None]]] = []  # shift, and for each step its shard, or None where it is cut further
         leaves, total, within, finer = [], None, df, None
@@ -101,7 +102,7 @@ class IdShards:
             leaves += [(r["step"] is not None, 0 if r["step"] is None else r["step"] << shift, len(self.levels) - 1, r["step"], r["w"] or 0, r["first"]) for r in rows if r["step"] not in finer]
             if finer:
                 within = df.where(self._step(shift).isin(sorted(finer)))
-                shift = max(0, shift - max(1, (BUCKETS // len(finer)).bit_length() - 1))
+                shift = max(0, shift - max(1, (buckets // len(finer)).bit_length() - 1))
         self.firsts, acc = [], 0
         for _, _, level, step, w, first in sorted(leaves, key=lambda x: x[:2]):
             if not self.firsts or acc * shards >= total * len(self.firsts):
@@ -114,7 +115,7 @@ class IdShards:
         return F.shiftright(F.col(self.key).cast("long"), shift)
 
     def assign(self, df: DataFrame) -> DataFrame:
-        """df with shard_ and opens_, whether the row has its shard's smallest id.  Each level joins a table of BUCKETS rows at most."""
+        """df with shard_ and opens_, whether the row has its shard's smallest id.  Each level joins a table of the histogram's size."""
         spark, out = df.sparkSession, df.withColumn("shard_", F.lit(None).cast("int"))
         for shift, shard_of in self.levels:
             small = spark.createDataFrame(list(shard_of.items()), "step_ long, at_ int")
