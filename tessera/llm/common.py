@@ -55,15 +55,17 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def discard(*tables: DataFrame) -> None:
-    """Removes tables that ``stored`` wrote.  Nothing may still have to read them, a plan not yet run included.
+def tidy(spark: SparkSession) -> None:
+    """Spark removes the shuffle files of finished queries when the driver's JVM happens to collect its garbage; here it is asked to."""
+    gc.collect()
+    spark._jvm.System.gc()
 
-    Spark removes shuffle files when the driver's JVM happens to collect its garbage; here it is asked to.
-    """
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that ``stored`` wrote, and tidies.  Nothing may still have to read them, a plan not yet run included."""
     for t in tables:
         remove(t.sparkSession, t.stored_at)
-    gc.collect()
-    tables[0].sparkSession._jvm.System.gc()
+    tidy(tables[0].sparkSession)
 
 
 def unused(df: DataFrame, name: str) -> str:

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import IdShards, bounded_batches, discard, remove, shared_dir, shuffle_width, stored
+from tessera.llm.common import IdShards, bounded_batches, discard, shuffle_width, stored, tidy
 from tessera.llm.word_arrays import mix, rolled, spans, words_of
 
 SEED = 8
@@ -89,25 +89,9 @@ def _profiles(rows: DataFrame, window: int) -> DataFrame:
     return rows.mapInArrow(run, "id long, n_words long, key long, sha string, seeds array<long>, phrases array<binary>")
 
 
-def _confirmed(path: str, shard: int) -> dict[int, list[bytes]]:
-    """The confirmed phrases that can occur in a shard, by seed."""
-    import pyarrow.parquet as pq
-    from pyarrow import fs
-
-    store, place = fs.FileSystem.from_uri(f"{path}/shard_={shard}")
-    out: dict[int, list[bytes]] = {}
-    for info in store.get_file_info(fs.FileSelector(place, allow_not_found=True)):
-        if info.path.endswith(".parquet"):
-            with store.open_input_file(info.path) as f:
-                for b in pq.ParquetFile(f).iter_batches(columns=["seed", "phrase"]):
-                    for seed, phrase in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                        out.setdefault(seed, []).append(phrase)
-    return out
-
-
-def _windows(dealt: DataFrame, window: int, path: str) -> DataFrame:
-    """From texts and the seeds that route phrases to them, sorted by shard and id with the seeds first: rows of windows (kind 0)
-    and of the texts themselves (kind 1)."""
+def _windows(dealt: DataFrame, window: int) -> DataFrame:
+    """Rows of windows (kind 0) and of the texts themselves (kind 1).  A shard's confirmed phrases come first, then its texts by id, the
+    seeds of each before it."""
 
     def run(batches):
         import pyarrow as pa
@@ -141,17 +125,19 @@ def _windows(dealt: DataFrame, window: int, path: str) -> DataFrame:
 
         block, size, at, known, seen, phrases = [], 0, (None, None), {}, set(), {}
         for b in batches:
-            shards, ids, keys, seeds = (b.column(k).to_pylist() for k in range(4))
-            texts = b.column(4).cast(pa.binary())
+            shards, seed, ids, keys, seeds = (b.column(k).to_pylist() for k in (0, 1, 3, 4, 5))
+            phrase, texts = b.column(2), b.column(6).cast(pa.binary())
             for i, own in enumerate(zip(shards, ids)):
                 if own[0] != at[0] or size >= AUTOMATON_BYTES:
                     yield from flush(block, phrases)
                     block, size = [], 0
                 if own[0] != at[0]:
-                    phrases = _confirmed(path, own[0])
+                    phrases = {}
                 if own != at:
                     at, known, seen = own, {}, set()
-                if keys[i] is not None:
+                if seed[i] is not None:
+                    phrases.setdefault(seed[i], []).append(phrase[i].as_py())
+                elif keys[i] is not None:
                     known[keys[i]] = seeds[i]
                 elif known:
                     plain = single_spaced(texts[i].as_py() or b"")
@@ -212,23 +198,25 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     seeds = profiles.where("id is not null").select(F.explode(F.arrays_zip("seeds", "phrases")).alias("s"), "key", "id").select("s.seeds", "s.phrases", "key", "id").toDF("seed", "phrase", "key", "id")
     recurring = seeds.groupBy("seed").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("seed")
     met = stored(seeds.join(recurring, "seed"), "met")
+    tidy(spark)
     phrases = met.select("seed", "phrase").distinct()
     size = F.octet_length("text") + 64
     total = rows.agg(F.sum(size)).first()[0] or 0
     shards = IdShards(rows, "id", size, max(shuffle_width(spark), -(-total // shard_bytes)))
     routed = shards.assign(met).select("shard_", "seed").distinct().join(phrases, "seed")
-    path = shared_dir(spark, "confirmed")
-    routed.repartition(shards.n, "shard_").write.partitionBy("shard_").parquet(path)
     per_text = met.join(firsts, ["id", "key"], "left_semi").groupBy("id", "key").agg(F.collect_set("seed").alias("seeds"))
 
-    both = per_text.select("id", "key", "seeds", F.lit(None).cast("string").alias("text")).unionByName(rows.where("id is not null").select("id", F.lit(None).cast("long").alias("key"), F.lit(None).cast("array<long>").alias("seeds"), "text"))
-    dealt = shards.assign(both).repartitionById(shards.n, "shard_").sortWithinPartitions("shard_", "id", F.asc_nulls_last("key")).select("shard_", "id", "key", "seeds", "text")
-    found = stored(_windows(dealt, window, path), "windows")
-    remove(spark, path)
+    none = lambda kind: F.lit(None).cast(kind)
+    both = per_text.select("id", "key", "seeds", none("string").alias("text")).unionByName(rows.where("id is not null").select("id", none("long").alias("key"), none("array<long>").alias("seeds"), "text"))
+    both = shards.assign(both).select("shard_", none("long").alias("seed"), none("binary").alias("phrase"), "id", "key", "seeds", "text")
+    both = both.unionByName(routed.select("shard_", "seed", "phrase", none("long").alias("id"), none("long").alias("key"), none("array<long>").alias("seeds"), none("string").alias("text")))
+    dealt = both.repartitionById(shards.n, "shard_").sortWithinPartitions("shard_", F.asc_nulls_first("id"), F.asc_nulls_last("key"))
+    found = stored(_windows(dealt, window), "windows")
     discard(met)
 
     windows = found.where("kind = 0").select("id", "key", "pos", "h1", "h2")
     earliest = stored(windows.groupBy("h1", "h2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h1", "h2", "lo"), "earliest")
+    tidy(spark)
     places = windows.join(earliest, ["h1", "h2"]).where("id > lo").groupBy("id", "key").agg(F.collect_list("pos").alias("places"))
     marked = found.where("kind = 1").select("id", "key", "text").join(places, ["id", "key"])
     cut = stored(_removed(marked, window).withColumnRenamed("sha", "cut_sha"), "cut")
