@@ -148,13 +148,17 @@ def frequent_hashes(df: DataFrame, text_col: str, shingle: int, lower: bool) ->
 
 
 def profiles(df: DataFrame, id_col: str, text_col: str, shingle: int, num: int, den: int, lower: bool = True, keys=None) -> DataFrame:
-    """id, n, node, prefix (or what keys makes of a set), bits, wide for each row; node and bitmaps are null for an empty set."""
+    """id, n, node, prefix (or what keys makes of a set), bits, wide for each row; node and bitmaps are null for an empty set.
+
+    Of equal sets in one task only the first carries prefix and bitmaps, so a large group of copies gives a few rows of them.
+    """
     id_type = df.schema[id_col].dataType.simpleString()
     last = None if keys else df.sparkSession.sparkContext.broadcast(frequent_hashes(df, text_col, shingle, lower))
 
     def run(batches):
         import pyarrow as pa
 
+        seen = set()
         for b in batches:
             for at in range(0, max(1, b.num_rows), 512):
                 part = b.slice(at, 512)
@@ -163,18 +167,21 @@ def profiles(df: DataFrame, id_col: str, text_col: str, shingle: int, num: int,
                 n, node, prefix, bits, wide = [], [], [], [], []
                 for v in sets_of(texts, shingle):
                     k = len(v)
+                    own = node_of(v) if k else None
+                    first = k > 0 and own not in seen
                     n.append(k)
-                    node.append(node_of(v) if k else None)
-                    if not k:
-                        prefix.append(v.view(np.int64))
+                    node.append(own)
+                    if not first:
+                        prefix.append(np.empty(0, dtype=np.int64))
                     elif keys:
                         prefix.append(keys(v).view(np.int64))
                     else:
                         late = in_filter(v, last.value)
                         tokens = np.concatenate([v[~late] >> np.uint64(1) ^ np.uint64(1 << 63), v[late] >> np.uint64(1)])  # in signed order
                         prefix.append(tokens[: k - -(-num * k // den) + 1].view(np.int64))
-                    bits.append(bitmap(v, 2) if k else None)
-                    wide.append(bitmap(v, 8) if k else None)
+                    seen.add(own)
+                    bits.append(bitmap(v, 2) if first else None)
+                    wide.append(bitmap(v, 8) if first else None)
                 ends = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
                 flat = np.concatenate(prefix) if prefix else np.empty(0, dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(bits, pa.binary()), pa.array(wide, pa.binary())], ["id", "n", "node", "prefix", "bits", "wide"])
@@ -193,13 +200,15 @@ def whole_sets(df: DataFrame, text_col: str, shingle: int, lower: bool = True):
         def run(batches):
             import pyarrow as pa
 
+            seen = set()
             for b in batches:
                 for at in range(0, max(1, b.num_rows), 512):
                     raw = b.column(0).slice(at, 512).cast(pa.binary()).to_pylist()
                     raw = [t.lower() for t in raw] if lower else raw
                     nodes, values = [], []
                     for v in sets_of(raw, shingle):
-                        if len(v) and in_filter(np.array([node := node_of(v)]), keep.value)[0]:
+                        if len(v) and (node := node_of(v)) not in seen and in_filter(np.array([node]), keep.value)[0]:
+                            seen.add(node)
                             nodes.append(node)
                             values.append(v.view(np.int64))
                     ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
@@ -242,7 +251,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle:
     met = groups.select("a", "lo", "pos", "node", "n", "known", F.explode(homes).alias("to")).select("a", "lo", "pos", "to.b", "to.home", "node", "n", "known")
     pivots = met.groupBy("a", "b").agg(F.max(F.struct("known", "node", "n")).alias("p"), F.max("home").alias("any"), F.count("*").alias("k")).where("k > 1 and any").select("a", "b", F.col("p.node").alias("u"), F.col("p.n").alias("un"))
     star = met.join(pivots, ["a", "b"]).where(F.col("u") != F.col("node")).where(f"{den} * least(n, un) >= {num} * greatest(n, un)").select("u", F.col("node").alias("v")).distinct()
-    bitmaps = rows.where("node is not null").select("node", "n", "bits", "wide").join(groups.select("node").distinct(), "node", "left_semi")
+    bitmaps = rows.where("bits is not null").select("node", "n", "bits", "wide").join(groups.select("node").distinct(), "node", "left_semi")
     bitmaps = stored(bitmaps.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("wide").alias("wide")), "bits")
     bits, wide = bitmaps.select("node", "n", "bits"), bitmaps.select("node", "n", F.col("wide").alias("bits"))
     sets = whole_sets(df, text_col, shingle, lower)
