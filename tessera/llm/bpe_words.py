@@ -20,8 +20,8 @@ UNUSUAL = re.compile(rf"{OTHER.pattern}|<\|")
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 BYTE_SPLIT = re.compile(rf"{CONTRACTIONS}| ?[{LETTERS}]+| ?[0-9]+| ?[^\s0-9{LETTERS}]+|\s+(?!\S)|\s+")
 WORD_SPLIT = re.compile(rf"{CONTRACTIONS}|[{LETTERS}]+|[0-9]|[^\s0-9{LETTERS}]+")
-#: Words that a cache holds before it starts anew.
-KEPT = 1_000_000
+#: Bytes that a cache holds, about, before it starts anew, and what an entry takes beside its words.
+KEPT_BYTES, ENTRY_BYTES = 96 << 20, 224
 #: Longer words are not kept, and are searched with an automaton of the vocabulary.
 LONG = 300
 #: Contractions whose first two characters split apart (fixed values).
@@ -45,7 +45,7 @@ class WordIds:
     """ids(texts): for each text its ids as little-endian unsigned 32-bit bytes, as the library gives them."""
 
     def __init__(self, path: str):
-        self.lib, self.cache = library(path), {}
+        self.lib, self.cache, self.held = library(path), {}, 0
 
     def whole(self, text: str) -> bytes:
         import numpy as np
@@ -65,6 +65,7 @@ class WordIds:
                 self.cache.update(zip(part, [raw[a:b] for a, b in zip(at, at[1:])]))
             else:
                 self.cache.update((w, self.whole(w)) for w in part)
+            self.held += len(part) * ENTRY_BYTES + sum(map(len, part)) + 4 * len(ids)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = []
@@ -78,10 +79,15 @@ class WordIds:
                 out.append(b"".join(map(get, words)))
             except KeyError:
                 cache = self.cache
-                if len(cache) > KEPT:
+                if self.held > KEPT_BYTES:
                     cache.clear()
-                self._learn(list({w for w in words if w not in cache}))
+                    self.held = 0
+                new = list({w for w in words if w not in cache})
+                self._learn(new)
                 out.append(b"".join(map(get, words)))
+                for w in new:
+                    if len(w) > LONG:
+                        del cache[w]
         return out
 
 
@@ -126,6 +132,7 @@ class PrefixCounts:
             a, b = m.split(" ") if isinstance(m, str) else m
             self.rank[_bytes_of(a, back), _bytes_of(b, back)] = k
         self.lib, self.cache, self.apart, self.last_long, self._automaton = library(path), {}, {}, (None, ()), None
+        self.held = 0
         self.splitter = self.lib.pre_tokenizer
 
     def split(self, text: str) -> list[str]:
@@ -158,7 +165,7 @@ class PrefixCounts:
         key = (a, b)
         known = self.apart.get(key)
         if known is None:
-            if len(self.apart) > KEPT:
+            if len(self.apart) * ENTRY_BYTES > KEPT_BYTES:
                 self.apart.clear()
             known = self.apart[key] = self.merged(a + b) == ([a, b] if a else [b])
         return known
@@ -172,8 +179,9 @@ class PrefixCounts:
             return (1,) * len(word.encode("utf-8"))
         if self.last_long[0] == word:
             return self.last_long[1]
-        if len(self.cache) > KEPT:
+        if self.held > KEPT_BYTES:
             self.cache.clear()
+            self.held = 0
         b = word.encode("utf-8")
         vocab, apart = self.vocab, self.apart
         counts, last = [0], [b""]
@@ -201,6 +209,7 @@ class PrefixCounts:
             else:
                 raise ValueError("a byte has no token")
         out = self.cache[word] = tuple(counts[1:])
+        self.held += ENTRY_BYTES + 10 * len(b)
         return out
 
     def _entries(self, b: bytes):
@@ -330,7 +339,7 @@ class _Totals(dict):
         return counts.totals
 
     def __missing__(self, word: str) -> int:
-        if len(self) > KEPT:
+        if len(self) * ENTRY_BYTES // 2 > KEPT_BYTES:
             self.clear()
         n = self.counts.word(word)[-1]
         if len(word) <= LONG:

@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import op1_warc, op2_fingerprints, op3_quality, op4_repeated_phrases, op5_mixing, op6_top_k, op7_pii, op8_packing, op9_token_counts, op10_jaccard_join
-from tessera.llm.bpe_words import PrefixCounts
+from tessera.llm import bpe_words, op1_warc, op2_fingerprints, op3_quality, op4_repeated_phrases, op5_mixing, op6_top_k, op7_pii, op8_packing, op9_token_counts, op10_jaccard_join
+from tessera.llm.bpe_words import PrefixCounts, WordIds
 from tessera.llm.common import IdShards, shared_dir
 from tessera.llm.word_arrays import words_of
 
@@ -193,3 +193,17 @@ def test_token_counts_never_encode_and_serve_all_alphabets():
         assert [table.at(k) for k in range(len(t) + 1)] == sizes
         for budget in (0, 1, 5, 20):
             assert table.longest(budget) == max(k for k, s in enumerate(sizes) if s <= budget)
+
+
+def test_word_caches_hold_what_their_bound_says_and_change_nothing(monkeypatch):
+    tokenizers = pytest.importorskip("public_tokenizers")
+    monkeypatch.setattr(bpe_words, "KEPT_BYTES", 20_000)
+    rng = random.Random(3)
+    texts = [say(rng, 90) + " " + "z" * rng.choice([0, 250, 5000]) for _ in range(60)] * 2
+    words, counts = WordIds(tokenizers.path("word_bpe_49k.json")), PrefixCounts(tokenizers.path("byte_bpe_50k.json"))
+    for t in texts:
+        assert words.ids([t])[0] == words.whole(t)
+        assert counts.table(t).total == len(counts.lib.encode(t, add_special_tokens=False).ids)
+        for cache, held in ((words.cache, words.held), (counts.cache, counts.held)):
+            assert all(len(w) <= bpe_words.LONG for w in cache)
+            assert len(cache) * bpe_words.ENTRY_BYTES <= held <= 20_000 + 90 * 400 + 4 * 5000 + 5000
