@@ -16,6 +16,7 @@ OPERATORS = {
     "op8_packing": "op8_packing",
     "op9_token_counts": "op9_token_counts",
     "op10_jaccard_join": "op10_jaccard_join",
+    "op11_line_runs": "op11_line_runs",
     "op12_token_alignment": "op12_token_alignment",
     "op13_periodic_runs": "op13_periodic_runs",
 }
