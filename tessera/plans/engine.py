@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera import graph
 from tessera.hw import HardwareConfig
 from tessera.operators import estimators, kernels, searches, slices, spectral
-from tessera.plans import network_queries, runner
+from tessera.plans import network_queries, runner, whole_network
 from tessera.plans.catalog import GRAPH, LABELS, PLACED, RESULTS, Dialect
 from tessera.plans.network_queries import hardware
 from tessera.sources import results
@@ -217,6 +217,7 @@ QUERIES = {
     "c8_expected_errors": c8_expected_errors,
     "q2_estimates": q2_estimates,
     "k5_summary_round_trip": k5_summary_round_trip,
+    **whole_network.QUERIES,
 }
 
 
@@ -245,4 +246,4 @@ def oracle() -> dict[str, str]:
     sql["c10_recursive_parts"] = "SELECT nets, range AS fours, CAST(1 AS BIGINT) AS cores, CAST(4 AS BIGINT) AS neurons FROM range(4) CROSS JOIN (VALUES ('three_step_recursive'), ('three_step_hyperedges')) v(nets)"
     sql["k7_evaluation_round_trip"] = f"WITH {RESULTS} SELECT mapper, input_id, metric, value FROM results"
     sql["c8_expected_errors"] = "WITH v(a, b) AS (VALUES (1, 4), (4, 12), (12, 24)) SELECT k, round(CAST((k - a) * (b - k) AS DOUBLE) / (b - a), 9) AS expected FROM (SELECT range AS k FROM range(1, 24)) t JOIN v ON k >= a AND k < b UNION ALL SELECT 24, 0.0"
-    return {k: d.text(v) for k, v in sql.items()}
+    return {k: d.text(v) for k, v in sql.items()} | whole_network.oracle()
