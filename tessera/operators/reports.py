@@ -15,9 +15,21 @@ def column_name(metric: str) -> str:
     return re.sub(r"\W+", "_", metric).strip("_").lower()
 
 
-def metric_names(long: DataFrame, most: int = 1000) -> list[str]:
-    """The metrics of all results, sorted; there are as many as columns of a table, so they may come to the driver."""
-    return [r[0] for r in long.select("metric").distinct().orderBy("metric").limit(most).collect()]
+#: Columns that a table of results may have.
+MOST_COLUMNS = 1000
+
+
+def distinct_names(long: DataFrame, column: str, most: int = MOST_COLUMNS) -> list[str]:
+    """The values of a column that become columns, sorted; an error where there are more than a table may have."""
+    names = [r[0] for r in long.select(column).distinct().limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} values of {column} for columns")
+    return sorted(n for n in names if n is not None)
+
+
+def metric_names(long: DataFrame, most: int = MOST_COLUMNS) -> list[str]:
+    """The metrics of all results, sorted; an error where they are more than columns may be."""
+    return distinct_names(long, "metric", most)
 
 
 def matching(results: DataFrame, metric: str | None = None, input_id: str | None = None, mappers: list[str] | None = None) -> DataFrame:
@@ -93,7 +105,7 @@ def report_lines(long: DataFrame, kind: DataFrame, metrics: list[str] | None = N
 
 def bars(long: DataFrame, by: str = "input_id", order: str = "value", mappers: list[str] | None = None) -> DataFrame:
     """A row for each input (or other grouping), a column for each mapper with its last value by ``order``; MISSING_BAR where none."""
-    mappers = [r[0] for r in long.select("mapper").distinct().orderBy("mapper").limit(1000).collect()] if mappers is None else mappers
+    mappers = distinct_names(long, "mapper") if mappers is None else mappers
     out = long.groupBy(by).pivot("mapper", mappers).agg(F.max_by("value", order))
     return out.select(by, *(F.coalesce(F.col(f"`{m}`"), F.lit(MISSING_BAR)).alias(column_name(m)) for m in mappers))
 

@@ -139,20 +139,20 @@ def catalog(d: Dialect) -> dict[str, str]:
     q["x4_against_baseline"] = f"WITH {RESULTS}, a AS (SELECT input_id, metric, mapper, avg(value) AS v FROM results GROUP BY input_id, metric, mapper), b AS (SELECT input_id, metric, v FROM a WHERE mapper = 'mapper0') SELECT a.input_id, a.metric, a.mapper, round(CASE WHEN a.metric = 'Hardware Size' THEN a.v / b.v ELSE a.v - b.v END, 9) AS relative FROM a JOIN b ON b.input_id = a.input_id AND b.metric = a.metric"
     q["x7_unpivot"] = f"WITH {RESULTS}, w AS (SELECT mapper, input_id, max(CASE WHEN metric = 'Inconsistencies' THEN value END) AS a, max(CASE WHEN metric = 'Hardware Size' THEN value END) AS b FROM results GROUP BY mapper, input_id) SELECT mapper, input_id, 'Inconsistencies' AS metric, a AS value FROM w UNION ALL SELECT mapper, input_id, 'Hardware Size', b FROM w"
     q["x8_pivot"] = f"WITH {RESULTS} SELECT mapper, input_id, coalesce(max(CASE WHEN metric = 'Hardware Size' THEN CAST(CAST(value AS BIGINT) AS STRING) END), '') AS hardware_size, coalesce(max(CASE WHEN metric = 'Inconsistencies' THEN CAST(CAST(value AS BIGINT) AS STRING) END), '') AS inconsistencies FROM results GROUP BY mapper, input_id"
-    q["x9_report"] = f"WITH {RESULTS} SELECT input_id, mapper, coalesce(round(avg(CASE WHEN metric = 'Hardware Size' AND input_id <> 'net3' THEN value END), 2), -1.0) AS hardware_size FROM results GROUP BY input_id, mapper"
-    q["x10_bars"] = f"WITH {RESULTS} SELECT input_id, coalesce(max(CASE WHEN mapper = 'mapper0' THEN value END), 0) AS mapper0, coalesce(max(CASE WHEN mapper = 'mapper1' AND value > 990 THEN value END), 0) AS mapper1 FROM results GROUP BY input_id"
+    q["x9_report"] = f"WITH {RESULTS} SELECT input_id, mapper, coalesce(round(avg(CASE WHEN metric = 'Hardware Size' THEN value END), 2), -1.0) AS hardware_size, coalesce(round(avg(CASE WHEN metric = 'Inconsistencies' THEN value END), 2), -1.0) AS inconsistencies FROM results GROUP BY input_id, mapper"
+    q["x10_bars"] = f"WITH {RESULTS} SELECT input_id, coalesce(max(CASE WHEN mapper = 'mapper0' THEN value END), 0) AS mapper0, coalesce(max(CASE WHEN mapper = 'mapper1' THEN value END), 0) AS mapper1, coalesce(max(CASE WHEN mapper = 'mapper2' THEN value END), 0) AS mapper2 FROM results GROUP BY input_id"
     q["x11_network_key"] = "SELECT network, count(*) AS k FROM (SELECT concat('brand:', p_brand, ', size:', CAST(p_size AS STRING)) AS network FROM part) t GROUP BY network"
     q["x13_distinct_hardware"] = f"SELECT DISTINCT CAST(i % 3 + 2 AS BIGINT) AS r, CAST(i % 2 + 1 AS BIGINT) AS l, concat('R', CAST(i % 3 + 2 AS STRING), '_L', CAST(i % 2 + 1 AS STRING)) AS hw FROM {d.range(60, 'i')} a"
     # faults, trees with neurons, times, orders
     q["p3_shape_violations"] = f"WITH {GRAPH}, k AS (SELECT count(*) FILTER (id % 7 = 3) + count(*) FILTER (id % 7 = 5) AS off, count(*) FILTER (id % 11 = 1) AS new, count(*) FILTER (id % 5 = 2) AS cut FROM neurons) SELECT 'neuron not placed once' AS rule, off AS violations FROM k UNION ALL SELECT 'placed neuron unknown', new FROM k UNION ALL SELECT 'slices not one a distance', cut FROM k UNION ALL SELECT 'null in placement', new FROM k UNION ALL SELECT 'null in slices', 0"
     q["g2_ground_truth"] = f"SELECT count(*) AS m, CAST(0 AS BIGINT) AS inconsistencies FROM ({q['g2_feasible_slices']}) e"
-    q["j8_hierarchy_neurons"] = f"WITH {LABELS}, {TREE} SELECT CAST(t.cluster AS BIGINT) AS cluster, (SELECT count(*) FROM tree u WHERE u.parent = t.cluster) AS children, (SELECT count(*) FROM labels_ WHERE cluster = t.cluster AND cluster < 4) AS neurons, CAST((SELECT coalesce(sum(neuron), 0) FROM labels_ WHERE cluster = t.cluster AND cluster < 4) AS BIGINT) AS neuron_sum FROM tree t"
+    q["j8_hierarchy_neurons"] = f"WITH {LABELS}, {TREE} SELECT CAST(t.cluster AS BIGINT) AS cluster, (SELECT count(*) FROM tree u WHERE u.parent = t.cluster) AS children, (SELECT count(*) FROM labels_ WHERE cluster % 4 = t.cluster) AS neurons, CAST((SELECT coalesce(sum(neuron), 0) FROM labels_ WHERE cluster % 4 = t.cluster) AS BIGINT) AS neuron_sum FROM tree t"
     q["a22_mean_times"] = f"WITH {RESULTS} SELECT mapper, round(avg(value), 9) AS seconds FROM results WHERE NOT failed AND metric = 'Hardware Size' GROUP BY mapper"
     q["w7_random_slices"] = f"WITH {GRAPH} SELECT id AS neuron, d AS distance, {d.uniform(42, 'id', 'd')} % CAST(least(pow(2, d), n) AS BIGINT) AS slice FROM neurons CROSS JOIN hw CROSS JOIN (SELECT range + 1 AS d FROM range(3)) r"
     q["w10_report_order"] = f"WITH {RESULTS}, m AS (SELECT input_id, mapper, round(avg(value) FILTER (metric = 'Hardware Size'), 2) AS h, round(avg(value) FILTER (metric = 'Inconsistencies'), 2) AS i FROM results GROUP BY ALL) SELECT row_number() OVER (ORDER BY input_id, mapper) - 1 AS line, mapper, input_id, coalesce(h, -1.0) AS hardware_size, coalesce(i, -1.0) AS inconsistencies FROM m"
     x = "FROM (SELECT neuron, cluster, row_number() OVER (PARTITION BY cluster ORDER BY neuron) - 1 AS x, count(*) OVER (PARTITION BY cluster) AS size FROM labels_)"
     q["h5_legacy_slices"] = f"WITH {GRAPH}, {LABELS}, y AS (SELECT * {x}), h AS (SELECT tgt, CAST(s.cluster <> t.cluster AS INT) + CAST(s.cluster DIV 5 <> t.cluster DIV 5 AS INT) AS d, s.x, s.size FROM edges JOIN y s ON s.neuron = src JOIN y t ON t.neuron = tgt), c AS (SELECT tgt, d, x * CAST(pow(2, d) AS BIGINT) DIV size AS k, count(*) AS hits FROM h WHERE d < 2 GROUP BY ALL), b AS (SELECT tgt, d, k FROM (SELECT *, row_number() OVER (PARTITION BY tgt, d ORDER BY hits DESC, k) AS r FROM c) WHERE r = 1) SELECT id AS neuron, range AS distance, CAST(coalesce(k, 0) AS BIGINT) AS slice FROM neurons CROSS JOIN range(2) LEFT JOIN b ON tgt = id AND d = range"
-    q["x3_truth_run"] = "SELECT 'truth' AS mapper, metric, raw, relative FROM (VALUES ('Inconsistencies', 0.0::DOUBLE, 0.0::DOUBLE), ('Hardware Size', 60.0, 1.0), ('Inconsistency Fraction', 0.0, 1.0)) v(metric, raw, relative)"
+    q["x3_truth_run"] = "SELECT 'truth' AS mapper, metric, raw, relative FROM (VALUES ('Inconsistencies', 0.0::DOUBLE, 0.0::DOUBLE), ('Hardware Size', 60.0, 1.0), ('Inconsistencies (Fraction)', 0.0, 1.0)) v(metric, raw, relative)"
     rank = f"SELECT neuron, slot DIV 15 AS core, slot % 15 AS local FROM (SELECT range AS slot, row_number() OVER (ORDER BY {d.uniform(42, 'range')}, range) - 1 AS neuron FROM range(60))"
     nets = f"SELECT 'ER_60n_p0.1' AS input_id, * FROM ({q['g1_erdos_renyi']}) UNION ALL SELECT 'Feasible_R=2_l=2_N=15_p=0.5_seed=42', * FROM ({q['g2_feasible_slices']})"
     q["x3_random_run"] = f"WITH r AS ({rank}), e AS ({nets}), apart AS (SELECT input_id, tgt, s.local AS x, {m.distance_sql('s.core', 't.core')} AS dist FROM e JOIN r s ON s.neuron = src JOIN r t ON t.neuron = tgt), v AS (SELECT input_id, dist = 0 OR {m.slice_sql('dist', 'x')} = {d.uniform(42, 'tgt', 'dist')} % {m.slices_sql('dist')} AS valid FROM apart) SELECT input_id, 'Inconsistencies' AS metric, CAST(count_if(NOT valid) AS DOUBLE) AS raw FROM v GROUP BY input_id UNION ALL SELECT input_id, 'Valid Edges', CAST(count_if(valid) AS DOUBLE) FROM v GROUP BY input_id"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera import graph
 from tessera.hw import HardwareConfig
-from tessera.operators import estimators, kernels, searches, slices, spectral
+from tessera.operators import checks, estimators, kernels, searches, slices, spectral
 from tessera.plans import network_queries, runner, whole_network
 from tessera.plans.catalog import GRAPH, LABELS, PLACED, RESULTS, Dialect
 from tessera.plans.network_queries import hardware
@@ -47,8 +47,8 @@ def w2_delta_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    neurons, _, hw, placement, placed = _spread(spark, sf_dir)
-    return slices.violations(placement, slices.optimal_slices(neurons, placed, hw), hw)
+    """Every rule of a mapping over rows that break some of each."""
+    return checks.whole(*network_queries.faulty(spark, sf_dir))
 
 
 def w5_core_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,7 +234,21 @@ def oracle() -> dict[str, str]:
             SELECT m, CAST(e AS BIGINT) AS valid_edges, CAST(m - e AS BIGINT) AS inconsistencies, CAST((m - e) AS DOUBLE) / m AS fraction, 100.0::DOUBLE * (m - e) / m AS percent,
             round(e * ln((e + 1)::DOUBLE / (k * n + 2)) + (m - e) * ln(1e-10), 4) AS log_likelihood, 64 * n AS hardware_size,
             CAST(64 * n * (n + {n8}) - e AS BIGINT) AS unused_connections FROM c CROSS JOIN k CROSS JOIN hw""",
-        "p6_violations": "SELECT rule, CAST(0 AS BIGINT) AS violations FROM (VALUES ('core out of range'), ('local out of range'), ('core over capacity'), ('slot shared'), ('slice out of range')) v(rule)",
+        "p6_violations": f"""WITH {PLACED}, bad AS (SELECT neuron, core, local FROM place WHERE neuron % 7 <> 3 UNION ALL SELECT neuron, core, local FROM place WHERE neuron % 7 = 5
+              UNION ALL SELECT neuron + {last} + 1, NULL, local FROM place WHERE neuron % 11 = 1),
+            chosen AS (SELECT * FROM slices WHERE NOT (neuron % 5 = 2 AND distance = 2)), times AS (SELECT neuron, count(*) AS k FROM bad GROUP BY neuron),
+            own AS (SELECT id, coalesce(k, 0) AS k FROM neurons LEFT JOIN times ON neuron = id), grid AS (SELECT id, count(neuron) AS k FROM neurons LEFT JOIN chosen ON neuron = id GROUP BY id)
+            SELECT 'more neurons than slots' AS rule, CAST(count(*) > 64 * any_value(n) AS BIGINT) AS violations FROM neurons CROSS JOIN hw
+            UNION ALL SELECT 'neuron not placed once', (SELECT count(*) FROM own WHERE k <> 1) + (SELECT count(*) FROM times WHERE k <> 1 AND neuron NOT IN (SELECT id FROM neurons))
+            UNION ALL SELECT 'placed neuron unknown', (SELECT count(*) FROM times WHERE neuron NOT IN (SELECT id FROM neurons))
+            UNION ALL SELECT 'slices not one a distance', (SELECT count(*) FROM grid WHERE k <> 3)
+            UNION ALL SELECT 'null in placement', (SELECT count(*) FROM bad WHERE neuron IS NULL OR core IS NULL OR local IS NULL)
+            UNION ALL SELECT 'null in slices', (SELECT count(*) FROM chosen WHERE neuron IS NULL OR distance IS NULL OR slice IS NULL)
+            UNION ALL SELECT 'core out of range', (SELECT count(*) FROM bad WHERE core < 0 OR core >= 64)
+            UNION ALL SELECT 'local out of range', (SELECT count(*) FROM bad CROSS JOIN hw WHERE local < 0 OR local >= n)
+            UNION ALL SELECT 'core over capacity', (SELECT count(*) FROM (SELECT core, count(*) AS k FROM bad GROUP BY core) c CROSS JOIN hw WHERE k > n)
+            UNION ALL SELECT 'slot shared', (SELECT count(*) FROM (SELECT core, local, count(*) AS k FROM bad GROUP BY core, local) c WHERE k > 1)
+            UNION ALL SELECT 'slice out of range', (SELECT count(*) FROM chosen CROSS JOIN hw WHERE slice < 0 OR slice >= least(pow(2, distance), n))""",
         "w5_core_packing": f"WITH {GRAPH}, {LABELS} SELECT neuron, CAST(k DIV n AS BIGINT) AS core, CAST(k % n AS BIGINT) AS local FROM (SELECT neuron, row_number() OVER (ORDER BY truth, neuron) - 1 AS k FROM labels_) t CROSS JOIN hw",
         "w7_random_placement": f"WITH {GRAPH}, slots AS (SELECT range AS slot, row_number() OVER (ORDER BY {d.uniform(42, 'range')}, range) AS k FROM range(64 * (SELECT n FROM hw))) SELECT id AS neuron, slot DIV n AS core, slot % n AS local FROM (SELECT id, row_number() OVER (ORDER BY id) AS k FROM neurons) a JOIN slots USING (k) CROSS JOIN hw",
         "k5_summary_round_trip": "SELECT concat('mapper', CAST(o_orderkey % 3 AS STRING)) AS mapper, CAST(o_orderkey AS STRING) AS input_id, CAST(o_orderkey % 1000 AS DOUBLE) AS value, CASE WHEN o_orderkey % 300 = 0 THEN 'failed' END AS error FROM orders",

@@ -19,6 +19,7 @@ from tessera import graph
 from tessera.hw import HardwareConfig
 from tessera.operators import checks, kernels, reports, searches
 from tessera.sources.networks import Network
+from tessera.tables import Steps
 
 TIME = "Time (s)"
 
@@ -49,15 +50,15 @@ def _of_missed(scale: float):
     return lambda hw: F.when(F.col("m") > 0, scale * (F.col("m") - F.col("kept")) / F.col("m")).otherwise(0.0)
 
 
-#: The measures by name (fixed values: the names that results are compared at).
+#: The measures by name (fixed values: the names that results are compared at).  The log-likelihood is negated, less is better.
 METRICS = {
     m.name: m
     for m in (
         Metric("Valid Edges", lambda hw: F.col("kept").cast("double")),
         Metric("Inconsistencies", lambda hw: (F.col("m") - F.col("kept")).cast("double")),
-        Metric("Inconsistency Fraction", _of_missed(1.0), "ratio", 1.0),
-        Metric("Inconsistency Percentage", _of_missed(100.0), "ratio", 100.0),
-        Metric("Negative Log Likelihood", _likelihood),
+        Metric("Inconsistencies (Fraction)", _of_missed(1.0), "ratio", 1.0),
+        Metric("Inconsistencies (%)", _of_missed(100.0), "ratio", 100.0),
+        Metric("Log-Likelihood", _likelihood),
         Metric("Hardware Size", lambda hw: F.lit(float(hw.slots)), "ratio"),
         Metric("Unused Connections", lambda hw: (F.lit(hw.total_connections()) - F.col("kept")).cast("double"), "ratio"),
     )
@@ -109,24 +110,30 @@ def known(networks: list[Network], hw: HardwareConfig, seed: int) -> tuple[DataF
 
 
 def mapped_by(mapper: str, networks: list[Network], hw: HardwareConfig, seed: int = 42) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """(placement, slices or None for the best, seconds by graph_id or None) of a mapper by name: ``random``, ``truth``, and the methods
-    of ``kernels`` and ``searches`` that take hardware as given."""
+    """(placement, slices or None for the best, seconds and error by graph_id or None) of a mapper by name: ``random``, ``truth``, and the
+    methods of ``kernels`` and ``searches`` that take hardware as given.  A mapper runs once for each network: what it gives is
+    written, and its seconds are of that run."""
     if mapper in ("random", "truth"):
         return *(drawn if mapper == "random" else known)(networks, hw, seed), None
     edges, sizes = together(networks)
 
     def run(pdf):
-        began = time.perf_counter()
-        n, src, tgt = kernels.unpacked(pdf)
-        if n > hw.slots:
-            raise ValueError("Hardware overflow")
-        core, local = METHODS[mapper](n, src, tgt, hw, seed)
-        return pd.DataFrame({"graph_id": pdf["graph_id"].iloc[0], "neuron": range(n), "core": core, "local": local, "seconds": time.perf_counter() - began})
+        began, own = time.perf_counter(), pdf["graph_id"].iloc[0]
+        try:
+            n, src, tgt = kernels.unpacked(pdf)
+            if n > hw.slots:
+                raise ValueError("Hardware overflow")
+            core, local = METHODS[mapper](n, src, tgt, hw, seed)
+        except Exception as e:  # one network's failure is a row of its own
+            return pd.DataFrame({"graph_id": [own], "neuron": [None], "core": [None], "local": [None], "seconds": [None], "error": [str(e) or type(e).__name__]})
+        return pd.DataFrame({"graph_id": own, "neuron": range(n), "core": core, "local": local, "seconds": time.perf_counter() - began, "error": None})
 
     if mapper not in METHODS:
         raise ValueError(f"no mapper {mapper}")
-    found = kernels.as_rows(edges, sizes).groupBy("graph_id").applyInPandas(run, "graph_id string, neuron long, core long, local long, seconds double")
-    return found.drop("seconds"), None, found.groupBy("graph_id").agg(F.max("seconds").alias("seconds"))
+    found = kernels.as_rows(edges, sizes).groupBy("graph_id").applyInPandas(run, "graph_id string, neuron long, core long, local long, seconds double, error string")
+    found = Steps(edges.sparkSession).keep(found, f"placements-{mapper}")
+    told = found.groupBy("graph_id").agg(F.max("seconds").alias("seconds"), F.max("error").alias("error"))
+    return found.where("neuron is not null").drop("seconds", "error"), None, told
 
 
 def _greedy(n, src, tgt, hw, seed):
@@ -165,7 +172,7 @@ METHODS: dict[str, Callable] = {
 class Bundle:
     """What a run of a mapper is held against: metrics by name, and the mapper of the baseline (none: relative values are MISSING)."""
 
-    metrics: tuple[str, ...] = ("Inconsistencies", "Inconsistency Fraction", "Hardware Size", "Unused Connections")
+    metrics: tuple[str, ...] = ("Inconsistencies", "Inconsistencies (Fraction)", "Hardware Size", "Unused Connections")
     baseline: str | None = "random"
 
 
@@ -177,7 +184,8 @@ def grid(inputs: list[str], mappers: list[str], bundles: list[str], spark: Spark
 
 
 def evaluated(networks: list[Network], mapper: str, bundle: Bundle, seed: int = 42, hook: Callable[[DataFrame], None] | None = None) -> DataFrame:
-    """mapper, input_id, metric, raw, relative of one mapper on networks of any hardware.
+    """mapper, input_id, metric, raw, relative, error of one mapper on networks of any hardware; a network on which the mapper fails has
+    one row, with the error and without a metric, and the others have theirs.
 
     A hook gets the violations of every mapping first, as a frame; what it does with them is its own affair.
     """
@@ -187,30 +195,33 @@ def evaluated(networks: list[Network], mapper: str, bundle: Bundle, seed: int =
     parts = []
     for hw, own in by.items():
         edges, sizes = together(own)
-        placement, chosen, seconds = mapped_by(mapper, own, hw, seed)
+        placement, chosen, told = mapped_by(mapper, own, hw, seed)
         if hook is not None:
             for net in own:
                 of = placement.where(F.col("graph_id") == net.id)
                 best = chosen.where(F.col("graph_id") == net.id) if chosen is not None else None
                 neurons = placement.sparkSession.range(net.n)
                 hook(checks.whole(neurons, of, best if best is not None else graph.random_slices(neurons, hw).select("neuron", "distance", "slice"), hw))
-        out = scored(edges, sizes, placement, chosen, hw)
+        fine = sizes if told is None else sizes.join(told.where("error is null"), "graph_id", "left_semi")
+        out = scored(edges, fine, placement, chosen, hw)
         if bundle.baseline is not None:
-            b_placement, b_chosen, _ = mapped_by(bundle.baseline, own, hw, seed)
+            b_placement, b_chosen, _ = (placement, chosen, told) if bundle.baseline == mapper else mapped_by(bundle.baseline, own, hw, seed)
             base = scored(edges, sizes, b_placement, b_chosen, hw)
         metrics = [METRICS[m] for m in bundle.metrics]
         values = lambda df, name: df.select("graph_id", *(m.value(hw).alias(f"{name}{k}") for k, m in enumerate(metrics)))
         both = values(out, "own")
         both = both.join(values(base, "base"), "graph_id") if bundle.baseline is not None else both
         rows = [F.struct(F.lit(m.name).alias("metric"), F.col(f"own{k}").alias("raw"), (m.against(F.col(f"own{k}"), F.col(f"base{k}")) if bundle.baseline is not None else F.lit(reports.MISSING)).cast("double").alias("relative")) for k, m in enumerate(metrics)]
-        parts.append(both.select("graph_id", F.explode(F.array(*rows)).alias("x")).select(F.lit(mapper).alias("mapper"), F.col("graph_id").alias("input_id"), "x.metric", "x.raw", "x.relative"))
-        if seconds is not None:
-            parts.append(seconds.select(F.lit(mapper).alias("mapper"), F.col("graph_id").alias("input_id"), F.lit(TIME).alias("metric"), F.col("seconds").alias("raw"), F.lit(None).cast("double").alias("relative")))
+        none = F.lit(None).cast("string").alias("error")
+        parts.append(both.select("graph_id", F.explode(F.array(*rows)).alias("x")).select(F.lit(mapper).alias("mapper"), F.col("graph_id").alias("input_id"), "x.metric", "x.raw", "x.relative", none))
+        if told is not None:
+            time_ = F.when(F.col("error").isNull(), F.lit(TIME)).alias("metric")
+            parts.append(told.select(F.lit(mapper).alias("mapper"), F.col("graph_id").alias("input_id"), time_, F.col("seconds").alias("raw"), F.lit(None).cast("double").alias("relative"), "error"))
     return reduce(DataFrame.unionByName, parts)
 
 
 def run(networks: list[Network], mappers: list[str], bundle: Bundle = Bundle(), seed: int = 42) -> DataFrame:
-    """The long frame of an experiment: every mapper on every network.  A mapper that fails fails its rows' plan alone, when it is read."""
+    """The long frame of an experiment: every mapper on every network.  Failures are rows with an error."""
     return reduce(DataFrame.unionByName, (evaluated(networks, m, bundle, seed) for m in mappers))
 
 
@@ -218,9 +229,9 @@ def summary(long: DataFrame, networks: list[Network]) -> DataFrame:
     """mapper, input_id, metadata, metrics, raw_metrics, error: a row a run, as ``results.write_summary`` takes it."""
     spark = long.sparkSession
     about = spark.createDataFrame([(n.id, n.descriptions) for n in networks], "input_id string, metadata map<string,string>")
-    entry = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("metric", c)))))
-    rows = long.groupBy("mapper", "input_id").agg(entry("relative").alias("metrics"), entry("raw").alias("raw_metrics"))
-    return rows.join(about, "input_id").select("mapper", "input_id", "metadata", "metrics", "raw_metrics", F.lit(None).cast("string").alias("error"))
+    entry = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull() & F.col("metric").isNotNull(), F.struct("metric", c)))))
+    rows = long.groupBy("mapper", "input_id").agg(entry("relative").alias("metrics"), entry("raw").alias("raw_metrics"), F.max("error").alias("error"))
+    return rows.join(about, "input_id").select("mapper", "input_id", "metadata", "metrics", "raw_metrics", "error")
 
 
 def bundle_of_tasks(tasks: list[tuple[list[Network], list[str], Bundle]], consumers: list[Callable[[DataFrame], None]] = (), seed: int = 42) -> tuple[DataFrame, float]:

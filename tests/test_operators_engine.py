@@ -253,20 +253,20 @@ def test_baseline_forms(spark):
     one = spark.createDataFrame([(3.0, 0.0), (3.0, 2.0)], "own double, base double")
     form = lambda m: [r.x for r in one.select(runner.METRICS[m].against(F.col("own"), F.col("base")).alias("x")).collect()]
     assert form("Inconsistencies") == [3.0, 1.0] and form("Hardware Size") == [math.inf, 1.5]
-    assert form("Inconsistency Fraction") == [1.0, 1.5] and form("Inconsistency Percentage") == [100.0, 1.5]
+    assert form("Inconsistencies (Fraction)") == [1.0, 1.5] and form("Inconsistencies (%)") == [100.0, 1.5]
 
 
 def test_experiment(spark, tmp_path):
     hw = HardwareConfig(2, 10, 1, 2)
     nets = [networks.network(spark, "feasible", hw, p=0.3), networks.network(spark, "wta", HardwareConfig(2, 6, 1, 2), n=12, p=0.9), networks.Network("empty", 5, networks.complete(spark, 2).limit(0), hw)]
     told = []
-    bundle = runner.Bundle(("Inconsistencies", "Hardware Size", "Negative Log Likelihood"), "random")
+    bundle = runner.Bundle(("Inconsistencies", "Hardware Size", "Log-Likelihood"), "random")
     long, seconds = runner.bundle_of_tasks([(nets, ["truth", "greedy", "three_step_recursive"], bundle)], [lambda df: told.append(df.count())])
     rows = {(r.mapper, r.input_id, r.metric): r for r in long.collect()}
     assert seconds > 0 and told == [len(rows)] == [3 * 3 * 3 + 2 * 3]
     assert rows["truth", nets[0].id, "Inconsistencies"].raw == 0 and rows["truth", nets[0].id, "Inconsistencies"].relative < 0
     assert rows["truth", "WTA_12n_p0.9", "Inconsistencies"].relative == 0  # no truth is known: the random placement stands in
-    assert rows["greedy", nets[0].id, "Negative Log Likelihood"].relative <= 0
+    assert rows["greedy", nets[0].id, "Log-Likelihood"].relative <= 0
     assert rows["greedy", "empty", "Inconsistencies"].raw == 0 and rows["greedy", nets[0].id, runner.TIME].raw > 0
     assert reports.mean_times(long.withColumnRenamed("raw", "value")).count() == 2
     folder = results.run_folder(spark, f"file://{tmp_path}")
@@ -281,3 +281,38 @@ def test_experiment(spark, tmp_path):
     assert told[-1] == "valid" and unmet.where("metric = 'Inconsistencies'").first().relative == reports.MISSING
     with pytest.raises(ValueError):
         runner.mapped_by("nothing", nets[:1], hw)
+
+
+def test_more_columns_than_a_table_may_have_are_an_error(spark):
+    from tessera.operators import reports
+
+    long = spark.range(1001).select(F.lit("m").alias("mapper"), F.lit("n").alias("input_id"), F.concat(F.lit("x"), "id").alias("metric"), F.lit(1.0).alias("value"))
+    with pytest.raises(ValueError, match="more than 1000"):
+        reports.metric_names(long)
+    assert len(reports.metric_names(long.limit(1000))) == 1000
+    with pytest.raises(ValueError, match="more than 1000"):
+        reports.bars(long.withColumn("mapper", F.col("metric")))
+
+
+def test_a_mapper_runs_once_a_network_and_failures_are_rows(spark, tmp_path, monkeypatch):
+    hw = HardwareConfig(2, 6, 1, 2)
+    nets = [networks.Network(f"net{k}", n, networks.complete(spark, n), hw) for k, n in enumerate((5, 8, 12))]
+    calls = str(tmp_path)
+
+    def counted(n, src, tgt, hw, seed):
+        import tempfile
+
+        tempfile.mkstemp(dir=calls)
+        if n == 8:
+            raise RuntimeError("eight is too many")
+        return [k // hw.n for k in range(n)], [k % hw.n for k in range(n)]
+
+    monkeypatch.setitem(runner.METHODS, "counted", counted)
+    long = runner.run(nets, ["counted"], runner.Bundle(("Inconsistencies", "Hardware Size"), None))
+    rows = {(r.input_id, r.metric): r for r in long.collect()}
+    assert rows["net1", None].error == "eight is too many" and rows["net2", "Hardware Size"].error is None
+    assert rows["net0", "Inconsistencies"].raw == 0 and rows["net0", runner.TIME].raw >= 0 and len(rows) == 7
+    summary = {r.input_id: r for r in runner.summary(long, nets).collect()}
+    assert summary["net0"].error is None and summary["net1"].error == "eight is too many"
+    long.count()
+    assert len(list(tmp_path.iterdir())) == 3
