@@ -95,3 +95,20 @@ def test_counts_follow_changes_and_undo(spark):
     while counts.undo():
         pass
     assert before >= 0 and not counts.log
+
+
+def test_addresses_are_those_of_the_singular_vectors(spark):
+    import numpy as np
+
+    from tessera.operators import kernels
+    from tessera.operators.addresses import principal_addresses
+
+    rng = random.Random(2)
+    edges = sorted({(rng.randrange(40), rng.randrange(40)) for _ in range(300)})
+    edges = [x for x in edges if x[0] != x[1] and x[1] not in (3, 37, 38)]
+    edges += [(s, 3) for s, t in edges if t == 1]  # two equal rows; 37 and 38 have no sources, and 39 is alone
+    core = np.array([k % 3 if k < 36 else 3 if k < 39 else 4 for k in range(40)])
+    want = kernels.pca_addresses(40, *np.array(edges).T, core)
+    cores = spark.createDataFrame([(k, int(c)) for k, c in enumerate(core)], "neuron long, core long")
+    got = {r.neuron: (r.local, r.settled) for r in principal_addresses(cores, spark.createDataFrame(edges, "src long, tgt long"), restarts=1).collect()}
+    assert all(s for _, s in got.values()) and [got[k][0] for k in range(40)] == want.tolist()
