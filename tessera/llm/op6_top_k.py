@@ -10,8 +10,8 @@ What is left is scored in whole numbers, so results are exact.
 Queries, with their first scores, are a table in the shared folder.  One plan does the rest: a task holds CHUNK_BYTES of vectors at a
 time and reads the queries past them in blocks of BLOCK, so nothing grows with the number of queries or vectors, and each task gives at
 most k rows a query and chunk.  Rows without an id take no part, nor do vectors null or with null or non-finite components;
-shorter vectors count as padded with zeros; of rows with one id that with the smallest vector counts, and
-rows with a query's id are its own; a product beyond 64 bits is an error; an empty table gives an empty result; other columns do
+shorter vectors count as padded with zeros; rows that share an id are a candidate each, those of a query's id are
+its own and, as queries, share one list of the best scores of any of them; a product beyond 64 bits is an error; an empty table gives an empty result; other columns do
 not matter.
 """
 
@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, stored
+from tessera.llm.common import bounded_batches, shuffle_width, stored
 
 BLOCK, HEAVIEST, HEAD, RUN = 4096, 1024, 16, 1024
 #: Bytes of vectors that a task holds against all queries at a time.
@@ -30,11 +30,11 @@ _EXACT = float(1 << 52)
 
 
 def whole_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """id, v (whole numbers as doubles), norm: one row an id, longest first within each partition."""
+    """id, v (whole numbers as doubles), norm: every row that takes part, longest first within each partition."""
     bounded_batches(df.sparkSession)
     v = F.transform(F.col(vector_col), lambda x: F.floor(x.cast("double") * scale).cast("double"))
     fine = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & ~F.exists(F.col(vector_col), lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
-    rows = df.where(fine).select(F.col(id_col).cast("long").alias("id"), v.alias("v")).groupBy("id").agg(F.min("v").alias("v"))
+    rows = df.where(fine).select(F.col(id_col).cast("long").alias("id"), v.alias("v")).repartition(shuffle_width(df.sparkSession))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     return stored(rows.withColumn("norm", norm).sortWithinPartitions(F.desc("norm")), "vectors")
 

@@ -30,6 +30,12 @@ def _mark(*columns: str) -> Column:
     return F.xxhash64(*columns)
 
 
+def _row_key(*columns: str) -> Column:
+    """128 bits that tell rows of these columns apart, a null in one from a null in another too."""
+    parts = [F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in columns]
+    return F.substring(F.sha2(F.concat(*parts), 256), 1, 32)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of links (SHINGLE words, SIMILAR % or more): that with the smallest id, null last.
 
@@ -56,7 +62,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows alike in id, source and text share what is taken of them; a null source is a source; rows without words go.
     """
     mark, copies, copy = (unused(docs, name) for name in ("mark", "mixed_copies", "mixed_copy"))
-    marked = docs.withColumn(mark, _mark("doc_id", "source", "text"))
+    marked = docs.withColumn(mark, _row_key("doc_id", "source", "text"))
     times = F.floor(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1)) + 0.5).cast("int")
     taken = op5_mixing.mix(marked, id_col=mark).groupBy(mark).agg(times.alias(copies)).where(F.col(copies) > 0)
     return marked.join(taken, mark).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(docs.columns)

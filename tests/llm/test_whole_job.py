@@ -66,6 +66,24 @@ def test_mixture_counts_copies_by_row_where_ids_are_null_or_shared(spark):
     assert all(abs(got.get(s, 0) - g) < 0.2 for s, g in goal.items())
 
 
+def test_mixture_tells_a_null_source_from_a_null_text(spark):
+    t = texts(12, 200, 7)
+    rows = [(k, x, "b") for k, x in enumerate(t)]
+    rows += [(100 + k, None, f"s {k}") for k in range(4)] + [(100 + k, f"s {k}", None) for k in range(4)]  # the same strings in another column
+    rows += [(7, None, None), (7, "", "x"), (None, None, "x"), (None, "x", None)]
+    out = corpus_pipeline.mixture(spark, documents(spark, rows), "").collect()
+    assert out and all((r.text or "").split() for r in out)
+    assert {r.text for r in out if r.source is None} == {"x", *(f"s {k}" for k in range(4))}
+
+
+def test_top_k_keeps_rows_that_share_an_id(spark):
+    rows = [(0, [1.0, 0.0]), (7, [256.0, 1.0]), (7, [2.0, 1.0]), (8, [1.0, 1.0]), (50, [1.0, 0.0]), (50, [0.0, 1.0])]
+    own = op6_top_k.whole_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id", "embedding", 1)
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in op6_top_k.top_k(own, own.where("id % 50 = 0")).collect())
+    assert got[:5] == [(0, 1, 7, 256), (0, 2, 7, 2), (0, 3, 8, 1), (0, 4, 50, 1), (0, 5, 50, 0)]
+    assert got[5:] == [(50, 1, 7, 256), (50, 2, 7, 2), (50, 3, 0, 1), (50, 4, 7, 1), (50, 5, 7, 1)]  # both rows of the query together
+
+
 def test_mixing_gives_small_sources_their_targets_beside_large_ones(spark, monkeypatch):
     monkeypatch.setattr(op5_mixing, "SLOTS", 256)
     monkeypatch.setattr(op5_mixing, "LEAST", 16, raising=False)
