@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -38,23 +39,26 @@ class _Words:
     def __init__(self):
         self.cache, self.held = {}, 0
 
-    def joined(self, words: list[str]) -> bytes:
+    def all(self, texts: list[str]) -> list[bytes]:
+        """For each text its ids as little-endian unsigned 32-bit bytes; words new to the cache are encoded all at once."""
+        split = [self.words(t) for t in texts]
+        if self.held > KEPT_BYTES:
+            self.cache.clear()
+            self.held = 0
+        new = set()
+        for words in split:
+            if words is not None:
+                new.update(words)
+        new = list(new.difference(self.cache))
+        ids = self.learn(new) if new else []
+        self.cache.update(zip(new, ids))
+        self.held += len(new) * ENTRY_BYTES + sum(map(len, new)) + sum(map(len, ids))
         get = self.cache.__getitem__
-        try:
-            return b"".join(map(get, words))
-        except KeyError:
-            if self.held > KEPT_BYTES:
-                self.cache.clear()
-                self.held = 0
-            new = list({w for w in words if w not in self.cache})
-            ids = [np.array(x, dtype="<u4").tobytes() for x in self.learn(new)]
-            self.cache.update(zip(new, ids))
-            self.held += len(new) * ENTRY_BYTES + sum(map(len, new)) + sum(map(len, ids))
-            out = b"".join(map(get, words))
-            for w in new:
-                if len(w) > LONG:
-                    del self.cache[w]
-            return out
+        out = [self.whole(t) if words is None else b"".join(map(get, words)) for t, words in zip(texts, split)]
+        for w in new:
+            if len(w) > LONG:
+                del self.cache[w]
+        return out
 
 
 class ByteTokens(_Words):
@@ -69,13 +73,30 @@ class ByteTokens(_Words):
         for token, k in vocab.items():
             self.bytes[k] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
 
-    def learn(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.lib.encode_batch(words, add_special_tokens=False)]
+        # ranks are ids where the vocabulary lists its merges in the order of their ids
+        import json
 
-    def ids(self, text: str) -> bytes:
-        if OTHER.search(text):
-            return np.array(self.lib.encode(" " + text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return self.joined(BYTE_SPLIT.findall(" " + text))
+        import tiktoken
+
+        merges = [m if isinstance(m, list) else m.split(" ") for m in json.loads(self.lib.to_str())["model"]["merges"]]
+        made = [vocab["".join(m)] for m in merges]
+        self.ranked = None
+        if made == list(range(256, 256 + len(made))):
+            ranks = {self.bytes[k]: k for k in range(256 + len(made))}
+            self.ranked = tiktoken.Encoding("words", pat_str=".+", mergeable_ranks=ranks, special_tokens={})
+
+    def learn(self, words: list[str]) -> list[bytes]:
+        if self.ranked is None:
+            return [array("I", e.ids).tobytes() for e in self.lib.encode_batch(words, add_special_tokens=False)]
+        return [array("I", self.ranked._encode_single_piece(w.encode())).tobytes() for w in words]
+
+    def words(self, text: str) -> list[str] | None:
+        if not text:
+            return []
+        return None if OTHER.search(text) else BYTE_SPLIT.findall(" " + text)
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.lib.encode(" " + text, add_special_tokens=False).ids).tobytes()
 
 
 class PieceTokens(_Words):
@@ -96,15 +117,22 @@ class PieceTokens(_Words):
         inside = re.compile(f"[^{self.SPACE}]{self.SPACE}")
         self.parts = len(self.lead) == 2 and self.bytes[self.lead[1]] == b"\n" and not any(inside.search(p) or "\n" in p for p in own)
 
-    def learn(self, words: list[str]) -> list[list[int]]:
-        return [x[2:] for x in self.lib.encode(["\n" + w for w in words], num_threads=1)]
+    def learn(self, words: list[str]) -> list[bytes]:
+        """All words as lines of one text: no merge goes beyond a line's end."""
+        lines = [w for w in words if w != "\n"]
+        ids = np.array(self.lib.encode("\n" + "\n".join(lines)), dtype="<u4")
+        cuts = (4 * np.append(np.flatnonzero(ids == self.lead[1]), len(ids))).tolist()
+        raw, known = ids.tobytes(), {"\n": np.array(self.lead[1:], dtype="<u4").tobytes()}
+        known.update(zip(lines, [raw[a + 4 : b] for a, b in zip(cuts, cuts[1:])]))
+        return [known[w] for w in words]
+
+    def words(self, text: str) -> list[str] | None:
+        if not text or self.SPACE in text:
+            return []
+        return PIECE_SPLIT.findall(" " + text) if self.parts else None
 
-    def ids(self, text: str) -> bytes:
-        if self.SPACE in text:
-            return b""
-        if not self.parts:
-            return np.array(self.lib.encode(text), dtype="<u4").tobytes()
-        return self.joined(PIECE_SPLIT.findall(" " + text))
+    def whole(self, text: str) -> bytes:
+        return array("I", self.lib.encode(text)).tobytes()
 
 
 class Pair:
@@ -134,7 +162,7 @@ class Pair:
 
     def tokenized(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """For A and for B: ids of all texts, and how many each text has, none where either does not spell a space and the text."""
-        raw = [[x.ids(t) if t else b"" for t in texts] for x in (self.a, self.b)]
+        raw = [x.all(texts) for x in (self.a, self.b)]
         ids = [np.frombuffer(b"".join(r), dtype="<u4") for r in raw]
         counts = [np.array([len(x) // 4 for x in r], dtype=np.int64) for r in raw]
         good = np.array([bool(t) for t in texts], dtype=bool)

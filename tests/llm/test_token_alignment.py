@@ -79,10 +79,15 @@ def test_ids_are_the_libraries(libraries):
     t, s = libraries
     a, b = op.ByteTokens(A), op.PieceTokens(B)
     assert b.parts
-    for text in made(1, 3000):
-        assert a.ids(text) == op.np.array(t.encode(" " + text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    assert a.ranked is not None
+    texts = ["", *made(1, 3000)]
+    for text, own_a, own_b in zip(texts, a.all(texts), b.all(texts)):
+        assert own_a == (op.np.array(t.encode(" " + text, add_special_tokens=False).ids, dtype="<u4").tobytes() if text else b"")
         if "▁" not in text:
-            assert b.ids(text) == op.np.array(s.encode(text), dtype="<u4").tobytes(), repr(text)
+            assert own_b == op.np.array(s.encode(text), dtype="<u4").tobytes(), repr(text)
+    a.ranked = None  # without ranks the library encodes the words
+    words = [w for text in texts[:300] for w in a.words(text) or ()]
+    assert a.learn(words) == op.ByteTokens(A).learn(words)
 
 
 @pytest.mark.parametrize("hot", [1 << 20, 40, 0])
