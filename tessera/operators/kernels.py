@@ -350,14 +350,17 @@ def mapped(edges: DataFrame, sizes: DataFrame, hw: HardwareConfig, method: str,
     return as_rows(edges, sizes).groupBy("graph_id").applyInPandas(run, "graph_id string, neuron long, core long, local long")
 
 
-def accuracy(pairs: DataFrame) -> DataFrame:
-    """Clustering accuracy of rows (truth, predicted): the best one-to-one match of labels.  The contingency table is counted in
-    Spark; the matching sees one cell for each pair of labels."""
-    cells = pairs.groupBy("truth", "predicted").agg(F.count("*").alias("k")).withColumn("g", F.lit(0))
+def accuracy(pairs: DataFrame, by: str | None = None) -> DataFrame:
+    """Clustering accuracy of rows (truth, predicted), of each group by: the best one-to-one match of labels.  The contingency tables
+    are counted in Spark; a matching sees one cell for each pair of labels of its group."""
+    cells = pairs.groupBy(*([by] if by else []), "truth", "predicted").agg(F.count("*").alias("k"))
+    cells = cells.select(F.col(by) if by else F.lit(0).alias("g"), "truth", "predicted", "k")
+    group, kind = cells.columns[0], cells.schema[0].dataType.simpleString()
 
     def run(pdf):
         t = pdf.pivot_table(index="truth", columns="predicted", values="k", fill_value=0).to_numpy(dtype=float)
         t = t if t.shape[0] <= t.shape[1] else t.T
-        return pd.DataFrame({"accuracy": [t[np.arange(len(t)), assignment(-t)].sum() / pdf["k"].sum()]})
+        return pd.DataFrame({group: pdf[group].iloc[:1], "accuracy": [t[np.arange(len(t)), assignment(-t)].sum() / pdf["k"].sum()]})
 
-    return cells.groupBy("g").applyInPandas(run, "accuracy double")
+    found = cells.groupBy(group).applyInPandas(run, f"{group} {kind}, accuracy double")
+    return found if by else found.select("accuracy")

@@ -35,6 +35,16 @@ def adjusted_rand(labels: DataFrame, truth: str = "truth", predicted: str = "pre
     return both.crossJoin(rows).crossJoin(columns).select(F.round(F.try_divide(F.col("x") - chance, (F.col("a") + F.col("b")) / 2 - chance), 9).alias("ari"))
 
 
+def adjusted_rand_by(labels: DataFrame, group: str, truth: str = "truth", predicted: str = "predicted") -> DataFrame:
+    """group, ari for every group of rows at once; 1 where both clusterings are trivial in one way."""
+    cells = labels.groupBy(group, F.col(truth).alias("truth"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("k"))
+    pairs = lambda k: F.sum(F.col(k).cast("double") * (F.col(k) - 1) / 2)
+    margin = lambda c, name: cells.groupBy(group, c).agg(F.sum("k").alias("k")).groupBy(group).agg(pairs("k").alias(name))
+    both = cells.groupBy(group).agg(pairs("k").alias("x"), F.sum("k").alias("n")).join(margin("truth", "a"), group).join(margin("predicted", "b"), group)
+    chance = F.try_divide(F.col("a") * F.col("b"), F.col("n").cast("double") * (F.col("n") - 1) / 2)
+    return both.select(group, F.coalesce(F.try_divide(F.col("x") - chance, (F.col("a") + F.col("b")) / 2 - chance), F.lit(1.0)).alias("ari"))
+
+
 def block_links(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """a, b, links, possible for every pair of clusters: the grid is clusters squared, as the result is."""
     size = labels.groupBy("cluster").agg(F.count("*").alias("k"))

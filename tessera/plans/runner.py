@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 
 from tessera import graph
 from tessera.hw import HardwareConfig
-from tessera.operators import checks, kernels, reports, searches
+from tessera.operators import checks, kernels, metrics, partition, reports, searches
+from tessera.operators.addresses import principal_addresses
 from tessera.sources.networks import Network
 from tessera.tables import Steps
 
-TIME = "Time (s)"
+TIME, ARI, ACCURACY = "Time (s)", "ARI (Clustering)", "Accuracy (Clustering)"
 
 
 @dataclass(frozen=True)
@@ -61,6 +62,8 @@ METRICS = {
         Metric("Log-Likelihood", _likelihood),
         Metric("Hardware Size", lambda hw: F.lit(float(hw.slots)), "ratio"),
         Metric("Unused Connections", lambda hw: (F.lit(hw.total_connections()) - F.col("kept")).cast("double"), "ratio"),
+        Metric(ARI, lambda hw: F.col("ari"), "same"),
+        Metric(ACCURACY, lambda hw: F.col("accuracy"), "same"),
     )
 }
 
@@ -82,6 +85,25 @@ def scored(edges: DataFrame, sizes: DataFrame, placement: DataFrame, chosen: Dat
     return sizes.join(total, "graph_id", "left").select("graph_id", F.col("n").cast("long").alias("n"), zero(F.col("m")).alias("m"), zero(F.col("kept")).alias("kept"))
 
 
+def clustered(placement: DataFrame, networks: list[Network], names: tuple[str, ...]) -> DataFrame | None:
+    """graph_id, ari, accuracy, those of them that are named: cores as clusters against the cores of the ground truth, of the networks
+    that have one; None where that is nothing."""
+    true = [net.truth[0].select(F.lit(net.id).alias("graph_id"), "neuron", F.col("core").alias("truth")) for net in networks if net.truth is not None]
+    if not true or not {ARI, ACCURACY} & set(names):
+        return None
+    both = reduce(DataFrame.unionByName, true).join(placement.select("graph_id", "neuron", F.col("core").alias("predicted")), ["graph_id", "neuron"])
+    parts = [metrics.adjusted_rand_by(both, "graph_id")] if ARI in names else []
+    parts += [kernels.accuracy(both, "graph_id")] if ACCURACY in names else []
+    return reduce(lambda a, b: a.join(b, "graph_id"), parts)
+
+
+def _with_clusters(out: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Scores with ari and accuracy, not a number where there is no ground truth or nobody asks."""
+    out = out if found is None else out.join(found, "graph_id", "left")
+    nan = F.lit(float("nan"))
+    return out.select("graph_id", "n", "m", "kept", *((F.coalesce(F.col(c), nan) if c in out.columns else nan).alias(c) for c in ("ari", "accuracy")))
+
+
 def together(networks: list[Network]) -> tuple[DataFrame, DataFrame]:
     """(edges, sizes) of all networks, by graph_id."""
     spark = networks[0].edges.sparkSession
@@ -115,6 +137,9 @@ def mapped_by(mapper: str, networks: list[Network], hw: HardwareConfig, seed: in
     written, and its seconds are of that run."""
     if mapper in ("random", "truth"):
         return *(drawn if mapper == "random" else known)(networks, hw, seed), None
+    if mapper in FRAMES:
+        own = [FRAMES[mapper](net.edges.sparkSession.range(net.n), net.edges, hw, seed).select(F.lit(net.id).alias("graph_id"), "neuron", "core", "local") for net in networks]
+        return Steps(networks[0].edges.sparkSession).keep(reduce(DataFrame.unionByName, own), f"placements-{mapper}"), None, None
     edges, sizes = together(networks)
 
     def run(pdf):
@@ -168,6 +193,21 @@ METHODS: dict[str, Callable] = {
 }
 
 
+def _parts(neurons: DataFrame, edges: DataFrame, hw: HardwareConfig, seed: int) -> DataFrame:
+    labels = partition.balanced_parts(neurons, edges, partition.PartSettings(hw.cores, branches=hw.r))
+    return graph.ranked_within(labels, ["part"], F.shiftright("neuron", 16), ["neuron"], "local").select("neuron", F.col("part").alias("core"), "local")
+
+
+def _parts_in_three_steps(neurons: DataFrame, edges: DataFrame, hw: HardwareConfig, seed: int) -> DataFrame:
+    parts = partition.balanced_parts(neurons, edges, partition.PartSettings(hw.cores, branches=hw.r))
+    return principal_addresses(parts.withColumnRenamed("part", "core"), edges, seed=seed)
+
+
+#: Mappers whose work is frames, for networks of any size, one after the other: (neurons, edges, hardware, seed) to a placement.  They
+#: have no seconds; a failure is raised.
+FRAMES: dict[str, Callable] = {"parts": _parts, "parts_three_step": _parts_in_three_steps}
+
+
 @dataclass(frozen=True)
 class Bundle:
     """What a run of a mapper is held against: metrics by name, and the mapper of the baseline (none: relative values are MISSING)."""
@@ -203,15 +243,15 @@ def evaluated(networks: list[Network], mapper: str, bundle: Bundle, seed: int =
                 neurons = placement.sparkSession.range(net.n)
                 hook(checks.whole(neurons, of, best if best is not None else graph.random_slices(neurons, hw).select("neuron", "distance", "slice"), hw))
         fine = sizes if told is None else sizes.join(told.where("error is null"), "graph_id", "left_semi")
-        out = scored(edges, fine, placement, chosen, hw)
+        out = _with_clusters(scored(edges, fine, placement, chosen, hw), clustered(placement, own, bundle.metrics))
         if bundle.baseline is not None:
             b_placement, b_chosen, _ = (placement, chosen, told) if bundle.baseline == mapper else mapped_by(bundle.baseline, own, hw, seed)
-            base = scored(edges, sizes, b_placement, b_chosen, hw)
-        metrics = [METRICS[m] for m in bundle.metrics]
-        values = lambda df, name: df.select("graph_id", *(m.value(hw).alias(f"{name}{k}") for k, m in enumerate(metrics)))
+            base = _with_clusters(scored(edges, sizes, b_placement, b_chosen, hw), None)  # a measure of clusters stands for itself
+        measures = [METRICS[m] for m in bundle.metrics]
+        values = lambda df, name: df.select("graph_id", *(m.value(hw).alias(f"{name}{k}") for k, m in enumerate(measures)))
         both = values(out, "own")
         both = both.join(values(base, "base"), "graph_id") if bundle.baseline is not None else both
-        rows = [F.struct(F.lit(m.name).alias("metric"), F.col(f"own{k}").alias("raw"), (m.against(F.col(f"own{k}"), F.col(f"base{k}")) if bundle.baseline is not None else F.lit(reports.MISSING)).cast("double").alias("relative")) for k, m in enumerate(metrics)]
+        rows = [F.struct(F.lit(m.name).alias("metric"), F.col(f"own{k}").alias("raw"), (m.against(F.col(f"own{k}"), F.col(f"base{k}")) if bundle.baseline is not None else F.lit(reports.MISSING)).cast("double").alias("relative")) for k, m in enumerate(measures)]
         none = F.lit(None).cast("string").alias("error")
         parts.append(both.select("graph_id", F.explode(F.array(*rows)).alias("x")).select(F.lit(mapper).alias("mapper"), F.col("graph_id").alias("input_id"), "x.metric", "x.raw", "x.relative", none))
         if told is not None:
