@@ -63,9 +63,11 @@ def induced(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def undirected(edges: DataFrame) -> DataFrame:
-    """Both directions of every link once, without loops."""
-    e = edges.select("src", "tgt").where("src <> tgt")
-    return e.union(e.select("tgt", "src")).distinct()
+    """Both directions of every link once, without loops; pairs are made distinct before they are turned round."""
+    low, high = F.least("src", "tgt").alias("x"), F.greatest("src", "tgt").alias("y")
+    one = edges.where("src <> tgt").select(low, high).distinct()
+    both = F.array(*(F.struct(F.col(s).alias("src"), F.col(t).alias("tgt")) for s, t in ("xy", "yx")))
+    return one.select(F.explode(both).alias("e")).select("e.src", "e.tgt")
 
 
 def degrees(neurons: DataFrame, edges: DataFrame) -> DataFrame:
