@@ -79,12 +79,17 @@ def degrees(neurons: DataFrame, edges: DataFrame) -> DataFrame:
 
 def triangles(edges: DataFrame) -> DataFrame:
     """One row, t: triangles of the undirected skeleton.  Links go from the end with fewer links to the other (then by id), so a hub
-    has few links going out and pairs of them stay within sqrt(2m)."""
+    has few links going out and its list of them stays within sqrt(2m).  Each list goes to each of its members once, without what
+    stands before the member, and is met there with the member's own list."""
     both = undirected(edges)
     degree = both.groupBy("src").agg(F.count("*").alias("k"))
-    e = both.join(degree.toDF("src", "ks"), "src").join(degree.toDF("tgt", "kt"), "tgt").where("ks < kt or ks = kt and src < tgt").select(F.col("src").alias("a"), F.col("tgt").alias("b"))
-    wedges = e.toDF("a", "x").join(e.toDF("a", "y"), "a").where("x <> y").select("x", "y")
-    return wedges.join(e.toDF("x", "y"), ["x", "y"]).agg(F.count("*").alias("t"))
+    one = both.where("src < tgt").join(degree.toDF("src", "ks"), "src").join(degree.toDF("tgt", "kt"), "tgt")
+    up = F.col("ks") <= F.col("kt")
+    e = one.select(F.when(up, F.col("src")).otherwise(F.col("tgt")).alias("a"), F.struct(F.greatest("ks", "kt").alias("k"), F.when(up, F.col("tgt")).otherwise(F.col("src")).alias("id")).alias("b"))
+    lists = e.groupBy("a").agg(F.transform(F.sort_array(F.collect_list("b")), lambda b: b["id"]).alias("own"))
+    sent = lists.where(F.size("own") > 1).select("own", F.posexplode("own").alias("at", "a"))
+    sent = sent.select("a", F.slice("own", F.col("at") + 2, F.size("own")).alias("others")).where(F.size("others") > 0)
+    return sent.join(lists, "a").agg(F.coalesce(F.sum(F.size(F.array_intersect("others", "own"))), F.lit(0)).cast("long").alias("t"))
 
 
 def moments(neurons: DataFrame, edges: DataFrame) -> DataFrame:

@@ -1,5 +1,11 @@
 """What a task holds and what a step sends stay bounded as tables grow."""
 
+import itertools
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
 from tessera import graph
 from tessera.operators import metrics
 
@@ -21,3 +27,18 @@ def test_pairs_are_not_held_twice(spark):
     edges = spark.createDataFrame([(1, 2), (2, 1), (3, 1), (3, 1), (4, 4)], "src long, tgt long")
     both = metrics.undirected(edges)
     assert sorted(map(tuple, both.collect())) == [(1, 2), (1, 3), (2, 1), (3, 1)] and "Union" not in executed(both)
+
+
+@pytest.mark.parametrize("n, m", [(40, 300), (3, 6), (30, 20), (1, 0)])
+def test_triangles_are_those_of_all_triples(spark, n, m):
+    rng = random.Random(n)
+    pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] + [(0, k) for k in range(n)]
+    have = {frozenset(p) for p in pairs if p[0] != p[1]}
+    want = sum({frozenset(p) for p in itertools.combinations(t, 2)} <= have for t in itertools.combinations(range(n), 3))
+    found = metrics.triangles(spark.createDataFrame(pairs, "src long, tgt long"))
+    assert found.first().t == want
+
+
+def test_wedges_are_not_rows(spark):
+    plan = executed(metrics.triangles(spark.createDataFrame([(1, 2)], "src long, tgt long")).select(F.col("t")))
+    assert "array_intersect" in plan and "NOT (x" not in plan
