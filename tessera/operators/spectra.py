@@ -1,9 +1,13 @@
 """Extreme eigenvalues and eigenvectors of a whole network's symmetric matrices, by block Lanczos steps on frames, and clusters from them.
 
 A matrix is a frame of entries (i, j, x), both triangles, as ``metrics.bethe_hessian`` and ``metrics.laplacian`` give it; every node has an
-entry.  A step multiplies a block of vectors by it, a join and a sum, and makes the result orthogonal to all vectors so far.  What the
-driver sees are sums of products: a row of (vectors so far) x (block) numbers from each task, and the matrix of the steps, whose size is
-steps x block.  Every step is a stored table, so a lost executor costs a re-read.
+entry.  A step multiplies a block of vectors by it and makes the result orthogonal to all vectors so far.  What the driver sees are sums of
+products: a row of (vectors so far) x (block) numbers from each task, and the matrix of the steps, whose size is steps x block.  Every step
+is a stored table, so a lost executor costs a re-read.
+
+Nodes are dealt by hash to chunks and chunks to g pieces; the matrix is stored once in g x g cells (``Grid``), in buckets, so a step moves
+no entry: each piece of the block goes to the g cells of its columns, and the sums of each cell to its rows' chunks, 2 g numbers a node and
+vector.  A step's vectors are a table of their own in buckets of chunks, so none is written or moved again.
 
 The values are Ritz values: each lies within its ``error`` of an eigenvalue, and there are never more negative ones than the matrix has.
 A block of p vectors finds eigenvalues of up to p equal ones.
@@ -11,7 +15,9 @@ A block of p vectors finds eigenvalues of up to p equal ones.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +33,8 @@ STEPS, BLOCK = 24, 4
 NOTHING, SETTLED = 1e-10, 1e-7
 #: Of the longest direction's square in a block: a shorter one is rounding.
 ALIKE = 1e-14
+#: Entries of a cell, about, which a task holds; those from which a cell is cut for the sake of more tasks, SIDE a side; of a chunk; of a slab.
+CELL, PARALLEL, SIDE, CHUNK, SLAB = 1 << 24, 1 << 20, 4, 1 << 18, 1 << 18
 
 
 @dataclass
@@ -70,17 +78,34 @@ def _lists(m: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(np.ascontiguousarray(m).ravel()))
 
 
-def _products(state: DataFrame, to: np.ndarray, less: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _bytes(m: np.ndarray) -> bytes:
+    return np.ascontiguousarray(m).tobytes()
+
+
+def _numbers(value: pa.Scalar, width: int) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), dtype=np.float64).reshape(-1, width)
+
+
+def _wide(batch: pa.RecordBatch, row: int, widths: list[int]) -> np.ndarray:
+    """All vectors so far of the nodes of a chunk, a node a row."""
+    columns = [_numbers(batch.column(f"q{k}")[row], w) for k, w in enumerate(widths)]
+    return np.hstack(columns) if columns else np.zeros((0, 0))
+
+
+def _products(state: DataFrame, widths: list[int], to: np.ndarray, less: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(q' z, z' z) for z = y to - q less, summed over all rows: a row a task."""
     total, block = len(less), len(to)
 
     def run(batches):
         of_q, own, seen = np.zeros((total, to.shape[1])), np.zeros((to.shape[1],) * 2), False
         for b in batches:
-            if b.num_rows:
-                q = _matrix(b, "q", total)
-                z = _matrix(b, "y", block) @ to - q @ less
-                of_q, own, seen = of_q + q.T @ z, own + z.T @ z, True
+            for row in range(b.num_rows):
+                z, seen = _numbers(b.column("y")[row], block) @ to, True
+                if total:
+                    q = _wide(b, row, widths)
+                    z = z - q @ less
+                    of_q = of_q + q.T @ z
+                own = own + z.T @ z
         if seen:
             yield pa.RecordBatch.from_arrays([_lists(np.concatenate([of_q, own]).reshape(1, -1))], names=["s"])
 
@@ -88,16 +113,102 @@ def _products(state: DataFrame, to: np.ndarray, less: np.ndarray) -> tuple[np.nd
     return sums[:total], sums[total:]
 
 
-def _appended(state: DataFrame, to: np.ndarray, less: np.ndarray) -> DataFrame:
-    """id, q with the columns of z = y to - q less behind it."""
+def _combined(state: DataFrame, widths: list[int], to: np.ndarray, less: np.ndarray) -> DataFrame:
+    """chunk, q: z = y to - q less."""
 
     def run(batches):
         for b in batches:
-            if b.num_rows:
-                q = _matrix(b, "q", len(less))
-                yield pa.RecordBatch.from_arrays([b.column("id"), _lists(np.hstack([q, _matrix(b, "y", len(to)) @ to - q @ less]))], names=["id", "q"])
-
-    return state.mapInArrow(run, "id long, q array<double>")
+            for row in range(b.num_rows):
+                z = _numbers(b.column("y")[row], len(to)) @ to
+                z = z - _wide(b, row, widths) @ less if widths else z
+                yield pa.RecordBatch.from_arrays([b.column("chunk").slice(row, 1), pa.array([_bytes(z)], pa.binary())], names=["chunk", "q"])
+
+    return state.mapInArrow(run, "chunk long, q binary")
+
+
+def _spread(nodes: pa.Table, side: int) -> tuple[list[int], list[np.ndarray]]:
+    """The chunks of a piece in their order and the ids of each: an id's place in the piece is its place among them all."""
+    own = sorted((c, v) for c, s, v in zip(nodes["chunk"].to_pylist(), nodes["side"].to_pylist(), nodes["ids"].to_pylist()) if s == side)
+    return [c for c, _ in own], [np.frombuffer(v, dtype=np.int64) for _, v in own]
+
+
+def _places(ids: list[np.ndarray]):
+    every = np.concatenate(ids)
+    order = np.argsort(every, kind="stable")
+    every = every[order]
+    return lambda x: order[np.searchsorted(every, x)].astype(np.int32)
+
+
+def _packed(entries: pa.Table, nodes: pa.Table) -> pa.Table:
+    """A cell's entries as places of rows and columns in their pieces; each row names the chunks of the cell's rows and their sizes."""
+    schema = pa.schema([("cell", pa.int64()), ("i", pa.binary()), ("j", pa.binary()), ("x", pa.binary()), ("chunks", pa.binary()), ("sizes", pa.binary())])
+    out = []
+    if entries.num_rows:
+        (chunks, rows), (_, columns) = _spread(nodes, 0), _spread(nodes, 1)
+        row_of, column_of = _places(rows), _places(columns)
+        about = _bytes(np.array(chunks, dtype=np.int64)), _bytes(np.array([len(x) for x in rows], dtype=np.int64))
+        for k in range(0, entries.num_rows, SLAB):
+            part = entries.slice(k, SLAB)
+            i, j, x = (part[c].to_numpy() for c in "ijx")
+            out.append((part["cell"][0].as_py(), _bytes(row_of(i)), _bytes(column_of(j)), _bytes(x), *about))
+    return pa.table([pa.array([r[c] for r in out], f.type) for c, f in enumerate(schema)], schema=schema)
+
+
+class Grid:
+    """A symmetric matrix of entries(i, j, x) in cells, and its nodes in chunks with start vectors of numbers from a seed."""
+
+    def __init__(self, links: DataFrame, m: int, block: int, seed: int, kept: Steps):
+        self.kept = kept
+        self.g = max(math.ceil(math.sqrt(m / CELL)), min(SIDE, math.ceil(math.sqrt(m / PARALLEL))))
+        self.chunks = self.g * max(1, -(-m // (self.g * CHUNK)))
+        self.buckets = max(self.g**2, -(-self.chunks // 16))
+        chunk = lambda c: F.pmod(F.xxhash64(c), F.lit(self.chunks))
+        start = [(graph.uniform(F.concat_ws(":", "id", F.lit(c)), seed) / 2.0**32 - 0.5).alias(f"y{c}") for c in range(block)]
+        ids = links.select(F.col("i").alias("id")).distinct().select(chunk("id").alias("chunk"), "id", *start)
+
+        def gather(t: pa.Table) -> pa.Table:
+            t = t.sort_by("id")
+            y = np.stack([t[f"y{c}"].to_numpy() for c in range(block)], axis=1)
+            return pa.table({"chunk": t["chunk"].slice(0, 1), "ids": pa.array([_bytes(t["id"].to_numpy())], pa.binary()), "y": pa.array([_bytes(y)], pa.binary())})
+
+        self.nodes = kept.bucketed(ids.groupBy("chunk").applyInArrow(gather, "chunk long, ids binary, y binary"), "nodes", "chunk", self.buckets)
+        piece, other = F.col("chunk") % self.g, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(self.g - 1).cast("long"))).alias("o")
+        self.columns = lambda df: df.select("*", other).withColumn("cell", F.col("o") * self.g + piece).drop("o")
+        rows = self.nodes.select("chunk", "ids", other).select((piece * self.g + F.col("o")).alias("cell"), F.lit(0).alias("side"), "chunk", "ids")
+        sides = rows.unionByName(self.columns(self.nodes.select("chunk", "ids")).select("cell", F.lit(1).alias("side"), "chunk", "ids"))
+        dealt = links.select((chunk("i") % self.g * self.g + chunk("j") % self.g).alias("cell"), "i", "j", F.col("x").cast("double").alias("x")).repartition(self.g**2, "cell")
+        packed = dealt.groupBy("cell").cogroup(sides.groupBy("cell")).applyInArrow(_packed, "cell long, i binary, j binary, x binary, chunks binary, sizes binary")
+        self.cells = kept.bucketed(packed, "cells", "cell", self.g**2)
+
+    def times(self, q: DataFrame, width: int) -> DataFrame:
+        """chunk, y: the matrix times q(chunk, q)."""
+
+        def run(cells: pa.Table, pieces: pa.Table) -> pa.Table:
+            out = []
+            if cells.num_rows and pieces.num_rows:
+                v = np.concatenate([np.frombuffer(x, dtype=np.float64).reshape(-1, width) for _, x in sorted(zip(pieces["chunk"].to_pylist(), pieces["q"].to_pylist()))])
+                chunks, sizes = (np.frombuffer(cells[c][0].as_buffer(), dtype=np.int64) for c in ("chunks", "sizes"))
+                y = np.zeros((width, int(sizes.sum())))
+                for k in range(cells.num_rows):
+                    i, j = (np.frombuffer(cells[c][k].as_buffer(), dtype=np.int32) for c in "ij")
+                    x = np.frombuffer(cells["x"][k].as_buffer(), dtype=np.float64)
+                    for c in range(width):
+                        y[c] += np.bincount(i, weights=x * v[j, c], minlength=y.shape[1])
+                ends = np.cumsum(sizes)
+                out = [(int(c), cells["cell"][0].as_py(), _bytes(y[:, e - s : e].T)) for c, s, e in zip(chunks, sizes, ends)]
+            return pa.table({"chunk": pa.array([r[0] for r in out], pa.int64()), "cell": pa.array([r[1] for r in out], pa.int64()), "y": pa.array([r[2] for r in out], pa.binary())})
+
+        def total(t: pa.Table) -> pa.Table:
+            parts = [np.frombuffer(y, dtype=np.float64) for _, y in sorted(zip(t["cell"].to_pylist(), t["y"].to_pylist()))]
+            return pa.table({"chunk": t["chunk"].slice(0, 1), "y": pa.array([_bytes(np.sum(parts, axis=0))], pa.binary())})
+
+        sums = self.cells.groupBy("cell").cogroup(self.columns(q).groupBy("cell")).applyInArrow(run, "chunk long, cell long, y binary")
+        return sums.groupBy("chunk").applyInArrow(total, "chunk long, y binary")
+
+
+def _beside(tables: list[DataFrame]) -> DataFrame:
+    """Tables of chunks side by side; they have the same buckets."""
+    return reduce(lambda a, b: a.join(b.hint("merge"), "chunk"), tables)
 
 
 def _halves(g: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
@@ -113,16 +224,18 @@ def lanczos(entries: DataFrame, steps: int = STEPS, block: int = BLOCK, seed: in
     """The spectrum of a symmetric matrix as steps blocks see it.  It ends early where nothing new is found: then all values are exact
     but for rounding.  An empty matrix has no values."""
     kept = Steps(entries.sparkSession)
-    links = kept.keep(entries.select("i", "j", "x"), "entries")
-    ids = links.select(F.col("i").alias("id")).distinct()
-    start = [graph.uniform(F.concat_ws(":", "id", F.lit(c)), seed) / 2.0**32 - 0.5 for c in range(block)]
-    state = kept.keep(ids.select("id", F.array().cast("array<double>").alias("q"), F.array(*start).alias("y")), "start")
-    if state.isEmpty():
-        return Spectrum(np.zeros(0), np.zeros(0), state.select("id", "q"), np.zeros((0, 0)))
+    links = kept.keep(entries.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "x"), "entries")
+    m = links.count()
+    if not m:
+        return Spectrum(np.zeros(0), np.zeros(0), links.select(F.col("i").alias("id"), F.array().cast("array<double>").alias("q")), np.zeros((0, 0)))
+    grid = Grid(links, m, block, seed, kept)
+    kept.drop(grid.nodes, grid.cells)
+    held, blocks, widths, product = [], [], [], grid.nodes.select("chunk", "y")
     total, width, small, back = 0, block, np.zeros((0, 0)), np.zeros((0, 0))
     for step in range(steps + 1):
-        first, size = _products(state, np.eye(width), np.zeros((total, width)))
-        second, own = _products(state, np.eye(width), first)
+        state = _beside([product, *blocks])
+        first, size = _products(state, widths, np.eye(width), np.zeros((total, width)))
+        second, own = _products(state, widths, np.eye(width), first)
         along = first + second  # once more, for what rounding left
         if step:
             small[:, total - width :] = along
@@ -130,23 +243,31 @@ def lanczos(entries: DataFrame, steps: int = STEPS, block: int = BLOCK, seed: in
         if step == steps or not to.shape[1]:
             break
         less = along @ to
-        third, own = _products(state, to, less)
+        third, own = _products(state, widths, to, less)
         mend, undo = _halves(own - third.T @ third, 0.0)
         to, less, back = to @ mend, (less + third) @ mend, undo @ back
-        basis = kept.keep(_appended(state, to, less), "basis")
+        new = kept.bucketed(_combined(state, widths, to, less), "basis", "chunk", grid.buckets)
         width, before = to.shape[1], total
         total += width
+        held.append(new)
+        blocks.append(new.withColumnRenamed("q", f"q{step}"))
+        widths.append(width)
         grown = np.zeros((total, total))
         grown[:before, :before] = small
         small = grown
-        x = basis.select(F.col("id").alias("j"), F.slice("q", before + 1, width).alias("v"))
-        sums = [F.sum(F.col("x") * F.get("v", F.lit(c))) for c in range(width)]
-        y = links.join(x, "j").groupBy(F.col("i").alias("id")).agg(F.array(*sums).alias("y"))
-        state = kept.keep(basis.join(y, "id"), "products")
-        kept.drop(links, state, basis)
+        product = kept.bucketed(grid.times(new, width), "products", "chunk", grid.buckets)
+        kept.drop(grid.nodes, grid.cells, product, *held)
+    kept.drop(grid.nodes, *held)
     values, weights = np.linalg.eigh(np.triu(small) + np.triu(small, 1).T)
     errors = np.linalg.norm(back @ weights[total - width :], axis=0) if len(back) else np.zeros(total)
-    kept.drop(basis)
+
+    def run(batches):
+        for b in batches:
+            for row in range(b.num_rows):
+                ids = np.frombuffer(b.column("ids")[row].as_buffer(), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), _lists(_wide(b, row, widths))], names=["id", "q"])
+
+    basis = _beside([grid.nodes.select("chunk", "ids"), *blocks]).mapInArrow(run, "id long, q array<double>")
     return Spectrum(values, errors, basis, weights)
 
 

@@ -3,11 +3,13 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera import graph
-from tessera.operators import metrics
+from tessera.operators import metrics, spectra
+from tessera.tables import Steps
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,3 +44,27 @@ def test_triangles_are_those_of_all_triples(spark, n, m):
 def test_wedges_are_not_rows(spark):
     plan = executed(metrics.triangles(spark.createDataFrame([(1, 2)], "src long, tgt long")).select(F.col("t")))
     assert "array_intersect" in plan and "NOT (x" not in plan
+
+
+def test_spectra_of_a_matrix_in_many_cells_move_no_entry(spark, monkeypatch):
+    monkeypatch.setattr(spectra, "CELL", 200)
+    monkeypatch.setattr(spectra, "CHUNK", 300)
+    monkeypatch.setattr(spectra, "SLAB", 50)
+    rng = random.Random(4)
+    pairs = sorted({(rng.randrange(60), rng.randrange(60)) for _ in range(600)})
+    entries = metrics.bethe_hessian(spark.range(60), spark.createDataFrame(pairs, "src long, tgt long")).cache()
+    dense = np.zeros((60, 60))
+    for r in entries.collect():
+        dense[r.i, r.j] = r.x
+    want = np.linalg.eigvalsh(dense)
+    found = spectra.lanczos(entries, steps=8, block=8)
+    assert len(found.values) == 60 and np.abs(found.values - want).max() < 1e-7
+    x = {r.id: np.array(r.x) for r in found.vectors([0]).collect()}
+    v = np.array([x[k] for k in range(60)])[:, 0]
+    assert np.abs(dense @ v - want[0] * v).max() < 1e-6
+    kept = Steps(spark)
+    grid = spectra.Grid(entries, entries.count(), 2, 1, kept)
+    assert grid.g > 2
+    plan = executed(grid.times(grid.nodes.select("chunk", F.col("y").alias("q")), 2))
+    left = plan.split("FlatMapCoGroupsInArrow")[1].split("Sort [")[1]
+    assert plan.count("Exchange") == 2 and "Exchange" not in left  # the vectors and the sums, not the cells
