@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera import graph
 from tessera.operators import metrics, spectra
+from tessera.sources import sparse
 from tessera.tables import Steps
 
 SF = "/root/testdata/sf0.001"
@@ -68,3 +69,8 @@ def test_spectra_of_a_matrix_in_many_cells_move_no_entry(spark, monkeypatch):
     plan = executed(grid.times(grid.nodes.select("chunk", F.col("y").alias("q")), 2))
     left = plan.split("FlatMapCoGroupsInArrow")[1].split("Sort [")[1]
     assert plan.count("Exchange") == 2 and "Exchange" not in left  # the vectors and the sums, not the cells
+
+
+def test_a_block_draws_its_number_of_links_once(spark):
+    plan = executed(sparse.erdos_renyi(spark.range(30), 30, 0.2))
+    assert "filter(" not in plan and not any("md5" in line for line in plan.splitlines() if "Filter" in line)
