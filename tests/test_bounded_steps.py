@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import graph
-from tessera.operators import metrics, spectra
+from tessera.operators import addresses, metrics, spectra
 from tessera.sources import sparse
 from tessera.tables import Steps
 
@@ -74,3 +74,28 @@ def test_spectra_of_a_matrix_in_many_cells_move_no_entry(spark, monkeypatch):
 def test_a_block_draws_its_number_of_links_once(spark):
     plan = executed(sparse.erdos_renyi(spark.range(30), 30, 0.2))
     assert "filter(" not in plan and not any("md5" in line for line in plan.splitlines() if "Filter" in line)
+
+
+def test_steps_of_addresses_move_no_link(spark, monkeypatch):
+    monkeypatch.setattr(addresses, "CELL", 20)
+    rng = random.Random(6)
+    pairs = sorted({(rng.randrange(90), rng.randrange(40)) for _ in range(400)})
+    rows = spark.createDataFrame([(k, k % 2 if k < 30 else 7, rng.random()) for k in range(42)], "id long, core long, x double").cache()
+    cells = addresses.Cells(rows.select("id", "core"), spark.createDataFrame(pairs, "src long, id long"), Steps(spark))
+    assert cells.pieces.agg(F.min("pieces")).first()[0] > 2
+    dense = np.zeros((42, 90))
+    for s, k in pairs:
+        dense[k, s] = 1
+    core, x = (np.array([r[c] for r in sorted(rows.collect())]) for c in (1, 2))
+    want, sums = np.zeros(42), {}
+    for c in (0, 1, 7):
+        own = dense[core == c]
+        sums[c] = own.T @ x[core == c]
+        y = own @ sums[c]
+        want[core == c] = y - y.mean()
+    out = addresses.multiplied(rows, cells, "x", "z")
+    assert np.abs([r.z for r in sorted(out.select("id", "z").collect())] - want).max() < 1e-9
+    tops = {r.core: r for r in cells.loads(rows, "x").groupBy("core").agg(F.max(F.struct("t", "src")).alias("m")).select("core", "m.*").collect()}
+    assert all(abs(tops[c].t - sums[c].max()) < 1e-9 and abs(sums[c][tops[c].src] - sums[c].max()) < 1e-9 for c in sums)
+    left = executed(cells.times(rows, "x")).split("FlatMapCoGroupsInArrow")[1].split("Sort [")[1]
+    assert "Exchange" not in left  # the cells
