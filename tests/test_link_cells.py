@@ -68,3 +68,12 @@ def test_a_step_moves_no_link(network):
     spark, nodes, _, _, cells = network
     plan = cells.cut(nodes.withColumn("part", F.col("id") % 3))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan.split("FlatMapCoGroupsInArrow")[1].split("Sort [")[1]
+
+
+def test_tables_of_nodes_are_not_broadcast(network):
+    spark, nodes, _, _, cells = network
+    plan = partition.merged(nodes.select("id", F.lit(1).cast("long").alias("size")), cells, 4)._jdf.queryExecution().executedPlan().toString()
+    wishes = spark.createDataFrame([(1, 0, 0, 1, 2, 1), (2, 1, 1, 1, 0, 1)], "id long, part long, p long, own long, to long, gain long")
+    moved, _ = partition.changes(wishes, partition.PartSettings(4), 0)
+    pairs = moved._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan and "SortMergeJoin [x" in pairs
