@@ -3,7 +3,8 @@
 ``apply`` moves some neurons.  Of the links only those of the moved are read, once as they lie before and once as they lie after, and what
 that adds to and takes from the counts is written to the log.  ``undo`` takes the last entry out again.  Counts in force are the
 stored ones and the log's, summed; for some targets only the folders that hold them are read.  After COMPACT entries the log is
-merged into the stored counts, all but the last entry, which stays to be undone.
+merged, all but the last entry, which stays to be undone: into one table of changes, and that into the stored counts only when it has grown
+to a WORTHth of them, so a merge costs what was changed and not the network.
 
 ``kept``, how many links the best slices hear, follows each change by the rows of the touched targets.  Neurons that are moved must be
 placed already, and a neuron is moved once a step; links to neurons without a place count nowhere.  Every table is written to the
@@ -23,6 +24,8 @@ from tessera.tables import Steps
 
 #: Entries of the log before it is merged; folders that links and counts are dealt to.
 COMPACT, FOLDERS = 8, 64
+#: Part of the stored counts' rows at which merged changes are put into them.
+WORTH = 8
 ROW = ["tgt", "distance", "slice"]
 
 
@@ -37,9 +40,10 @@ class SliceCounts:
         self.hw, self.compact, self.steps = hw, max(2, compact), Steps(neurons.sparkSession)
         self.neurons = neurons.select("id")
         self.by_source = self.steps.keep(edges.select("src", "tgt", _folder("src").alias("at")), "links-by-source", "at")
-        self.by_target = self.steps.keep(edges.select("src", "tgt", _folder("tgt").alias("at")), "links-by-target", "at")
+        self.by_target = self.steps.keep(self.by_source.select("src", "tgt", _folder("tgt").alias("at")), "links-by-target", "at")
         self.placed = self.steps.keep(placement.select("neuron", "core", "local"), "placement")
         self.base = self._based(self._counts(slices.placed_edges(self.by_source.drop("at"), self.placed, hw), 1))
+        self.merged: DataFrame | None = None
         #: (signed changes, places of all that have moved since the start, links heard) of each step in force.
         self.log: list[tuple[DataFrame, DataFrame, int]] = []
         self.first = self._heard(self.base)
@@ -79,11 +83,14 @@ class SliceCounts:
 
     def counts(self) -> DataFrame:
         """tgt, distance, slice, n in force; distance 0 is the core itself."""
-        return self._summed([self.base, *(c for c, _, _ in self.log)])
+        return self._summed([self.base, *self._merged(), *(c for c, _, _ in self.log)])
+
+    def _merged(self) -> list[DataFrame]:
+        return [] if self.merged is None else [self.merged]
 
     def of(self, targets: DataFrame, until: int | None = None) -> DataFrame:
         """The counts of targets(tgt), with the log's first entries alone if so asked."""
-        log = [c.join(targets, "tgt", "left_semi") for c, _, _ in self.log[:until]]
+        log = [c.join(targets, "tgt", "left_semi") for c in (*self._merged(), *(c for c, _, _ in self.log[:until]))]
         return self._summed([self._in(self.base, targets, "tgt", "tgt"), *log])
 
     def apply(self, moved: DataFrame) -> int:
@@ -117,10 +124,12 @@ class SliceCounts:
     def _compacted(self) -> None:
         """Merges the log but for its last entry; what it replaced is removed."""
         *old, last = self.log
-        self.base = self._based(self._summed([self.base, *(c for c, _, _ in old)]))
+        self.merged = self.steps.keep(self._summed([*self._merged(), *(c for c, _, _ in old)]), "merged-changes")
+        if self.merged.count() * WORTH > self.base.count():
+            self.base, self.merged = self._based(self._summed([self.base, self.merged])), None
         self.placed, self.first = self.steps.keep(self._moved(old[-1][1]), "placement"), old[-1][2]
         self.log = [last]
-        self.steps.drop(self.by_source, self.by_target, self.placed, self.base, last[0], last[1])
+        self.steps.drop(self.by_source, self.by_target, self.placed, self.base, *self._merged(), last[0], last[1])
 
     def _moved(self, moves: DataFrame) -> DataFrame:
         both = self.placed.join(moves.toDF("neuron", "to_core", "to_local"), "neuron", "left")

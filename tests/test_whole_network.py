@@ -112,3 +112,22 @@ def test_addresses_are_those_of_the_singular_vectors(spark):
     cores = spark.createDataFrame([(k, int(c)) for k, c in enumerate(core)], "neuron long, core long")
     got = {r.neuron: (r.local, r.settled) for r in principal_addresses(cores, spark.createDataFrame(edges, "src long, tgt long"), restarts=1).collect()}
     assert all(s for _, s in got.values()) and [got[k][0] for k in range(40)] == want.tolist()
+
+
+@pytest.mark.parametrize("worth, into_base", [(1, False), (10**9, True)])
+def test_a_merged_log_costs_what_was_changed(spark, monkeypatch, worth, into_base):
+    from tessera.operators import counts as module
+
+    monkeypatch.setattr(module, "WORTH", worth)
+    rng = random.Random(9)
+    hw, neurons = HardwareConfig(2, 8, 3, 2), spark.range(60)
+    edges = spark.createDataFrame(sorted({(rng.randrange(60), rng.randrange(60)) for _ in range(300)}), "src long, tgt long").cache()
+    counts = SliceCounts(neurons, edges, graph.spread(neurons, hw), hw, compact=2)
+    base = counts.base
+    for k in range(3):
+        counts.apply(exchanges(counts.placement(), spark.createDataFrame([(k, 59 - k)], "a long, b long")))
+    assert (counts.base is not base, counts.merged is None) == (into_base, into_base) and len(counts.log) == 1
+    assert counts.undo()
+    placed = slices.placed_edges(edges, counts.placement(), hw)
+    assert sorted(map(tuple, counts.slices().collect())) == sorted(map(tuple, slices.optimal_slices(neurons, placed, hw).collect()))
+    assert counts.kept == slices.best_counts(placed, hw).first().valid_edges
