@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import link_cells, partition
 from tessera.operators.link_cells import LinkCells
+from tessera.operators.net_cells import NetCells
 from tessera.tables import Steps
 
 
@@ -77,3 +78,51 @@ def test_tables_of_nodes_are_not_broadcast(network):
     moved, _ = partition.changes(wishes, partition.PartSettings(4), 0)
     pairs = moved._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "SortMergeJoin" in plan and "SortMergeJoin [x" in pairs
+
+
+def test_votes_and_degrees_are_those_of_all_links(network):
+    spark, nodes, ids, want, cells = network
+    core = {k: j % 5 - 1 if j % 2 else -1 for j, k in enumerate(ids)}
+    votes, degree = Counter(), Counter()
+    for (a, b), w in want.items():
+        for x, y in ((a, b), (b, a)):
+            degree[x] += w
+            if core[x] < 0 <= core[y]:
+                votes[x, core[y]] += w
+    labels = spark.createDataFrame(list(core.items()), "id long, part long")
+    assert {(r.id, r.part): r.w for r in cells.votes(labels, 4).collect()} == votes
+    assert {r.id: r.w for r in cells.degrees(nodes).collect()} == degree
+
+
+def test_nodes_are_sent_packed_and_merged_links_are_not_shuffled_by_rows(network):
+    spark, nodes, ids, want, cells = network
+    sent = cells._sent(nodes)
+    assert sent.count() == cells.g**2 and dict(sent.dtypes)["id"] == "binary"
+    assert not cells.merged(nodes.withColumn("up", F.col("id")), Steps(spark)).once
+
+
+@pytest.mark.parametrize("known", [False, True])
+def test_nets_in_cells_are_those_of_all_pins(network, known):
+    spark, nodes, ids, _, _ = network
+    rng = random.Random(6)
+    pins = [(rng.choice([*ids, 99999]), rng.choice([*ids, 77777])) for _ in range(600)]
+    of = {}
+    for net, pin in pins:
+        if pin != 77777 and (net != 99999 or not known):
+            of.setdefault(net, set()).add(pin)
+    nets = NetCells.of(nodes, spark.createDataFrame(pins, "net long, pin long"), 600, Steps(spark), nets_known=known)
+    assert nets.g > 2
+    part = {k: j % 16 for j, k in enumerate(ids)}
+    labels = spark.createDataFrame(list(part.items()), "id long, part int")
+    assert nets.over(labels, 16).first().over == sum(len({part[p] for p in ps}) - 1 for ps in of.values())
+    for width, branches in ((4, 4), (1, 4), (1, 16)):
+        own = Counter()
+        for ps in of.values():
+            at = Counter(part[p] // width for p in ps)
+            for pin in ps:
+                p = part[pin] // width
+                for to, k in at.items():
+                    if to // branches == p // branches and (to != p or k > 1):
+                        own[pin, part[pin], to] += 1
+        got = {(r.id, r.part, to): w for r in nets.siblings(labels, width, branches, 16).collect() for to, w in zip(r.tos, r.ws)}
+        assert got == own
