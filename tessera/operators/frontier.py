@@ -2,8 +2,8 @@
 
 The neurons of most links start a core each.  In each round every neuron not placed, of those with links to placed ones, proposes itself
 to the core that holds most of them and has places left (ties: a hash); a core takes the proposals of most links (ties: a hash), as many
-as its places and the round's quota allow, which doubles, so a core of n places is filled in about log2(n) rounds.  The proposals are
-aggregates of links, and no task orders more than a core's proposals of one strength and one part of the hashes.  Neurons that no round placed
+as its places and the round's quota allow, which doubles, so a core of n places is filled in about log2(n) rounds.  Links lie in cells
+(``link_cells``): a round sends each neuron's core to them, their sums come back, and no link is moved; no task orders more than a core's proposals of one strength and one part of the hashes.  Neurons that no round placed
 take the places left, in order of the core that they are linked to most.  Every round is a stored table.
 """
 
@@ -14,17 +14,16 @@ from pyspark.sql import functions as F
 
 from tessera import graph
 from tessera.hw import HardwareConfig
-from tessera.operators import partition
+from tessera.operators.link_cells import LinkCells
 from tessera.tables import Steps
 
 #: Rounds after the quota has reached a core's size, in which neurons whose core was full go to their next best.
 MORE = 4
 
 
-def _votes(links: DataFrame, rest: DataFrame, placed: DataFrame, seed: int) -> DataFrame:
-    """neuron, core, v, h: links of each neuron not placed into each core, and the pair's hash."""
-    own = links.join(rest.select(F.col("neuron").alias("a")), "a").join(placed.select(F.col("neuron").alias("b"), "core"), "b")
-    votes = own.groupBy(F.col("a").alias("neuron"), "core").agg(F.sum("w").alias("v"))
+def _votes(links: LinkCells, state: DataFrame, cores: int, seed: int) -> DataFrame:
+    """neuron, core, v, h: links of each neuron not placed (core -1) into each core, and the pair's hash."""
+    votes = links.votes(state.select(F.col("neuron").alias("id"), F.col("core").alias("part")), cores).toDF("neuron", "core", "v")
     return votes.withColumn("h", graph.uniform(F.concat_ws(":", "neuron", "core"), seed))
 
 
@@ -47,24 +46,25 @@ def greedy_cores(neurons: DataFrame, edges: DataFrame, hw: HardwareConfig, seed:
     nodes = kept.keep(neurons.select(F.col("id").cast("long").alias("neuron")).distinct(), "neurons")
     if nodes.count() > hw.slots:
         raise ValueError("Hardware overflow")
-    links = kept.keep(partition.links_of(nodes.withColumnRenamed("neuron", "id"), edges), "links")
-    degree = nodes.join(links.groupBy(F.col("a").alias("neuron")).agg(F.sum("w").alias("v")), "neuron", "left").na.fill(0, ["v"])
+    links = LinkCells.of_edges(nodes.withColumnRenamed("neuron", "id"), edges, kept)
+    degree = kept.keep(nodes.join(links.degrees(nodes.withColumnRenamed("neuron", "id")).toDF("neuron", "v"), "neuron", "left").na.fill(0, ["v"]), "degrees")
     first = graph.ranked(degree, F.struct((-F.col("v")).alias("v"), F.shiftright("neuron", 16).alias("part")), ["neuron"], "r")
-    placed = kept.keep(first.where(F.col("r") < hw.cores).select("neuron", F.col("r").alias("core")), "placed")
+    state = kept.keep(first.select("neuron", F.when(F.col("r") < hw.cores, F.col("r")).otherwise(-1).alias("core")), "placed")
     cores = spark.range(hw.cores).withColumnRenamed("id", "core")
     rounds = max(0, hw.n - 1).bit_length() + MORE
     for k in range(rounds):
-        rest = nodes.join(placed, "neuron", "left_anti")
-        asked = _best(_votes(links, rest, placed, seed).join(_free(cores, placed, hw.n), "core"))
+        free = _free(cores, state.where("core >= 0"), hw.n)
+        asked = kept.keep(_best(_votes(links, state, hw.cores, seed).join(free, "core")), "asked")
         part = F.struct((-F.col("v")).alias("v"), F.shiftright("h", 20).alias("part"))
-        order = graph.ranked_within(asked, ["core"], part, ["h", "neuron"], "r").join(_free(cores, placed, hw.n), "core")
+        order = graph.ranked_within(asked, ["core"], part, ["h", "neuron"], "r").join(free, "core")
         taken = kept.keep(order.where(F.col("r") < F.least(F.col("places"), F.lit(2**k))).select("neuron", "core"), "taken")
         if taken.isEmpty():
             break
-        placed = kept.keep(placed.union(taken), "placed")
-        kept.drop(nodes, links, placed)
-    rest = nodes.join(placed, "neuron", "left_anti")
-    liked = rest.join(_best(_votes(links, rest, placed, seed)).select("neuron", "core"), "neuron", "left").na.fill(-1, ["core"])
+        after = state.join(taken.withColumnRenamed("core", "new"), "neuron", "left")
+        state = kept.keep(after.select("neuron", F.coalesce("new", "core").alias("core")), "placed")
+        kept.drop(links.table, state)
+    placed, rest = state.where("core >= 0"), state.where("core < 0").select("neuron")
+    liked = rest.join(_best(_votes(links, state, hw.cores, seed)).select("neuron", "core"), "neuron", "left").na.fill(-1, ["core"])
     left = graph.ranked(liked, F.struct("core", F.shiftright("neuron", 16).alias("part")), ["neuron"], "r").select("neuron", "r")
     places = _free(cores, placed, hw.n).select("core", F.explode(F.sequence(F.lit(1), F.col("places").cast("int"))).alias("k"))
     return placed.union(left.join(graph.ranked(places, F.col("core"), ["k"], "r"), "r").select("neuron", "core"))

@@ -36,3 +36,17 @@ def test_networks_without_links_too_many_neurons_or_none(spark):
     assert frontier.greedy_cores(spark.range(0), none, hw).count() == 0
     with pytest.raises(ValueError):
         frontier.greedy_cores(spark.range(7), none, hw)
+
+
+def test_placements_scored_together_are_those_scored_alone(spark):
+    rng = random.Random(4)
+    hw, neurons = HardwareConfig(2, 8, 3, 2), spark.range(60)
+    edges = spark.createDataFrame(sorted({(rng.randrange(60), rng.randrange(62)) for _ in range(400)}), "src long, tgt long").cache()
+    few = graph.random_placement(neurons, hw).where("neuron % 7 <> 0")  # a placement may lack neurons that another has
+    all_ = {"spread": graph.spread(neurons, hw), "few": few, "none": few.limit(0)}
+    row = slices.best_counts_each(edges, all_, hw).first()
+    for name, placement in all_.items():
+        alone = slices.best_counts(slices.placed_edges(edges, placement, hw), hw).first()
+        assert (row[f"m_{name}"], row[f"valid_{name}"]) == (alone.m, alone.valid_edges)
+    plan = slices.best_counts_each(edges, all_, hw)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ReusedExchange") or plan.count("Exchange hashpartitioning(tgt") == 1
