@@ -5,8 +5,8 @@ entry.  A step multiplies a block of vectors by it and makes the result orthogon
 products: a row of (vectors so far) x (block) numbers from each task, and the matrix of the steps, whose size is steps x block.  Every step
 is a stored table, so a lost executor costs a re-read.
 
-Nodes are dealt by hash to chunks and chunks to g pieces; the matrix is stored once in g x g cells (``Grid``), in buckets, so a step moves
-no entry: each piece of the block goes to the g cells of its columns, and the sums of each cell to its rows' chunks, 2 g numbers a node and
+Nodes are dealt by hash to chunks and chunks to g pieces; the matrix is stored once in g x g cells (``Grid``), in buckets, each cell packed
+in parts by runs of its rows' chunks, so a step moves no entry: each piece of the block goes to the g cells of its columns, and the sums of each cell to its rows' chunks, 2 g numbers a node and
 vector.  A step's vectors are a table of their own in buckets of chunks, so none is written or moved again.
 
 The values are Ritz values: each lies within its ``error`` of an eigenvalue, and there are never more negative ones than the matrix has.
@@ -33,8 +33,9 @@ STEPS, BLOCK = 24, 4
 NOTHING, SETTLED = 1e-10, 1e-7
 #: Of the longest direction's square in a block: a shorter one is rounding.
 ALIKE = 1e-14
-#: Entries of a cell, about, which a task holds; those from which a cell is cut for the sake of more tasks, SIDE a side; of a chunk; of a slab.
-CELL, PARALLEL, SIDE, CHUNK, SLAB = 1 << 24, 1 << 20, 4, 1 << 18, 1 << 18
+#: Entries of a cell, about, which a task of a step holds packed; those from which a cell is cut for the sake of more tasks, SIDE a side; of a
+#: chunk; of a slab, the part of a cell that is packed at once.
+CELL, PARALLEL, SIDE, CHUNK, SLAB = 1 << 24, 1 << 20, 4, 1 << 18, 1 << 21
 
 
 @dataclass
@@ -140,18 +141,30 @@ def _places(ids: list[np.ndarray]):
 
 
 def _packed(entries: pa.Table, nodes: pa.Table) -> pa.Table:
-    """A cell's entries as places of rows and columns in their pieces; each row names the chunks of the cell's rows and their sizes."""
-    schema = pa.schema([("cell", pa.int64()), ("i", pa.binary()), ("j", pa.binary()), ("x", pa.binary()), ("chunks", pa.binary()), ("sizes", pa.binary())])
-    out = []
-    if entries.num_rows:
-        (chunks, rows), (_, columns) = _spread(nodes, 0), _spread(nodes, 1)
-        row_of, column_of = _places(rows), _places(columns)
-        about = _bytes(np.array(chunks, dtype=np.int64)), _bytes(np.array([len(x) for x in rows], dtype=np.int64))
-        for k in range(0, entries.num_rows, SLAB):
-            part = entries.slice(k, SLAB)
-            i, j, x = (part[c].to_numpy() for c in "ijx")
-            out.append((part["cell"][0].as_py(), _bytes(row_of(i)), _bytes(column_of(j)), _bytes(x), *about))
-    return pa.table([pa.array([r[c] for r in out], f.type) for c, f in enumerate(schema)], schema=schema)
+    """A part of a cell as one row: how many entries each row of the matrix has, in the order of the part's chunks, the places of their
+    columns in their piece, and their values; up to 256 different values are kept once, with a byte an entry."""
+    schema = pa.schema([("cell", pa.int64()), *((c, pa.binary()) for c in ("chunks", "sizes", "counts", "j", "codes", "values"))])
+    if not entries.num_rows:
+        return schema.empty_table()
+    (chunks, rows), (_, columns) = _spread(nodes, 0), _spread(nodes, 1)
+    i, j = _places(rows)(entries["i"].to_numpy()), _places(columns)(entries["j"].to_numpy())
+    order = np.lexsort((j, i))
+    sizes = np.array([len(x) for x in rows], dtype=np.int64)
+    counts, x = np.bincount(i, minlength=int(sizes.sum())).astype(np.int32), entries["x"].to_numpy()[order]
+    values, codes = np.unique(x, return_inverse=True)
+    codes, values = (codes.astype(np.uint8), values) if len(values) <= 256 else (np.zeros(0, dtype=np.uint8), x)
+    made = [np.array(chunks, dtype=np.int64), sizes, counts, j[order], codes, values]
+    return pa.table([entries["cell"][:1].combine_chunks(), *(pa.array([_bytes(m)], pa.binary()) for m in made)], schema=schema)
+
+
+def _times(part: dict[str, pa.Scalar], v: np.ndarray) -> list[tuple[int, bytes]]:
+    """A part's rows times the vectors of its columns' piece, a chunk of rows each."""
+    chunks, sizes = (np.frombuffer(part[c].as_buffer(), dtype=np.int64) for c in ("chunks", "sizes"))
+    counts, j = (np.frombuffer(part[c].as_buffer(), dtype=np.int32) for c in ("counts", "j"))
+    codes, values = np.frombuffer(part["codes"].as_buffer(), dtype=np.uint8), np.frombuffer(part["values"].as_buffer(), dtype=np.float64)
+    i, x = np.repeat(np.arange(len(counts)), counts), values[codes] if len(codes) else values
+    y = np.stack([np.bincount(i, weights=x * v[j, c], minlength=len(counts)) for c in range(v.shape[1])], axis=1)
+    return [(int(c), _bytes(y[e - s : e])) for c, s, e in zip(chunks, sizes, np.cumsum(sizes))]
 
 
 class Grid:
@@ -174,10 +187,15 @@ class Grid:
         self.nodes = kept.bucketed(ids.groupBy("chunk").applyInArrow(gather, "chunk long, ids binary, y binary"), "nodes", "chunk", self.buckets)
         piece, other = F.col("chunk") % self.g, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(self.g - 1).cast("long"))).alias("o")
         self.columns = lambda df: df.select("*", other).withColumn("cell", F.col("o") * self.g + piece).drop("o")
-        rows = self.nodes.select("chunk", "ids", other).select((piece * self.g + F.col("o")).alias("cell"), F.lit(0).alias("side"), "chunk", "ids")
-        sides = rows.unionByName(self.columns(self.nodes.select("chunk", "ids")).select("cell", F.lit(1).alias("side"), "chunk", "ids"))
-        dealt = links.select((chunk("i") % self.g * self.g + chunk("j") % self.g).alias("cell"), "i", "j", F.col("x").cast("double").alias("x")).repartition(self.g**2, "cell")
-        packed = dealt.groupBy("cell").cogroup(sides.groupBy("cell")).applyInArrow(_packed, "cell long, i binary, j binary, x binary, chunks binary, sizes binary")
+        run = max(1, SLAB * self.g // CHUNK)  # chunks of rows in a part of a cell
+        parts = -(-self.chunks // (self.g * run))
+        part, every = lambda c: F.floor(c / (self.g * run)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
+        rows = self.nodes.select("chunk", "ids", other).select(((piece * self.g + F.col("o")) * parts + part(F.col("chunk"))).alias("part"), F.lit(0).alias("side"), "chunk", "ids")
+        columns = self.columns(self.nodes.select("chunk", "ids")).select("cell", "chunk", "ids", every.alias("p"))
+        sides = rows.unionByName(columns.select((F.col("cell") * parts + F.col("p")).alias("part"), F.lit(1).alias("side"), "chunk", "ids"))
+        cell = chunk("i") % self.g * self.g + chunk("j") % self.g
+        dealt = links.select((cell * parts + part(chunk("i"))).alias("part"), cell.alias("cell"), "i", "j", F.col("x").cast("double").alias("x")).repartition(self.g**2 * parts, "part")
+        packed = dealt.groupBy("part").cogroup(sides.groupBy("part")).applyInArrow(_packed, "cell long, chunks binary, sizes binary, counts binary, j binary, codes binary, values binary")
         self.cells = kept.bucketed(packed, "cells", "cell", self.g**2)
 
     def times(self, q: DataFrame, width: int) -> DataFrame:
@@ -186,16 +204,9 @@ class Grid:
         def run(cells: pa.Table, pieces: pa.Table) -> pa.Table:
             out = []
             if cells.num_rows and pieces.num_rows:
-                v = np.concatenate([np.frombuffer(x, dtype=np.float64).reshape(-1, width) for _, x in sorted(zip(pieces["chunk"].to_pylist(), pieces["q"].to_pylist()))])
-                chunks, sizes = (np.frombuffer(cells[c][0].as_buffer(), dtype=np.int64) for c in ("chunks", "sizes"))
-                y = np.zeros((width, int(sizes.sum())))
+                v = np.concatenate([np.frombuffer(x.as_buffer(), dtype=np.float64).reshape(-1, width) for _, x in sorted(zip(pieces["chunk"].to_pylist(), pieces["q"]), key=lambda p: p[0])])
                 for k in range(cells.num_rows):
-                    i, j = (np.frombuffer(cells[c][k].as_buffer(), dtype=np.int32) for c in "ij")
-                    x = np.frombuffer(cells["x"][k].as_buffer(), dtype=np.float64)
-                    for c in range(width):
-                        y[c] += np.bincount(i, weights=x * v[j, c], minlength=y.shape[1])
-                ends = np.cumsum(sizes)
-                out = [(int(c), cells["cell"][0].as_py(), _bytes(y[:, e - s : e].T)) for c, s, e in zip(chunks, sizes, ends)]
+                    out += [(c, cells["cell"][0].as_py(), y) for c, y in _times({n: cells[n][k] for n in cells.column_names}, v)]
             return pa.table({"chunk": pa.array([r[0] for r in out], pa.int64()), "cell": pa.array([r[1] for r in out], pa.int64()), "y": pa.array([r[2] for r in out], pa.binary())})
 
         def total(t: pa.Table) -> pa.Table:

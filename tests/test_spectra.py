@@ -3,8 +3,11 @@
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import metrics, spectra
+from tessera.tables import Steps
 
 
 def drawn(spark, n, p, groups=1, seed=1):
@@ -71,3 +74,31 @@ def test_networks_without_links_or_nodes(spark):
     assert len(found.values) == 0 and labels.count() == 0
     points = spark.createDataFrame([(k, [1.0]) for k in range(5)], "id long, x array<double>")
     assert {r.cluster for r in spectra.k_means(points, 3).collect()} == {0}
+
+
+@pytest.mark.parametrize("kinds", [5, 10**6])
+def test_a_cell_is_packed_slab_by_slab(spark, monkeypatch, kinds):
+    """One cell, but no task that packs holds more than about a slab of it, and an entry takes few bytes where values repeat."""
+    monkeypatch.setattr(spectra, "CHUNK", 200)
+    monkeypatch.setattr(spectra, "SLAB", 400)
+    rng = random.Random(3)
+    pairs = {(min(p), max(p)): rng.randrange(kinds) / 7 for p in ((rng.randrange(90), rng.randrange(90)) for _ in range(1200))} | {(k, k): 1.0 for k in range(90)}
+    rows = [(i * 10, j * 10, x) for (i, j), x in pairs.items()] + [(j * 10, i * 10, x) for (i, j), x in pairs.items() if i != j]
+    want = np.zeros((90, 90))
+    for i, j, x in rows:
+        want[i // 10, j // 10] = x
+    kept = Steps(spark)
+    grid = spectra.Grid(spark.createDataFrame(rows, "i long, j long, x double"), len(rows), 2, 1, kept)
+    cells = grid.cells.collect()
+    held = [int(np.frombuffer(r.counts, dtype=np.int32).sum()) for r in cells]
+    assert grid.g == 1 and len(held) > 3 and sum(held) == len(rows) and max(held) < 2 * 400
+    bytes_of = sum(len(r.j) + len(r.codes) + len(r["values"]) for r in cells)
+    assert kinds > 5 or bytes_of < 6 * len(rows)
+    own = {r.chunk: np.frombuffer(r.ids, dtype=np.int64) // 10 for r in grid.nodes.collect()}
+    y, got = np.zeros((90, 2)), np.zeros((90, 2))
+    for r in grid.nodes.collect():
+        y[own[r.chunk]] = np.frombuffer(r.y).reshape(-1, 2)
+    for r in grid.times(grid.nodes.select("chunk", F.col("y").alias("q")), 2).collect():
+        got[own[r.chunk]] = np.frombuffer(r.y).reshape(-1, 2)
+    assert np.abs(got - want @ y).max() < 1e-9 * max(1.0, np.abs(want).max())
+    kept.drop()
