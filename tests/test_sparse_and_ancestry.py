@@ -1,14 +1,16 @@
 """Sources in the size of their result against the binomial and planted ranges; ancestors against walks up the tree."""
 
+import hashlib
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.errors import InvalidConfigError
 from tessera.operators import ancestry
-from tessera.sources import networks, sparse
+from tessera.sources import draws, networks, sparse
 
 
 @pytest.mark.parametrize("p", [1.0, 0.9, 0.25, 0.01])
@@ -54,6 +56,28 @@ def test_clusters_and_levels_are_those_of_the_pairwise_sources(spark):
     assert abs(forest.where("height = 2 and src < 1792").count() - whole) < 5 * math.sqrt(whole)
 
 
+@pytest.mark.parametrize("p", [1.0, 0.25, 0.003])
+def test_a_batch_draws_what_each_name_draws(p):
+    """Signs, changing lengths and messages longer than a block of md5, against hashlib a name."""
+    rng, w, bounds = np.random.default_rng(1), sparse.width_of(p), sparse.sums(p)
+    own = [rng.choice(c, 400) for c in ([-5, 0, 9, 10, 7199999, 10**12, -(10**17)], [0, 1], [0, 10**9 - 1, 10**9, 10**17], [9, 10, 11])]
+    rows, x = draws.places(7, own, w, np.array(bounds))
+    number = lambda *name: int(hashlib.md5(":".join(map(str, (7, *name))).encode()).hexdigest()[:8], 16)
+    want = []
+    for row, name in enumerate(zip(*own)):
+        k, had = sum(s <= number(*name) for s in bounds), []
+        for j in range(w - k, w):
+            d = number(*name, j) % (j + 1)
+            had.append(j if d in had else d)
+        want += [(row, d) for d in had]
+    assert sorted(zip(rows.tolist(), x.tolist())) == sorted(want)
+
+
+def test_links_are_drawn_in_batches(spark):
+    plan = sparse.erdos_renyi(spark.range(30), 30, 0.2)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "md5(" not in plan and "aggregate(" not in plan
+
+
 def walk(parents, c):
     out = [c]
     while parents[out[-1]] >= 0:
