@@ -7,7 +7,8 @@ is a stored table, so a lost executor costs a re-read.
 
 Nodes are dealt by hash to chunks and chunks to g pieces; the matrix is stored once in g x g cells (``Grid``), in buckets, each cell packed
 in parts by runs of its rows' chunks, so a step moves no entry: each piece of the block goes to the g cells of its columns, and the sums of each cell to its rows' chunks, 2 g numbers a node and
-vector.  A step's vectors are a table of their own in buckets of chunks, so none is written or moved again.
+vector.  A step's vectors are a table of their own in buckets of chunks, so none is written or moved again; it is not
+compressed, as numbers like these don't shrink and every open reader would hold buffers for it outside the heap.
 
 The values are Ritz values: each lies within its ``error`` of an eigenvalue, and there are never more negative ones than the matrix has.
 A block of p vectors finds eigenvalues of up to p equal ones.
@@ -174,7 +175,7 @@ class Grid:
         self.kept = kept
         self.g = max(math.ceil(math.sqrt(m / CELL)), min(SIDE, math.ceil(math.sqrt(m / PARALLEL))))
         self.chunks = self.g * max(1, -(-m // (self.g * CHUNK)))
-        self.buckets = max(self.g**2, -(-self.chunks // 16))
+        self.buckets = max(self.g**2, -(-self.chunks // 8))
         chunk = lambda c: F.pmod(F.xxhash64(c), F.lit(self.chunks))
         start = [(graph.uniform(F.concat_ws(":", "id", F.lit(c)), seed) / 2.0**32 - 0.5).alias(f"y{c}") for c in range(block)]
         ids = links.select(F.col("i").alias("id")).distinct().select(chunk("id").alias("chunk"), "id", *start)
@@ -184,7 +185,7 @@ class Grid:
             y = np.stack([t[f"y{c}"].to_numpy() for c in range(block)], axis=1)
             return pa.table({"chunk": t["chunk"].slice(0, 1), "ids": pa.array([_bytes(t["id"].to_numpy())], pa.binary()), "y": pa.array([_bytes(y)], pa.binary())})
 
-        self.nodes = kept.bucketed(ids.groupBy("chunk").applyInArrow(gather, "chunk long, ids binary, y binary"), "nodes", "chunk", self.buckets)
+        self.nodes = kept.bucketed(ids.groupBy("chunk").applyInArrow(gather, "chunk long, ids binary, y binary"), "nodes", "chunk", self.buckets, compression="none")
         piece, other = F.col("chunk") % self.g, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(self.g - 1).cast("long"))).alias("o")
         self.columns = lambda df: df.select("*", other).withColumn("cell", F.col("o") * self.g + piece).drop("o")
         run = max(1, SLAB * self.g // CHUNK)  # chunks of rows in a part of a cell
@@ -257,7 +258,7 @@ def lanczos(entries: DataFrame, steps: int = STEPS, block: int = BLOCK, seed: in
         third, own = _products(state, widths, to, less)
         mend, undo = _halves(own - third.T @ third, 0.0)
         to, less, back = to @ mend, (less + third) @ mend, undo @ back
-        new = kept.bucketed(_combined(state, widths, to, less), "basis", "chunk", grid.buckets)
+        new = kept.bucketed(_combined(state, widths, to, less), "basis", "chunk", grid.buckets, compression="none")
         width, before = to.shape[1], total
         total += width
         held.append(new)
@@ -266,7 +267,7 @@ def lanczos(entries: DataFrame, steps: int = STEPS, block: int = BLOCK, seed: in
         grown = np.zeros((total, total))
         grown[:before, :before] = small
         small = grown
-        product = kept.bucketed(grid.times(new, width), "products", "chunk", grid.buckets)
+        product = kept.bucketed(grid.times(new, width), "products", "chunk", grid.buckets, compression="none")
         kept.drop(grid.nodes, grid.cells, product, *held)
     kept.drop(grid.nodes, *held)
     values, weights = np.linalg.eigh(np.triu(small) + np.triu(small, 1).T)
